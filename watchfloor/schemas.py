@@ -1,9 +1,7 @@
-"""Declared schemas of the tables the operators exchange; nothing is inferred at run time."""
+"""Declared schemas (DDL text) of the tables the operators exchange; nothing is inferred at run time."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 SCHEMA_VERSION = "1.0"
 
 # Enumerations of the record model.
@@ -37,23 +35,19 @@ LOGIC = (
 )
 
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 # ``ast`` is recursive, which Spark types cannot express; it travels as JSON text.
-DETECTION = _ddl(
+DETECTION = (
     "id STRING, name STRING, description STRING, author ARRAY<STRING>, version STRING, created_at TIMESTAMP, "
     "modified_at TIMESTAMP, severity STRING, source_format STRING, platforms ARRAY<STRING>, tags ARRAY<STRING>, "
-    f"detection_logic STRUCT<{LOGIC.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY')}>, "
-    f"log_sources ARRAY<STRUCT<{LOG_SOURCE.replace(' STRING', ': STRING')}>>, "
-    f"mitre_techniques ARRAY<STRUCT<{TECHNIQUE.replace(' STRING', ': STRING').replace(' DOUBLE', ': DOUBLE')}>>, "
-    f"cve_references ARRAY<STRUCT<{CVE_REFERENCE.replace(' STRING', ': STRING').replace(' DOUBLE', ': DOUBLE')}>>, "
+    f"detection_logic STRUCT<{LOGIC}>, "
+    f"log_sources ARRAY<STRUCT<{LOG_SOURCE}>>, "
+    f"mitre_techniques ARRAY<STRUCT<{TECHNIQUE}>>, "
+    f"cve_references ARRAY<STRUCT<{CVE_REFERENCE}>>, "
     "data_components ARRAY<STRING>, false_positive_notes ARRAY<STRING>, cim_models ARRAY<STRING>, "
     "validation_status STRING, last_validated TIMESTAMP, detection_maturity_score INT, portability_score DOUBLE, "
     "siem_native MAP<STRING, STRING>, "
     "deployment_history ARRAY<STRUCT<"
-    f"{DEPLOYMENT.replace(' STRING', ': STRING').replace(' TIMESTAMP', ': TIMESTAMP')}>>"
+    f"{DEPLOYMENT}>>"
 )
 
 # Telemetry: the fields rules refer to most are columns, every other key lands in ``attrs``.
@@ -61,13 +55,13 @@ EVENT_FIELDS = (
     "technique", "key", "source", "host", "vm", "type", "exe", "comm", "proctitle", "cmd_output", "message", "raw",
     "a0", "a1", "a2", "uid", "pid", "cwd", "name", "syscall", "syscall_name",
 )
-EVENT = _ddl(
+EVENT = (
     "timestamp TIMESTAMP, " + ", ".join(f"`{f}` STRING" for f in EVENT_FIELDS)
     + ", serial BIGINT, returncode INT, attrs MAP<STRING, STRING>"
 )
 
 # Normalised event: the wider record that labelled tests exchange.
-CANONICAL_EVENT = _ddl(
+CANONICAL_EVENT = (
     "id STRING, timestamp TIMESTAMP, source_host STRING, event_type STRING, platform STRING, process_name STRING, "
     "process_id INT, process_guid STRING, parent_process_name STRING, parent_process_id INT, "
     "parent_process_guid STRING, command_line STRING, user STRING, working_directory STRING, integrity_level STRING, "
@@ -78,24 +72,24 @@ CANONICAL_EVENT = _ddl(
     "is_synthetic BOOLEAN"
 )
 
-RULE_RESULT = _ddl(
+RULE_RESULT = (
     "rule_id STRING, name STRING, techniques ARRAY<STRING>, siem STRING, query STRING, hits BIGINT, status STRING, "
     "error STRING, samples ARRAY<MAP<STRING, STRING>>"
 )
 
-VALIDATION_RESULT = _ddl(
+VALIDATION_RESULT = (
     "detection_id STRING, detection_name STRING, backend STRING, test_type STRING, passed BOOLEAN, "
     "timestamp TIMESTAMP, duration_seconds DOUBLE, technique_ids ARRAY<STRING>, alert_found BOOLEAN, "
     "false_negative BOOLEAN, false_positive_rate DOUBLE, error STRING, evidence ARRAY<MAP<STRING, STRING>>, "
     "test_details STRING, backend_query_used STRING"
 )
 
-CVE_RECORD = _ddl(
+CVE_RECORD = (
     "cve_id STRING, description STRING, cvss_score DOUBLE, cvss_vector STRING, cvss_version STRING, severity STRING, "
     "cwes ARRAY<STRING>, cpes ARRAY<STRING>, published STRING, modified STRING"
 )
 
-MIGRATION = _ddl(
+MIGRATION = (
     "detection_id STRING, detection_name STRING, source_siem STRING, target_siem STRING, analyzed_at TIMESTAMP, "
     "translatable BOOLEAN, confidence DOUBLE, translated_query STRING, coverage_gaps ARRAY<STRING>, "
     "warnings ARRAY<STRING>, errors ARRAY<STRING>, "
