@@ -170,9 +170,8 @@ def confidence_color(confidence: Column) -> Column:
     return F.concat(F.lit("#"), channel(weak), channel(strong), channel(weak))
 
 
-def residual_risk(cvss: Column, epss: Column, coverage: Column) -> Column:
-    """CVSS x EPSS x uncovered share, rounded half-even to four places; missing scores count as zero."""
+def residual_risk(cvss: Column, epss: Column, coverage: Column, digits: int | None = 4) -> Column:
+    """CVSS x EPSS x uncovered share, rounded half-even; missing scores count as zero."""
     zero = F.lit(0.0)
-    return F.bround(
-        F.coalesce(cvss, zero) * F.coalesce(epss, zero) * F.greatest(zero, F.lit(1.0) - coverage), 4
-    )
+    risk = F.coalesce(cvss, zero) * F.coalesce(epss, zero) * F.greatest(zero, F.lit(1.0) - coverage)
+    return risk if digits is None else F.bround(risk, digits)

@@ -69,9 +69,15 @@ def layer_rows(summary: DataFrame) -> DataFrame:
     )
 
 
-def technique_flags(bindings: DataFrame, by: str, covering: Column) -> DataFrame:
-    """(by, covered): whether any binding of the technique satisfies ``covering``."""
-    return bindings.groupBy(by).agg(F.max(covering).alias("covered"))
+def technique_flags(bindings: DataFrame, covering: DataFrame, key: str) -> DataFrame:
+    """(key, covered): every bound technique, flagged where it also occurs among the ``covering`` bindings.
+
+    Both sides are reduced to distinct keys first, so the join sees at most one row per technique and side.
+    """
+    hit = covering.select(key).distinct().withColumn("_hit", F.lit(True))
+    return (
+        bindings.select(key).distinct().join(hit, key, "left").select(key, F.col("_hit").isNotNull().alias("covered"))
+    )
 
 
 def badge(flags: DataFrame, detections: DataFrame, passed: Column) -> DataFrame:

@@ -6,7 +6,6 @@ Binding tables are (rule, technique) rows with a confidence, a source and a posi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -182,6 +181,11 @@ def gap_fill(inferred: DataFrame, explicit: DataFrame, by: Sequence[str]) -> Dat
     return inferred.join(explicit.select(*by).distinct(), list(by), "left_anti")
 
 
+def only_inferred(bindings: DataFrame, by: Sequence[str], is_explicit: Column) -> DataFrame:
+    """``gap_fill`` for passes stacked in one table: keys no explicit row states, in one scan and one shuffle."""
+    return bindings.groupBy(*by).agg(F.max(is_explicit).alias("_e")).filter(~F.col("_e")).drop("_e")
+
+
 def apply_bindings(
     current: DataFrame, proposed: DataFrame, rule: str, min_confidence: float = MIN_APPLY_CONFIDENCE
 ) -> DataFrame:
@@ -206,11 +210,3 @@ def usable_candidates(candidates: DataFrame, techniques: DataFrame, rule: str, p
         .filter((F.col("confidence") >= MIN_CANDIDATE_CONFIDENCE) & F.col("technique_id").rlike(FULL_TECHNIQUE))
     )
     return known_and_active(checked, techniques).withColumn("source", F.lit("candidate"))
-
-
-def is_valid_regex(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True

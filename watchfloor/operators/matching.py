@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.text import keyword_tokens
 from watchfloor.operators.predicates import Fields, UntranslatableCondition, rule_predicate
-from watchfloor.session import join_dimension
+from watchfloor.session import inline_table, join_dimension
 
 # The fields each kind of keyword search reads, and how many samples a result keeps.
 FREE_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2", "key")
@@ -187,8 +187,10 @@ def with_signatures(events: DataFrame, rules: CompiledRules, whole_words: bool =
     by_technique = []
     if rules.techniques and "technique" in events.columns:
         # At most one row per technique id of this batch, so the size is bounded by RULES_PER_BATCH.
-        dimension = events.sparkSession.createDataFrame(
-            [(k, _numbers(v)) for k, v in rules.techniques.items()], "_match_id STRING, _by_technique STRING"
+        dimension = inline_table(
+            events.sparkSession,
+            [(k, _numbers(v)) for k, v in rules.techniques.items()],
+            {"_match_id": "STRING", "_by_technique": "STRING"},
         )
         out = out.join(F.broadcast(dimension), F.upper("technique") == F.col("_match_id"), "left").drop("_match_id")
         by_technique = [F.col("_by_technique")]

@@ -34,7 +34,7 @@ def merge_feeds(feeds: Mapping[str, DataFrame], key: str = "cve_id") -> DataFram
         )
         stacked = shaped if stacked is None else stacked.unionByName(shaped)
     present = [F.max(F.col("_feed") == name).alias(f"in_{name}") for name in feeds]
-    values = [F.max_by(c, F.when(F.col(c).isNotNull(), 1)).alias(c) for c in columns]
+    values = [F.max(c).alias(c) for c in columns]  # one feed fills a column; repeats resolve the same way every run
     return stacked.groupBy(key).agg(*values, *present)
 
 
@@ -93,11 +93,11 @@ def coverage_ratio(covered: Column, total: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(covered / total)
 
 
-def with_residual_risk(cves: DataFrame) -> DataFrame:
+def with_residual_risk(cves: DataFrame, digits: int | None = 4) -> DataFrame:
     """Add ``coverage_ratio`` and ``residual_risk`` to (cvss_score, epss, covered, n) rows."""
     ratio = coverage_ratio(F.col("covered"), F.col("n"))
     return cves.withColumn("coverage_ratio", ratio).withColumn(
-        "residual_risk", residual_risk(F.col("cvss_score"), F.col("epss"), F.col("coverage_ratio"))
+        "residual_risk", residual_risk(F.col("cvss_score"), F.col("epss"), F.col("coverage_ratio"), digits)
     )
 
 

@@ -35,6 +35,7 @@ def local_session(cores: str = "8", app_name: str = "watchfloor") -> SparkSessio
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in RUNTIME_SETTINGS.items():
         builder = builder.config(key, value)
@@ -100,3 +101,26 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Constant map lookup that stays inside generated code; null for unknown keys."""
     pairs = [F.lit(part) for pair in mapping.items() for part in pair]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return sql_string(value)
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_literal(v) for v in value) + ")"
+    return repr(value)
+
+
+def inline_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small constant table as a local relation: the optimiser knows its exact size."""
+    select = ", ".join(f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in columns.items())
+    if not rows:
+        empty = ", ".join(f"CAST(NULL AS {kind}) AS `{name}`" for name, kind in columns.items())
+        return spark.sql(f"SELECT {empty} WHERE false")
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(f"`{name}`" for name in columns)
+    return spark.sql(f"SELECT {select} FROM VALUES {values} AS t({names})")
