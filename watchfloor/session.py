@@ -99,8 +99,8 @@ def sql_string(text: str) -> str:
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Constant map lookup that stays inside generated code; null for unknown keys."""
-    pairs = [F.lit(part) for pair in mapping.items() for part in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(sql_string(part) for pair in mapping.items() for part in pair)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def _literal(value) -> str:
