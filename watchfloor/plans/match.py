@@ -38,6 +38,8 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
     ``rules`` is ``sources.rules.matchable`` output. The look-back start is a literal, so a rerun gives the same
     answer. Unreadable event times are kept by ``local`` and dropped by the other two.
     """
+    empty = F.array().cast("array<string>")
+    rules = rules.withColumns({c: F.coalesce(c, empty) for c in ("techniques", "keywords")})
     null_ts = "keep" if backend.kind == "local" else "drop"
     events = matching.since(backend.events, start, backend.time, null_ts)
     if backend.kind == "search":
