@@ -115,7 +115,7 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_mapping_json(spark: SparkSession, path: str) -> DataFrame:
     """Direct mappings from JSON: ``{cve: [ids]}`` or ``[{cve, technique}]``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     shaped = text.select(F.trim("value").alias("value"))
     by_cve = (
         shaped.filter(F.startswith("value", F.lit("{")))

@@ -170,7 +170,7 @@ def _document(spark: SparkSession, path: str) -> dict:
     """A small YAML configuration file, read through Spark so that any file system works."""
     import yaml
 
-    return yaml.safe_load(spark.read.option("wholetext", True).text(path).first().value) or {}
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value) or {}
 
 
 def keyword_hints(spark: SparkSession, path: str | None = None) -> tuple[KeywordHint, ...]:

@@ -16,18 +16,12 @@ def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
     An author given as plain text or as a list is read either way.
     """
-    schema = DETECTION.replace("author ARRAY<STRING>", "author STRING")
-    rows = (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT).withColumn("author", text_list("author"))
+    schema = DETECTION.replace("author ARRAY<STRING>", "author STRING") + f", {CORRUPT} STRING"
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    rejects = lines.filter(F.from_json("value", f"{schema}, {CORRUPT} STRING",
-                                       {"columnNameOfCorruptRecord": CORRUPT})[CORRUPT].isNotNull())
-    return clamp(good), rejects
+    parsed = lines.withColumn("r", F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT}))
+    broken = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    good = parsed.filter(~broken).select("r.*").drop(CORRUPT).withColumn("author", text_list("author"))
+    return clamp(good), parsed.filter(broken).select("value")
 
 
 def text_list(column: str):

@@ -23,7 +23,7 @@ SKIPPED_SUFFIXES = (
     "lock", "sum",
 )
 SNIFF_LENGTH = 8192
-YARA_HEADER = r"(?m)^\s*(?:private\s+|global\s+)*rule\s+\w+[^{}\n]*\{"
+YARA_HEADER = r"(?m)^\s*(?:private\s+|global\s+)*rule\s+\w+(?:\s*:\s*[\w\s]+)?\s*\{"
 UUID = r"(?i)^[0-9a-f-]{36}$"
 YARA_PORTABILITY = 20.0
 INDEX_CAP = 5
