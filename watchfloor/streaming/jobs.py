@@ -42,18 +42,17 @@ def append_store(events: DataFrame, path: str, name: str, available_now: bool =
     return _start(writer, events.sparkSession, name, available_now, every)
 
 
-def hourly_alerts(hits: DataFrame, time: str = "timestamp", delay: str = "1 hour") -> DataFrame:
+def hourly_alerts(
+    events: DataFrame, rule_technique: DataFrame, time: str = "timestamp", delay: str = "1 hour"
+) -> DataFrame:
     """(hour_start, rule_id, n): rules that fired in an hour, emitted once the watermark passes its end.
 
-    Events later than ``delay`` are dropped, which the batch report does not do.
+    The watermark follows all events, not only those that hit a rule, so a quiet rule's last hour is still closed.
+    Events later than ``delay`` are dropped, which the batch report does not do. The rules are a static table.
     """
-    windowed = hits.withWatermark(time, delay).groupBy(F.window(time, "1 hour").alias("w"), "rule_id")
-    return windowed.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour_start"), "rule_id", "n")
-
-
-def technique_hits(events: DataFrame, rule_technique: DataFrame, time: str = "timestamp") -> DataFrame:
-    """Stream of (rule_id, time): the rules are a static table joined to the stream."""
-    return matching.technique_hits(events, rule_technique, keep=(time,))
+    hits = matching.technique_hits(events.withWatermark(time, delay), rule_technique, keep=(time,))
+    windowed = hits.groupBy(F.window(time, "1 hour").alias("w"), "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return windowed.select(F.col("w.start").alias("hour_start"), "rule_id", "n")
 
 
 def append_alerts(alerts: DataFrame, path: str, name: str, available_now: bool = False,
