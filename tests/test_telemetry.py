@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -78,7 +79,7 @@ def test_audit_stream_equals_batch(spark, tmp_path):
     ]
     assert batch[0].attrs == {"a9": "zz", "returncode": "0"} and batch[0].returncode == 0 and batch[0].host == "h"
     out = str(tmp_path / "out")
-    query = jobs.append_store(jobs.audit_events(spark, str(folder), host="h"), out, "audit-test", available_now=True)
+    query = jobs.append_store(jobs.audit_events(spark, str(folder), host="h"), out, f"audit-{uuid.uuid4()}", available_now=True)
     query.awaitTermination(120)
     streamed = spark.read.parquet(out).orderBy("serial").collect()
     assert [r.asDict() for r in streamed] == [r.asDict() for r in batch]
@@ -86,8 +87,9 @@ def test_audit_stream_equals_batch(spark, tmp_path):
 
 def test_shipped_stream_reads_each_segment_once(spark, lines, tmp_path):
     out = str(tmp_path / "out")
+    name = f"ship-{uuid.uuid4()}"
     for expected in (4, 5):
-        query = jobs.append_store(jobs.shipped_events(spark, lines), out, f"ship-{tmp_path.name}", available_now=True)
+        query = jobs.append_store(jobs.shipped_events(spark, lines), out, name, available_now=True)
         query.awaitTermination(120)
         assert spark.read.parquet(out).count() == expected
         (tmp_path / "in" / "c.jsonl").write_text(json.dumps({"timestamp": "2024-02-01T00:00:00Z", "message": "late"}) + "\n")
@@ -106,7 +108,7 @@ def test_hourly_monitor_matches_batch(spark, tmp_path):
     batch_hits = technique_hits(telemetry.read_events(spark, str(folder)), bound, keep=("timestamp",))
     batch = {(str(r.hour_start), r.rule_id, r.n) for r in shapes.hourly_alerts(batch_hits, "rule_id", 0).collect()}
     out = str(tmp_path / "out")
-    query = jobs.append_alerts(jobs.hourly_alerts(jobs.shipped_events(spark, str(folder)), bound), out, f"alerts-{tmp_path.name}", available_now=True)
+    query = jobs.append_alerts(jobs.hourly_alerts(jobs.shipped_events(spark, str(folder)), bound), out, f"alerts-{uuid.uuid4()}", available_now=True)
     query.awaitTermination(180)
     streamed = {(str(r.hour_start), r.rule_id, r.n) for r in spark.read.parquet(out).collect()}
     assert streamed == batch and len(batch) > 10
@@ -119,10 +121,12 @@ def test_revalidation_reloads_rules(spark, tmp_path):
     current = {"sql": "SELECT 'r1' AS rule_id, array('T1190') AS techniques, CAST(NULL AS ARRAY<STRING>) AS keywords, "
                       "CAST(NULL AS STRING) AS detection"}
 
+    watcher = f"watch-{uuid.uuid4()}"
+
     def run(name, technique):
         (folder / name).write_text(json.dumps({"timestamp": "2024-01-01T00:00:00Z", "technique": technique}))
         jobs.revalidate(jobs.shipped_events(spark, str(folder)), lambda: spark.sql(current["sql"]), out,
-                        f"watch-{tmp_path.name}", available_now=True).awaitTermination(120)
+                        watcher, available_now=True).awaitTermination(120)
         return {(r.rule_id, r.broad_hits) for r in
                 spark.read.parquet(out).groupBy("rule_id").agg(F.sum("broad_hits").alias("broad_hits")).collect()}
 
