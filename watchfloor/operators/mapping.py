@@ -84,7 +84,8 @@ def infer(
             )
             best = F.when(matches, value) if best is None else best.when(matches, value)
         bindings.append(best)
-    return docs.select(*keep, F.explode(F.array_compact(F.array(*bindings))).alias("b")).select(*keep, "b.*")
+    exploded = docs.select(*keep, F.explode(F.array(*bindings)).alias("b"))
+    return exploded.filter(F.col("b").isNotNull()).select(*keep, "b.*")
 
 
 def known_and_active(bindings: DataFrame, techniques: DataFrame) -> DataFrame:

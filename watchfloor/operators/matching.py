@@ -9,6 +9,7 @@ distinct signature and task, however hot a technique or rule is.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.text import keyword_tokens
+from watchfloor.operators import token_search
 from watchfloor.operators.predicates import Fields, UntranslatableCondition, rule_predicate
 from watchfloor.session import inline_table, join_dimension
 
@@ -26,6 +28,8 @@ FREE_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2", "key")
 INDEXED_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2")
 SAMPLES_PER_RULE = 3
 RULES_PER_BATCH = 5_000
+# Above this many tokens one automaton pass is cheaper than a generated test per token.
+GENERATED_TOKENS = 64
 NO_PREDICATES = "Rule has no technique IDs or keywords to match against"
 
 
@@ -47,24 +51,19 @@ def haystack(events: DataFrame, fields: Sequence[str] = FREE_TEXT_FIELDS) -> Col
     return F.lower(F.concat_ws(" ", *present))
 
 
-def padded_words(text: Column) -> Column:
-    """Lower-case text as `` w1 w2 `` so that a whole word is found by a substring search."""
-    return F.concat(F.lit(" "), F.regexp_replace(text, r"[^a-z0-9_]+", " "), F.lit(" "))
+def word_parts(token: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[a-z0-9_]+", token.lower()))
 
 
-def has_word(padded: Column, token: str) -> Column:
-    """Every word of ``token`` occurs; a hyphenated token is analysed into its parts."""
-    parts = [p for p in "".join(c if c.isalnum() or c == "_" else " " for c in token.lower()).split() if p]
+def has_word(text: Column, token: str) -> Column:
+    """Every word of ``token`` occurs in the lower-case text; a hyphenated token is analysed into its parts.
+
+    The plain substring search decides most rows; only those that contain the letters are searched for boundaries.
+    """
+    parts = word_parts(token)
     found = F.lit(bool(parts))
     for part in parts:
-        found = found & F.contains(padded, F.lit(f" {part} "))
-    return found
-
-
-def contains_any(text: Column, tokens: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for token in tokens:
-        found = found | F.contains(text, F.lit(token))
+        found = found & F.contains(text, F.lit(part)) & text.rlike(f"(?<![a-z0-9_]){part}(?![a-z0-9_])")
     return found
 
 
@@ -170,19 +169,28 @@ def _split_numbers(signature: Column) -> Column:
     return F.array_distinct(F.filter(F.split(signature, ","), lambda n: n != ""))
 
 
-def with_signatures(events: DataFrame, rules: CompiledRules, whole_words: bool = False) -> DataFrame:
+def _token_columns(tokens: Mapping[str, tuple[int, ...]], whole_words: bool, generated: int) -> list[Column]:
+    """Columns over ``_text`` that name the rules whose tokens it contains."""
+    text = F.col("_text")
+    if len(tokens) > generated and token_search.available():
+        labels = {token: _numbers(numbers) for token, numbers in tokens.items()}
+        if not whole_words:
+            return [token_search.token_labels(text, labels)]
+        parts = {token: word_parts(token) for token in labels if word_parts(token)}
+        return [token_search.token_labels(text, {token: labels[token] for token in parts}, parts)]
+    return [
+        F.when(has_word(text, token) if whole_words else F.contains(text, F.lit(token)), F.lit(_numbers(numbers)))
+        for token, numbers in tokens.items()
+    ]
+
+
+def with_signatures(
+    events: DataFrame, rules: CompiledRules, whole_words: bool = False, generated_tokens: int = GENERATED_TOKENS
+) -> DataFrame:
     """Add ``_field_rules`` (condition layer) and ``_broad_rules`` (technique or keyword layer) to each event."""
     text = haystack(events, INDEXED_TEXT_FIELDS if whole_words else FREE_TEXT_FIELDS)
-    if whole_words:
-        text = padded_words(text)
     by_field = [F.when(F.expr(sql), F.lit(str(number))) for number, sql in rules.predicates.items()]
-    by_token = [
-        F.when(
-            has_word(F.col("_text"), token) if whole_words else F.contains("_text", F.lit(token)),
-            F.lit(_numbers(numbers)),
-        )
-        for token, numbers in rules.tokens.items()
-    ]
+    by_token = _token_columns(rules.tokens, whole_words, generated_tokens)
     out = events
     by_technique = []
     if rules.techniques and "technique" in events.columns:

@@ -80,27 +80,25 @@ def adjacent_sequence(
     """(by, first_event, second_event) where an event matching ``first`` is directly followed by one matching ``second``.
 
     One entity may own a third of all events, so rows are not windowed per entity. Each (entity, time bucket) finds
-    its own neighbours; only the last event of a bucket looks further, to the first event of the entity's next
-    bucket, taken from a summary with one row per entity and bucket.
+    its own neighbours. Only bucket edges are then windowed per entity: at most two rows per bucket, among which the
+    row after a bucket's last event is the first event of the entity's next bucket.
     """
-    bucket = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (bucket_seconds * 1_000_000))
-    row = F.struct(F.col(time).alias("at"), F.col(tie).alias("id"), second.alias("is_second"))
-    marked = events.select(by, F.col(time).alias("at"), F.col(tie).alias("id"), bucket.alias("bucket"),
-                           first.alias("is_first"), row.alias("row"))
-    within = W.partitionBy(by, "bucket").orderBy("at", "id")
-    local = marked.withColumn("next", F.lead("row").over(within))
-    heads = marked.groupBy(by, "bucket").agg(F.min("row").alias("head"))
-    carried = heads.select(by, "bucket", F.lead("head").over(W.partitionBy(by).orderBy("bucket")).alias("carried"))
-    in_bucket = local.filter(F.col("next").isNotNull() & F.col("is_first")).select(by, "at", "id", "next")
-    across = (
-        local.filter(F.col("next").isNull() & F.col("is_first"))
-        .join(carried, [by, "bucket"])
-        .select(by, "at", "id", F.col("carried").alias("next"))
+    at = F.col(time)
+    bucket = F.expr(f"unix_seconds(cast(`{time}` AS TIMESTAMP)) div {int(bucket_seconds)}")
+    row = F.struct(at.alias("at"), F.col(tie).alias("id"), second.alias("is_second"))
+    marked = events.select(
+        by, at.alias("at"), F.col(tie).alias("id"), bucket.alias("bucket"), first.alias("is_first"), row.alias("row")
     )
-    span = F.expr(f"INTERVAL {int(max_seconds)} SECONDS")
+    within = W.partitionBy(by, "bucket").orderBy("at", "id")
+    local = marked.withColumns({"next": F.lead("row").over(within), "is_head": F.lag("id").over(within).isNull()})
+    is_edge = F.col("next").isNull() & F.col("is_first")
+    edges = local.filter(F.col("is_head") | is_edge).withColumn("is_edge", is_edge)
+    across = edges.withColumn("next", F.lead("row").over(W.partitionBy(by).orderBy("at", "id"))).filter("is_edge")
+    columns = [by, "at", "id", "next"]
+    follows = F.col("next.is_second") & (F.col("next.at") <= F.col("at") + F.expr(f"INTERVAL {int(max_seconds)} SECONDS"))
     return (
-        in_bucket.unionByName(across)
-        .filter(F.col("next.is_second") & (F.col("next.at") <= F.col("at") + span))
+        local.filter("is_first").select(*columns).unionByName(across.select(*columns))
+        .filter(follows)
         .select(by, F.col("id").alias("first_event"), F.col("next.id").alias("second_event"))
     )
 

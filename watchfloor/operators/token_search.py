@@ -1,0 +1,77 @@
+"""Many keyword tokens at once: one pass over each text, whatever the number of tokens.
+
+A few dozen tokens are cheapest as generated substring tests. More would cost one scan of the text each; then
+an Arrow-batched automaton finds all of them in a single scan. The module is pickled by value, so executors need the
+automaton library only, and the matcher falls back to generated tests where the driver lacks it.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+WORD_CHARACTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def available() -> bool:
+    return ahocorasick is not None
+
+
+def _automaton(words: Sequence[str]):
+    import ahocorasick as library
+
+    automaton = library.Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    return automaton
+
+
+def _substrings(labels: Mapping[str, str]) -> Callable[[str], str]:
+    automaton = _automaton(list(labels))
+    return lambda text: ",".join(sorted({labels[word] for _, word in automaton.iter(text)}))
+
+
+def _whole_words(labels: Mapping[str, str], parts: Mapping[str, tuple[str, ...]]) -> Callable[[str], str]:
+    automaton = _automaton(sorted({part for token in labels for part in parts[token]}))
+    tokens_of: dict[str, list[str]] = {}
+    for token in labels:
+        for part in parts[token]:
+            tokens_of.setdefault(part, []).append(token)
+
+    def find(text: str) -> str:
+        found = set()
+        for end, part in automaton.iter(text):
+            start = end - len(part) + 1
+            before = start > 0 and text[start - 1] in WORD_CHARACTERS
+            after = end + 1 < len(text) and text[end + 1] in WORD_CHARACTERS
+            if not before and not after:
+                found.add(part)
+        complete = {token for part in found for token in tokens_of[part] if found.issuperset(parts[token])}
+        return ",".join(sorted({labels[token] for token in complete}))
+
+    return find
+
+
+def token_labels(text: Column, labels: Mapping[str, str], parts: Mapping[str, tuple[str, ...]] | None = None) -> Column:
+    """Comma-joined labels of the tokens a lower-case text contains; with ``parts``, of whole words only."""
+
+    @F.pandas_udf("string")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _substrings(labels) if parts is None else _whole_words(labels, parts)
+        for texts in batches:
+            yield texts.map(lambda text: find(text) if text else "")
+
+    return search(text)

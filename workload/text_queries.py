@@ -50,8 +50,7 @@ def keyword_match_docs(v):
        FROM keyword k CROSS JOIN (SELECT string_split_regex(haystack, '[^a-z0-9_]+') AS words FROM doc) d GROUP BY k.pos""",
 )
 def keyword_word_match(v):
-    docs = v.doc.select(matching.padded_words(F.col("haystack")).alias("padded"))
-    return _per_keyword(docs, lambda k: matching.has_word(F.col("padded"), k))
+    return _per_keyword(v.doc, lambda k: matching.has_word(F.col("haystack"), k))
 
 
 @query(
