@@ -128,7 +128,7 @@ def test_batches_of_rules_give_the_same_counts(spark):
 
 
 def test_hot_technique_joins_beyond_the_broadcast_bound(spark):
-    """A third of all events share one technique; the salted join must give the broadcast join's answer."""
+    """A third of all events share one technique; the shuffle join must give the broadcast answer."""
     from watchfloor.session import join_dimension
 
     events = spark.range(3000).select(

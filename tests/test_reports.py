@@ -243,3 +243,34 @@ def test_gap_priority(one):
     assert one(column, f=2, s="high", e="low") == 6.0
     assert one(column, f=2, s="low", e="high") == pytest.approx(2 / 3)
     assert one(column, f=50, s="high", e="low") == 10.0
+
+
+def test_lint_records(spark, kb):
+    out = quality.lint_records(
+        corpus(spark, record("a", [("T1059", "x", 0.5)], raw="keywords: [x]"), record("b"),
+               record("c", [("T9999", "x", 0.5), ("T4242", "x", 0.5)], raw="keywords: [x]")), kb)
+    assert sorted((r.id, r.code) for r in out.collect()) == [
+        ("b", "missing_technique"), ("b", "over_broad"), ("c", "deprecated_technique"), ("c", "unknown_technique")
+    ]
+
+
+def test_score_rates(spark):
+    from watchfloor.operators.matching import with_rates
+
+    rows = spark.sql("SELECT * FROM VALUES ('a', 4L, 3L, 1L, 1L), ('b', 0L, 0L, 0L, 0L) AS t(rule_id, matched, tp, fp, fn)")
+    out = {r.rule_id: (r.false_negative_rate, r.false_positive_rate) for r in with_rates(rows).collect()}
+    assert out == {"a": (0.25, 0.25), "b": (None, None)}
+
+
+def test_results_round_trip(spark, tmp_path):
+    from watchfloor.sources.records import read_results, write_results
+
+    rows = spark.sql(
+        "SELECT 'r' AS rule_id, 'n' AS name, array('T1') AS techniques, 'local' AS siem, 'q' AS query, 2L AS hits, "
+        "'pass' AS status, CAST(NULL AS STRING) AS error, array(map('a', '1'), map('a', '2')) AS samples"
+    )
+    write_results(rows, str(tmp_path / "out"))
+    back = read_results(spark, str(tmp_path / "out")).first()
+    assert (back.hits, back.techniques, back.samples) == (2, ["T1"], [{"a": "1"}])
+    (tmp_path / "array.json").write_text(json.dumps([{"rule_id": "x", "hits": 1}, {"rule_id": "y", "status": "fail"}]))
+    assert [r.rule_id for r in read_results(spark, str(tmp_path / "array.json")).orderBy("rule_id").collect()] == ["x", "y"]

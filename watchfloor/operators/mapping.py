@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import FULL_TECHNIQUE, canonical_technique
@@ -200,13 +201,11 @@ def apply_bindings(
 
 def usable_candidates(candidates: DataFrame, techniques: DataFrame, rule: str, pos: str = "pos") -> DataFrame:
     """Externally proposed bindings: the first five per rule, confident enough, valid, known and active."""
-    head = F.array_sort(F.collect_list(F.struct(pos, "technique_id", "confidence")))
-    first = (
-        candidates.filter(F.col(pos) < MAX_CANDIDATES).groupBy(rule).agg(F.slice(head, 1, MAX_CANDIDATES).alias("c"))
-    )
+    rank = F.row_number().over(W.partitionBy(rule).orderBy(pos))
     checked = (
-        first.select(rule, F.explode("c").alias("c"))
-        .select(rule, "c.*")
+        candidates.withColumn("_rn", rank)
+        .filter(F.col("_rn") <= MAX_CANDIDATES)
+        .drop("_rn", pos)
         .withColumn("technique_id", canonical_technique(F.col("technique_id")))
         .filter((F.col("confidence") >= MIN_CANDIDATE_CONFIDENCE) & F.col("technique_id").rlike(FULL_TECHNIQUE))
     )

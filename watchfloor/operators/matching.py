@@ -367,3 +367,14 @@ def labelled_scores(hits: DataFrame, positives: DataFrame, rules: DataFrame, lab
             (positives.scalar() - F.coalesce("tp", zero)).alias("fn"),
         )
     )
+
+
+def with_rates(scores: DataFrame) -> DataFrame:
+    """False-negative rate over labelled positives, and the share of hits that were wrong."""
+    positives = F.col("tp") + F.col("fn")
+    return scores.withColumns(
+        {
+            "false_negative_rate": F.try_divide("fn", positives),
+            "false_positive_rate": F.try_divide("fp", "matched"),
+        }
+    )

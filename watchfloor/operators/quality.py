@@ -97,6 +97,33 @@ def lint(per_rule: DataFrame, checks: Mapping[str, Column], key: str) -> DataFra
     return per_rule.select(key, F.explode(violations(checks)).alias("code"))
 
 
+def lint_records(records: DataFrame, techniques: DataFrame, max_techniques: int = 20) -> DataFrame:
+    """(id, code) over canonical records: no technique, over-broad, or a technique that is unknown or deprecated.
+
+    A rule is over-broad when it names no field, no condition and no keyword, or binds more techniques than allowed.
+    """
+    ids = F.transform("mitre_techniques", lambda t: F.coalesce(t["sub_technique_id"], t["technique_id"]))
+    unspecific = (
+        (F.size("detection_logic.field_references") == 0)
+        & (F.size("detection_logic.normalized_conditions") == 0)
+        & ~F.contains("detection_logic.raw", F.lit("keywords"))
+    )
+    own = lint(
+        records,
+        {"missing_technique": F.size("mitre_techniques") == 0,
+         "over_broad": unspecific | (F.size("mitre_techniques") > max_techniques)},
+        "id",
+    )
+    bound = records.select("id", F.explode(F.array_distinct(ids)).alias("technique_id"))
+    known = techniques.select("technique_id", "deprecated", F.lit(True).alias("known"))
+    checked = bound.join(known, "technique_id", "left").groupBy("id").agg(
+        F.max(F.col("known").isNull()).alias("unknown"), F.max(F.coalesce("deprecated", F.lit(False))).alias("deprecated")
+    )
+    return own.unionByName(
+        lint(checked, {"unknown_technique": F.col("unknown"), "deprecated_technique": F.col("deprecated")}, "id")
+    )
+
+
 def findings(results: DataFrame) -> DataFrame:
     """One finding per failed or errored rule, once per rule id: level and message."""
     techniques = F.coalesce(F.nullif(F.array_join("techniques", ", "), F.lit("")), F.lit("(none)"))

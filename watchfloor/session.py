@@ -70,26 +70,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def join_dimension(
-    facts: DataFrame,
-    dimension: DataFrame,
-    on: str,
-    how: str = "inner",
-    spread_by: list[str] | None = None,
-    salts: int = 32,
-    max_rows: int = BROADCAST_ROWS,
+    facts: DataFrame, dimension: DataFrame, on: str, how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join a large table with a dimension whose size is checked first.
 
-    Within the bound the dimension is broadcast and the facts are not shuffled. Beyond it the facts are spread
-    over ``salts`` buckets per key and the dimension is repeated once per bucket, so that a key holding a third
-    of the facts is still divided among ``salts`` tasks.
+    Within the bound the dimension is broadcast and the facts are not shuffled. Beyond it both sides are shuffled on
+    the key and AQE's skew join splits the partition of a hot key into tasks of even size (see ``tune``).
     """
     if fits_broadcast(dimension, max_rows):
         return facts.join(F.broadcast(dimension), on, how)
-    spread = [F.col(c) for c in (spread_by or [c for c in facts.columns if c != on])]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    return facts.join(dimension, on, how)
 
 
 def sql_string(text: str) -> str:
