@@ -269,8 +269,9 @@ def test_results_round_trip(spark, tmp_path):
         "SELECT 'r' AS rule_id, 'n' AS name, array('T1') AS techniques, 'local' AS siem, 'q' AS query, 2L AS hits, "
         "'pass' AS status, CAST(NULL AS STRING) AS error, array(map('a', '1'), map('a', '2')) AS samples"
     )
-    write_results(rows, str(tmp_path / "out"))
+    write_results(rows.union(rows).coalesce(1), str(tmp_path / "out"))
+    assert read_results(spark, str(tmp_path / "out")).count() == 2
     back = read_results(spark, str(tmp_path / "out")).first()
     assert (back.hits, back.techniques, back.samples) == (2, ["T1"], [{"a": "1"}])
     (tmp_path / "array.json").write_text(json.dumps([{"rule_id": "x", "hits": 1}, {"rule_id": "y", "status": "fail"}]))
-    assert [r.rule_id for r in read_results(spark, str(tmp_path / "array.json")).orderBy("rule_id").collect()] == ["x", "y"]
+    assert [r.rule_id for r in read_results(spark, str(tmp_path / "array.json"), array=True).orderBy("rule_id").collect()] == ["x", "y"]

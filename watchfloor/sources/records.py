@@ -36,9 +36,9 @@ def write_detections(records: DataFrame, path: str, mode: str = "overwrite") ->
     records.write.mode(mode).json(path)
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rule results stored as a JSON array or as JSON lines."""
-    return spark.read.schema(RULE_RESULT).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Rule results from JSON lines, as ``write_results`` stores them, or with ``array`` from one JSON array per file."""
+    return spark.read.schema(RULE_RESULT).option("multiLine", array).json(path)
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
