@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -125,13 +126,7 @@ def compile_rules(
         keyword_tokens(F.coalesce("keywords", F.array().cast("array<string>"))).alias("tokens"),
         "detection",
     ).toLocalIterator(prefetchPartitions=False)
-    batch: list = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == per_batch:
-            yield _compile(batch, fields, case_insensitive)
-            batch = []
-    if batch:
+    while batch := list(islice(rows, per_batch)):
         yield _compile(batch, fields, case_insensitive)
 
 
@@ -323,33 +318,30 @@ def search_terms(techniques: Column, leading: Column) -> Column:
     return F.array_distinct(F.concat(techniques, leading))
 
 
-def free_text_hits(events: DataFrame, rule_terms: DataFrame, raw: Column, terms_cap: int = 2_000) -> DataFrame:
+def free_text_hits(
+    events: DataFrame, rule_terms: DataFrame, raw: Column, per_batch: int = RULES_PER_BATCH
+) -> DataFrame:
     """(rule_id, hits) of a raw-text search: an event counts once per rule if it contains any of its terms.
 
-    Events are grouped by the set of terms they contain before rules are joined. Terms are processed in slices of
-    ``terms_cap`` so that one generated projection stays small; the slices are joined back per rule and event.
+    ``rule_terms`` is (rule_id, term). The terms of a rule come from its own text and are few.
     """
-    pairs = rule_terms.select("rule_id", F.lower("term").alias("term")).distinct()
-    terms = [r.term for r in pairs.select("term").distinct().sort("term").toLocalIterator()]
-    found = F.concat(
-        F.array().cast("array<string>"),
-        *[
-            F.array_compact(
-                F.array(*[F.when(F.contains(F.lower(raw), F.lit(t)), F.lit(t)) for t in terms[i : i + terms_cap]])
-            )
-            for i in range(0, len(terms), terms_cap)
-        ],
-    )
-    grouped = events.select(found.alias("terms")).filter(F.size("terms") > 0).groupBy("terms").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return (
-        grouped.withColumn("term", F.explode("terms"))
-        .join(pairs, "term")
-        .groupBy("rule_id", "terms", "n").agg(F.first("n").alias("once"))
-        .groupBy("rule_id").agg(F.sum("once").alias("hits"))
+    kind = rule_terms.schema["rule_id"].dataType
+    per_rule = rule_terms.groupBy(F.col("rule_id").cast("string").alias("rule_id")).agg(
+        F.collect_set(F.lower("term")).alias("terms")
     )
 
+    def batches() -> Iterator[CompiledRules]:
+        rows = per_rule.toLocalIterator(prefetchPartitions=False)
+        while batch := list(islice(rows, per_batch)):
+            tokens: dict[str, list[int]] = {}
+            for number, row in enumerate(batch):
+                for term in row.terms:
+                    tokens.setdefault(term, []).append(number)
+            yield CompiledRules(tuple(r.rule_id for r in batch), tokens={t: tuple(n) for t, n in tokens.items()})
+
+    counts = layer_counts(events.select(raw.alias("raw")), batches())
+    return counts.select(F.col("rule_id").cast(kind).alias("rule_id"), F.col("broad_hits").alias("hits"))
+
 
 def labelled_scores(hits: DataFrame, positives: DataFrame, rules: DataFrame, label: str = "label") -> DataFrame:
     """Per rule over labelled events: matched, true and false positives, and the positives it missed.
