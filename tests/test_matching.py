@@ -199,3 +199,27 @@ def test_automaton_agrees_with_generated_tests(spark, whole_words):
 
     assert found(0) == found(10_000)
     assert any(found(0).values())
+
+
+def test_dispatch_does_not_change_the_answer(spark):
+    rng = random.Random(4)
+    keys = ["exec", "open", "it's", "net"]
+    conditions = ["s", "s and not f", "s and t", "not f and s", "s or t", "1 of s*", "(s and t)", "not f"]
+    blocks = []
+    for _ in range(60):
+        exact = rng.choice([{"key": rng.choice(keys)}, {"key": rng.sample(keys, 2)}, {"key|contains": "e"}, {}])
+        s = {**exact, "exe|endswith": rng.choice(["sh", "x"])}
+        t = rng.choice([{"key": rng.choice(keys)}, {"a2": "1"}])
+        blocks.append(json.dumps({"s": s, "t": t, "f": {"key": rng.choice(keys)}, "condition": rng.choice(conditions)}))
+    events = events_of(spark, *[
+        {"key": rng.choice([*keys, None]), "exe": rng.choice(["/bin/sh", "x", None]), "a2": rng.choice("12")}
+        for _ in range(150)
+    ])
+    rules = rules_of(spark, *[(f"r{i}", [], [], b) for i, b in enumerate(blocks)])
+
+    def counts(dispatch):
+        compiled = list(matching.compile_rules(rules, dispatch=dispatch))
+        assert bool(compiled[0].required) == bool(dispatch)
+        return sorted(matching.layer_counts(events, iter(compiled)).collect())
+
+    assert counts("key") == counts(None) and len(counts(None)) > 20

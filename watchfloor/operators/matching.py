@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.text import keyword_tokens
 from watchfloor.operators import token_search
-from watchfloor.operators.predicates import Fields, UntranslatableCondition, rule_predicate
-from watchfloor.session import inline_table, join_dimension
+from watchfloor.operators.predicates import Fields, UntranslatableCondition, required_values, rule_predicate
+from watchfloor.session import inline_table, join_dimension, sql_string
 
 # The fields each kind of keyword search reads, and how many samples a result keeps.
 FREE_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2", "key")
@@ -107,6 +107,8 @@ class CompiledRules:
     tokens: Mapping[str, tuple[int, ...]] = field(default_factory=dict)
     predicates: Mapping[int, str] = field(default_factory=dict)
     errors: Mapping[int, str] = field(default_factory=dict)
+    dispatch: str | None = None
+    required: Mapping[int, frozenset[str]] = field(default_factory=dict)
 
 
 def compile_rules(
@@ -114,9 +116,14 @@ def compile_rules(
     fields: Fields | None = None,
     case_insensitive: bool = False,
     per_batch: int = RULES_PER_BATCH,
+    dispatch: str | None = None,
 ) -> Iterator[CompiledRules]:
     """Compile rules batch by batch, never holding more than one batch on the driver.
 
+    ``dispatch`` names an event column most rules pin to constants, such as an event type or id. Rules are then
+    filed under those constants and an event is tested only against the rules filed under its own value and those
+    that pin none. The answer is the same with and without it.
+
     ``rules`` has ``rule_id``, ``techniques ARRAY<STRING>``, ``keywords ARRAY<STRING>`` and ``detection``, the
     JSON text of a detection block (null where the rule has none).
     """
@@ -127,14 +134,15 @@ def compile_rules(
         "detection",
     ).toLocalIterator(prefetchPartitions=False)
     while batch := list(islice(rows, per_batch)):
-        yield _compile(batch, fields, case_insensitive)
+        yield _compile(batch, fields, case_insensitive, dispatch)
 
 
-def _compile(batch: list, fields: Fields | None, case_insensitive: bool) -> CompiledRules:
+def _compile(batch: list, fields: Fields | None, case_insensitive: bool, dispatch: str | None) -> CompiledRules:
     techniques: dict[str, list[int]] = {}
     tokens: dict[str, list[int]] = {}
     predicates: dict[int, str] = {}
     errors: dict[int, str] = {}
+    required: dict[int, frozenset[str]] = {}
     for number, row in enumerate(batch):
         for technique in row.techniques:
             for match_id in {technique.upper(), technique.upper().partition(".")[0]}:
@@ -145,6 +153,9 @@ def _compile(batch: list, fields: Fields | None, case_insensitive: bool) -> Comp
         if "condition" in block and str(block["condition"]).strip() != "keywords":
             try:
                 predicates[number] = rule_predicate(block, fields, case_insensitive)
+                values = required_values(block, dispatch) if dispatch and not case_insensitive else None
+                if values is not None:
+                    required[number] = values
             except (UntranslatableCondition, ValueError) as problem:
                 errors[number] = str(problem)
     return CompiledRules(
@@ -153,6 +164,8 @@ def _compile(batch: list, fields: Fields | None, case_insensitive: bool) -> Comp
         {k: tuple(sorted(set(v))) for k, v in tokens.items()},
         predicates,
         errors,
+        dispatch,
+        required,
     )
 
 
@@ -179,12 +192,32 @@ def _token_columns(tokens: Mapping[str, tuple[int, ...]], whole_words: bool, gen
     ]
 
 
+def _predicate_columns(rules: CompiledRules) -> list[Column]:
+    """Columns that name the rules whose conditions hold, filed under the dispatch value where rules pin one."""
+
+    def named(numbers: Sequence[int]) -> list[str]:
+        return [f"CASE WHEN {rules.predicates[n]} THEN '{n}' END" for n in numbers]
+
+    filed: dict[str, list[int]] = {}
+    for number, values in rules.required.items():
+        for value in values:
+            filed.setdefault(value, []).append(number)
+    columns = [F.expr(sql) for sql in named([n for n in rules.predicates if n not in rules.required])]
+    if filed:
+        branches = " ".join(
+            f"WHEN {sql_string(value)} THEN concat_ws(',', {', '.join(named(numbers))})" for value, numbers in filed.items()
+        )
+        # concat_ws skips nulls but not empty text, and an event may match none of the rules under its value.
+        columns.append(F.expr(f"nullif(CASE `{rules.dispatch}` {branches} END, '')"))
+    return columns
+
+
 def with_signatures(
     events: DataFrame, rules: CompiledRules, whole_words: bool = False, generated_tokens: int = GENERATED_TOKENS
 ) -> DataFrame:
     """Add ``_field_rules`` (condition layer) and ``_broad_rules`` (technique or keyword layer) to each event."""
     text = haystack(events, INDEXED_TEXT_FIELDS if whole_words else FREE_TEXT_FIELDS)
-    by_field = [F.when(F.expr(sql), F.lit(str(number))) for number, sql in rules.predicates.items()]
+    by_field = _predicate_columns(rules)
     by_token = _token_columns(rules.tokens, whole_words, generated_tokens)
     out = events
     by_technique = []

@@ -159,6 +159,27 @@ def rule_predicate(detection: Mapping[str, Any], fields: Fields | None = None, c
     return re.sub(token, resolve, condition)
 
 
+def required_values(detection: Mapping[str, Any], field: str) -> frozenset[str] | None:
+    """Values ``field`` must have for the rule to hold, or null where the rule does not say.
+
+    Only read off plain conjunctions: every selection named without ``not`` has to hold, so an exact condition on
+    the field in any of them is a requirement.
+    """
+    condition = str(detection.get("condition") or "")
+    if not re.fullmatch(r"(?i)\s*(?:not\s+)?[\w-]+(?:\s+and\s+(?:not\s+)?[\w-]+)*\s*", condition):
+        return None
+    required = None
+    for part in re.split(r"(?i)\s+and\s+", condition.strip()):
+        group = None if re.match(r"(?i)not\s", part) else detection.get(part.strip())
+        value = group.get(field) if isinstance(group, Mapping) else None
+        values = value if isinstance(value, list) else [value]
+        if value is None or None in values:
+            continue
+        texts = frozenset(str(v) for v in values)
+        required = texts if required is None else required & texts
+    return required
+
+
 def predicate(detection: Mapping[str, Any], fields: Fields | None = None, case_insensitive: bool = False) -> Column:
     """``rule_predicate`` as a filter column."""
     return F.expr(rule_predicate(detection, fields, case_insensitive))

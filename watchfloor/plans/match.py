@@ -20,7 +20,8 @@ class Backend:
     """A telemetry table and how it is searched.
 
     ``local`` matches techniques and keyword substrings; ``indexed`` tries the rule's own conditions first and then
-    techniques and whole words; ``search`` looks for terms in the raw text.
+    techniques and whole words; ``search`` looks for terms in the raw text. ``dispatch`` is explained at
+    ``matching.compile_rules``.
     """
 
     events: DataFrame
@@ -29,6 +30,7 @@ class Backend:
     raw: str = "raw"
     fields: Fields | None = None
     case_insensitive: bool = False
+    dispatch: str | None = None
 
 
 def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start: str | None = None,
@@ -46,7 +48,9 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
         return _search(rules, events, backend, name)
     whole_words = backend.kind == "indexed"
     usable = rules if whole_words else rules.withColumn("detection", F.lit(None).cast("string"))
-    compiled = list(matching.compile_rules(usable, backend.fields, backend.case_insensitive))
+    compiled = list(
+        matching.compile_rules(usable, backend.fields, backend.case_insensitive, dispatch=backend.dispatch)
+    )
     counts = matching.layer_counts(events, iter(compiled), whole_words)
     chosen = matching.layered_hits(rules.join(counts, "rule_id", "left"))
     for batch in compiled:
