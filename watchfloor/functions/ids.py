@@ -34,16 +34,26 @@ def canonical_cve(raw: Column) -> Column:
     return F.when(year != "", F.concat(F.lit("CVE-"), year, F.lit("-"), F.regexp_extract(raw, CVE_PATTERN, 2)))
 
 
+def _groups(text: Column, pattern: str) -> tuple[Column, Column]:
+    return tuple(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) for group in (1, 2))
+
+
 def techniques_in_text(text: Column) -> Column:
     """Distinct canonical technique ids of a text, in order of first appearance."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(TECHNIQUE_PATTERN), F.lit(0)), canonical_technique)
-    )
+
+    def join(base: Column, sub: Column) -> Column:
+        return F.concat(F.lit("T"), base, F.when(sub == "", "").otherwise(F.concat(F.lit("."), sub)))
+
+    return F.array_distinct(F.zip_with(*_groups(text, TECHNIQUE_PATTERN), join))
 
 
 def cves_in_text(text: Column) -> Column:
     """Distinct canonical CVE ids of a text, in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CVE_PATTERN), F.lit(0)), canonical_cve))
+
+    def join(year: Column, number: Column) -> Column:
+        return F.concat(F.lit("CVE-"), year, F.lit("-"), number)
+
+    return F.array_distinct(F.zip_with(*_groups(text, CVE_PATTERN), join))
 
 
 def cves_from_tags(tags: Column) -> Column:
