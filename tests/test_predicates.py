@@ -119,3 +119,19 @@ def test_exact_match_reaches_the_scan(spark, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[.*In\(image", text)
     assert plan.count() == 2
+
+
+@pytest.mark.parametrize("network", ["0.0.0.0/0", "8.0.0.0/7", "10.0.0.0/8", "172.16.0.0/12", "10.1.0.0/16", "10.0.8.0/21",
+                                     "10.1.2.0/24", "10.1.2.128/25", "10.1.2.3/32", "10.1.2.2/31"])
+def test_cidr_against_the_address_library(spark, network):
+    import ipaddress
+    import random
+
+    rng = random.Random(network)
+    texts = [".".join(str(rng.choice([0, 1, 2, 3, 8, 9, 10, 15, 16, 31, 32, 127, 128, 172, 255])) for _ in range(4))
+             for _ in range(300)]
+    texts += ["10.1.2.3", "10.1.2.2", "10.1.2.200", "10.0.15.1", "10.0.16.1", "172.31.0.1", "9.0.0.1"]
+    bad = ["10.1.2", "10.1.2.3.4", "10.1.2.256", "10.01.2.3", "10.1.2.x", "", "10.1.2.3 ", "10.1..3"]
+    table = spark.createDataFrame([(t,) for t in texts + bad], "ip STRING")
+    got = {r.ip for r in table.filter(predicate({"s": {"ip|cidr": network}, "condition": "s"}, Fields(["ip"], None))).collect()}
+    assert got == {t for t in texts if ipaddress.ip_address(t) in ipaddress.ip_network(network)}

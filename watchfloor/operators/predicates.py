@@ -22,6 +22,7 @@ from watchfloor.session import sql_string
 COMPARISONS = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
 MATCHERS = ("", "contains", "startswith", "endswith", "re", "cidr", "exists", *COMPARISONS)
 FLAGS = ("all", "base64", "cased")
+IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$"
 RESERVED_GROUPS = ("condition", "keywords", "timeframe")
 
 
@@ -45,14 +46,25 @@ class Fields:
 
 
 def _cidr(field: str, network: str) -> str:
-    """Range test on the packed IPv4 address; text that is no address is null, hence no match."""
+    """IPv4 range test: whole octets as a text prefix, the partial one as a number, then the shape of the address.
+
+    The prefix decides nearly every row without parsing it. Text that is no address does not match.
+    """
     net = ipaddress.ip_network(network, strict=False)
     if net.version != 4:
         raise UntranslatableCondition(f"only IPv4 ranges are supported: {network!r}")
-    packed = " + ".join(f"try_cast(split_part({field}, '.', {i + 1}) AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
-    octets = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
-    first, last = int(net.network_address), int(net.broadcast_address)
-    return f"({field} RLIKE {sql_string(octets)} AND ({packed}) BETWEEN {first} AND {last})"
+    whole, partial = divmod(net.prefixlen, 8)
+    octets = str(net.network_address).split(".")
+    if whole == 4:
+        return f"{field} = {sql_string('.'.join(octets))}"
+    tests = []
+    if whole:
+        tests.append(f"startswith({field}, {sql_string('.'.join(octets[:whole]) + '.')})")
+    tests.append(f"{field} RLIKE {sql_string(IPV4)}")
+    if partial:
+        first, last = (str(a).split(".")[whole] for a in (net.network_address, net.broadcast_address))
+        tests.append(f"try_cast(split_part({field}, '.', {whole + 1}) AS INT) BETWEEN {first} AND {last}")
+    return "(" + " AND ".join(tests) + ")"
 
 
 def _one_value(field: str, matcher: str, value: Any, fold: bool) -> str:
