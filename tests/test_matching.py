@@ -86,7 +86,9 @@ def test_search_backend_and_union(spark):
     events = events_of(spark, {"raw": "x t1190 y"}, {"raw": "Payload JNDI here"}, {"raw": "t1190 jndi"})
     rules = rules_of(spark, ("r", ["T1190"], ["jndi ldap rmi-x"]), ("e", [], ["a b"]))
     out = validate_corpus(rules, {"search": Backend(events, kind="search"), "local": Backend(events)})
-    got = {(r.siem, r.rule_id): (r.hits, r.status) for r in out.collect()}
+    rows = out.collect()
+    assert {r.query for r in rows if r.siem == "search"} == {"search: T1190 OR jndi OR ldap", "(no terms to search)"}
+    got = {(r.siem, r.rule_id): (r.hits, r.status) for r in rows}
     assert got == {("search", "r"): (3, "pass"), ("search", "e"): (0, "skip"),
                    ("local", "r"): (2, "pass"), ("local", "e"): (0, "fail")}
 

@@ -325,7 +325,7 @@ def latest_samples(
     k: int = SAMPLES_PER_RULE, first: bool = False,
 ) -> DataFrame:
     """The ``k`` latest (or first) events per rule. Each task forwards at most ``k`` rows per rule."""
-    order = [F.col(time).asc(), F.col(tie).asc()] if first else [F.col(time).desc(), F.col(tie).desc()]
+    order = [F.col(time).asc_nulls_last(), F.col(tie).asc()] if first else [F.col(time).desc(), F.col(tie).desc()]
     window = W.partitionBy(*by).orderBy(*order)
     return hits.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
 

@@ -12,7 +12,13 @@ from watchfloor.functions.text import keyword_tokens, leading_tokens
 from watchfloor.operators import matching
 from watchfloor.operators.predicates import Fields
 
-NO_TERMS = "No technique IDs or keywords to search"
+# What a result says when there is nothing to look for, per kind of backend.
+NOTHING = {
+    "local": ("(no techniques or keywords found)", matching.NO_PREDICATES),
+    "indexed": ("(no techniques, keywords, or translatable detection block)", matching.NO_PREDICATES),
+    "search": ("(no terms to search)", "No technique IDs or keywords to search"),
+}
+SEARCH_TEXT_LENGTH = 80
 
 
 @dataclass(frozen=True)
@@ -53,17 +59,18 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
     )
     counts = matching.layer_counts(events, iter(compiled), whole_words)
     chosen = matching.layered_hits(rules.join(counts, "rule_id", "left"))
+    chosen = chosen.withColumn("condition_error", F.lit(None).cast("string"))
     for batch in compiled:
         chosen = _with_errors(chosen, batch)
     n_terms = F.size("techniques") + F.size(keyword_tokens(F.col("keywords")) if whole_words else F.col("keywords"))
-    results = _results(chosen, F.col("hits"), n_terms == 0, name, start, matching.NO_PREDICATES)
+    prefix = F.when(F.col("layer") == "field", "sigma-fields  ").otherwise("")
+    query = F.concat(prefix, matching.query_description(F.col("techniques"), F.size("keywords"), start))
+    results = _results(chosen, n_terms == 0, name, query, F.col("condition_error"), backend.kind)
     return _with_samples(results, events, compiled, chosen, backend, whole_words) if samples else results
 
 
 def _with_errors(chosen: DataFrame, batch: matching.CompiledRules) -> DataFrame:
     """Why a rule's own conditions could not be evaluated, kept beside the fallback's answer."""
-    if "condition_error" not in chosen.columns:
-        chosen = chosen.withColumn("condition_error", F.lit(None).cast("string"))
     if not batch.errors:
         return chosen
     text = F.try_element_at(
@@ -72,16 +79,15 @@ def _with_errors(chosen: DataFrame, batch: matching.CompiledRules) -> DataFrame:
     return chosen.withColumn("condition_error", F.coalesce("condition_error", text))
 
 
-def _results(rules: DataFrame, hits: Column, nothing: Column, siem: str, start: str | None, skipped: str) -> DataFrame:
-    is_skip = nothing & (hits == 0)
-    prefix = F.when(F.col("layer") == "field", "sigma-fields  ").otherwise("") if "layer" in rules.columns else F.lit("")
-    error = F.col("condition_error") if "condition_error" in rules.columns else F.lit(None).cast("string")
+def _results(rules: DataFrame, nothing: Column, siem: str, query: Column, error: Column, kind: str) -> DataFrame:
+    is_skip = nothing & (F.col("hits") == 0)
+    no_query, no_reason = NOTHING[kind]
     return rules.select(
         "rule_id", "name", "techniques", F.lit(siem).alias("siem"),
-        F.concat(prefix, matching.query_description(F.col("techniques"), F.size("keywords"), start)).alias("query"),
-        hits.alias("hits"),
-        F.when(is_skip, "skip").when(hits > 0, "pass").otherwise("fail").alias("status"),
-        F.when(is_skip, F.lit(skipped)).otherwise(error).alias("error"),
+        F.when(is_skip, F.lit(no_query)).otherwise(query).alias("query"),
+        "hits",
+        F.when(is_skip, "skip").when(F.col("hits") > 0, "pass").otherwise("fail").alias("status"),
+        F.when(is_skip, F.lit(no_reason)).otherwise(error).alias("error"),
     )
 
 
@@ -102,13 +108,13 @@ def _with_samples(results: DataFrame, events: DataFrame, compiled: list, chosen:
 
 
 def _search(rules: DataFrame, events: DataFrame, backend: Backend, name: str) -> DataFrame:
-    terms = rules.select(
-        "rule_id", F.explode(matching.search_terms(F.col("techniques"), leading_tokens(F.col("keywords")))).alias("term")
+    wanted = rules.withColumn("terms", matching.search_terms(F.col("techniques"), leading_tokens(F.col("keywords"))))
+    counts = matching.free_text_hits(
+        events, wanted.select("rule_id", F.explode("terms").alias("term")), F.col(backend.raw)
     )
-    counts = matching.free_text_hits(events, terms, F.col(backend.raw))
-    joined = rules.join(counts, "rule_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
-    nothing = F.size(matching.search_terms(F.col("techniques"), leading_tokens(F.col("keywords")))) == 0
-    return _results(joined, F.col("hits"), nothing, name, None, NO_TERMS)
+    joined = wanted.join(counts, "rule_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
+    query = F.concat(F.lit("search: "), F.left(F.array_join("terms", " OR "), F.lit(SEARCH_TEXT_LENGTH)))
+    return _results(joined, F.size("terms") == 0, name, query, F.lit(None).cast("string"), "search")
 
 
 def validate_corpus(rules: DataFrame, backends: Mapping[str, Backend], start: str | None = None) -> DataFrame:
