@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, mixing, secret_scans
+from watchfloor.llm import fingerprints, language, mixing, secret_scans
+from watchfloor.llm.common import crc32_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
+    model = language.train(docs, usable=~held_out)
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "family")
+
+
 @query
 def op2_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))

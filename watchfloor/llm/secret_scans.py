@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and strings that a byte-pair vocabulary cannot shorten.
 
 A vocabulary learnt from ordinary text covers words, names and paths with long tokens. A random string falls apart into
-many short ones, so a low number of characters per token gives it away. Candidates are maximal runs of 20 or more characters of
-``[A-Za-z0-9+/_=-]`` with a letter and a digit; digests (hexadecimal runs of 32, 40, 56, 64, 96 or 128 digits), UUIDs and
-plain numbers are known and left out, and so is what a pattern already covers. A candidate with at most 2.2
+many short ones, so a low number of characters per token gives it away. Candidates are maximal runs of 20 or more
+characters of ``[A-Za-z0-9+/_=-]``. Known things are left out: digests (hexadecimal runs of 32, 40, 56, 64, 96 or 128
+digits), UUIDs, plain numbers and rules of signs, and whatever a pattern already covers. A candidate with at most 1.9
 characters per token is a span of kind ``random``.
 
 Spans are code points, end exclusive. Null texts count as empty; an empty text has no span. Whole texts are scanned.
@@ -33,7 +33,7 @@ KNOWN = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 CANDIDATE_LEAST = 20
-CHARACTERS_PER_TOKEN = 2.2
+CHARACTERS_PER_TOKEN = 1.9
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are cut before byte pairs are merged.
 CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,7 +58,7 @@ class Scanner:
         self.access = re.compile(ACCESS)
         self.run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min(CANDIDATE_LEAST, HEX_LEAST))
         self.hex = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
-        self.known = re.compile(f"{KNOWN}|{UUID}|[0-9+/_=-]+|[A-Za-z+/_=-]+")
+        self.known = re.compile(f"{KNOWN}|{UUID}|[0-9+/_=-]+")
 
     def is_random(self, text: str) -> bool:
         return len(text) <= self.limit * len(self.encoding.encode_ordinary(text))
