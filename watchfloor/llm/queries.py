@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, mixing, secret_scans
+from watchfloor.llm import fingerprints, language, mixing, secret_scans, toxicity
 from watchfloor.llm.common import crc32_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,14 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("row")
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 5 == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 ORACLES["op6_mixing"] = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
