@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, mixing, pieces, secret_scans, toxicity
+from watchfloor.llm import fingerprints, language, mixing, pieces, secret_scans, toxicity, warc
 from watchfloor.llm.common import crc32_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op8_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), check=True)
 
 
+@query
+def op9_warc(spark, sf_dir):
+    return warc.archived(spark, table(spark, sf_dir, "pages")).drop("payload")
+
+
 ORACLES["op6_mixing"] = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
