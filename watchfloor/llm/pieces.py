@@ -25,6 +25,7 @@ import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from watchfloor.llm.common import map_batches
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS_KEPT = 200_000
-PAIRS_KEPT = 2_000_000
+PAIRS_KEPT = 500_000
 # Fixed values of the public model format: kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -150,62 +151,98 @@ def merged(model: Model, text: str) -> list[str]:
 class Encoder:
     def __init__(self, model: Model):
         self.model, self.words, self.pairs, self.whole = model, {}, {}, {}
+        # Pieces by their characters from the last to the first: char -> (piece that begins there or -1, further chars).
+        root: dict = {}
+        for text, at in model.ids.items():
+            node = [-1, root]
+            for char in reversed(text):
+                node = node[1].setdefault(char, [-1, {}])
+            node[0] = at
+        self.endings = root
 
     def together(self, a: str, b: str) -> bool:
         """Do pieces ``a`` and ``b`` stay as they are side by side?"""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            known = self.pairs[a, b] = merged(self.model, a + b) == [a, b]
-        return known
-
-    def alone(self, a: str) -> bool:
-        if a not in self.whole:
-            self.whole[a] = merged(self.model, a) == [a]
-        return self.whole[a]
+        return merged(self.model, a + b) == [a, b]
+
+    def fits(self, word: str, start: int, end: int, before: int | None) -> bool:
+        """Does the piece word[start:end] go with the encoding of word[:start], whose last piece is ``before``?"""
+        piece = word[start:end]
+        if not start:
+            return merged(self.model, piece) == [piece]
+        return self.together(word[start - 1] if before is None else self.model.texts[before], piece)
+
+    def last_piece(self, word: str, end: int, last: list) -> int | None:
+        """The piece that goes with the state it starts from; None: the character has no piece."""
+        further, found, start, pairs = self.endings, [], end, self.pairs
+        while start:
+            node = further.get(word[start - 1])
+            if node is None:
+                break
+            start -= 1
+            at, further = node
+            if at >= 0:
+                found.append((start, at))
+        single = end - 1
+        while found:
+            start, at = found.pop()
+            if start == single:
+                return at
+            key = (last[start], at, start and 1)
+            known = pairs.get(key)
+            if known is None:
+                known = self.fits(word, start, end, last[start])
+                if last[start] is not None or not start:
+                    if len(pairs) >= PAIRS_KEPT:
+                        pairs.clear()
+                    pairs[key] = known
+            if known:
+                return at
+        return None
+
+    def best_piece(self, word: str, end: int, best: list[float], penalty: float) -> tuple[float, int | None]:
+        """The best score of the prefix up to ``end`` and its last piece."""
+        further, start, top, chosen = self.endings, end, best[end - 1] + penalty, None
+        while start and (node := further.get(word[start - 1])) is not None:
+            start -= 1
+            at, further = node
+            if at >= 0 and (chosen is None or best[start] + self.model.scores[at] > top):
+                top, chosen = best[start] + self.model.scores[at], at
+        return top, chosen
 
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Sorted distinct words with their ids. last[i] is the last piece of the encoding of the first i characters of the
-        current path, best[i] its score."""
+        current path (None: a character without a piece), best[i] its score."""
         model, viterbi = self.model, self.model.kind == UNIGRAM
-        ids, scores, longest = model.ids, model.scores, model.longest
+        lengths = [len(t) for t in model.texts]
         penalty = min(model.scores, default=0.0) - 10.0
-        last, best, before = [""], [0.0], ""
+        last: list[int | None] = [None]
+        best, before = [0.0], ""
         for word in words:
-            shared = 0
-            for x, y in zip(before, word):  # noqa: B905
-                if x != y:
-                    break
-                shared += 1
+            shared = len(commonprefix((before, word)))
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                chosen, top = word[end - 1], best[end - 1] + penalty if viterbi else 0.0
                 if viterbi:
-                    for start in range(max(0, end - longest), end):
-                        at = ids.get(word[start:end])
-                        if at is not None and (best[start] + scores[at] > top or (end - start == 1 and chosen not in ids)):
-                            top, chosen = best[start] + scores[at], word[start:end]
+                    top, chosen = self.best_piece(word, end, best, penalty)
+                    best.append(top)
                 else:
-                    for start in range(max(0, end - longest), end - 1):
-                        piece = word[start:end]
-                        if piece in ids and (self.together(last[start], piece) if start else self.alone(piece)):
-                            chosen = piece
-                            break
+                    chosen = self.last_piece(word, end, last)
                 last.append(chosen)
-                best.append(top)
             before, out, at = word, [], len(word)
             while at:
                 piece = last[at]
-                out.append((ids[piece],) if piece in ids else model.fallback(piece))
-                at -= len(piece)
+                if piece is None:
+                    out.append(model.fallback(word[at - 1]))
+                    at -= 1
+                else:
+                    out.append((piece,))
+                    at -= lengths[piece]
             yield word, tuple(chain.from_iterable(reversed(out)))
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         units = [None if t is None else self.model.units.findall(self.model.normalised(t)) for t in texts]
         new = set(chain.from_iterable(u for u in units if u))
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
+        if len(self.words) + len(new) > WORDS_KEPT:  # what this batch does not use gives way
+            self.words = {w: ids for w in new if (ids := self.words.get(w)) is not None}
         self.words.update(self.encode_sorted(sorted(new - self.words.keys())))
         return [None if u is None else list(chain.from_iterable(map(self.words.__getitem__, u))) for u in units]
 
@@ -217,11 +254,13 @@ def read_model(path: str) -> bytes:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, check: bool = False) -> DataFrame:
     """doc_id, ids, n_tokens; with ``check`` also round_trip: do the ids decode to the text?"""
-    sent = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    sent = docs.sparkSession.sparkContext.broadcast({"model": read_model(model)})
 
     def run(batches):
-        known = Model(sent.value)
-        encoder = Encoder(known)
+        if "encoder" not in sent.value:  # a worker process keeps its copy, and so its memory of words, from task to task
+            sent.value["encoder"] = Encoder(Model(sent.value["model"]))
+        encoder = sent.value["encoder"]
+        known = encoder.model
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = encoder.encode(texts)
