@@ -24,10 +24,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from watchfloor.llm.common import map_batches
+from watchfloor.llm.common import map_batches, smallest_hashes
 
 # Families of common written languages by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -141,8 +140,7 @@ def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """Of each language the rows with the smallest hash of their id. The cut is found on ids alone; texts are not shuffled."""
-    order = W.partitionBy("lang").orderBy("hash")
-    ranked = docs.select("lang", "hash").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    ranked = smallest_hashes(docs.select("lang", "hash"), "lang", "hash", per_language)
     cuts = {r.lang: r.cut for r in ranked.groupBy("lang").agg(F.max("hash").alias("cut")).collect()}
     if not cuts:
         return docs.filter("false")

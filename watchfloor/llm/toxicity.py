@@ -20,10 +20,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from watchfloor.llm.common import map_batches
+from watchfloor.llm.common import map_batches, smallest_hashes
 
 WINDOW_WORDS = 8
 LONGEST_WORD = 64  # longer words are cut into pieces of this many characters
@@ -102,7 +101,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column | None, i
     known = known if usable is None else known.filter(usable)
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     known = known.withColumn("hash", F.xxhash64("doc_id"))
-    ranked = known.withColumn("n", F.row_number().over(W.partitionBy("toxic").orderBy("hash"))).filter(F.col("n") <= per_class)
+    ranked = smallest_hashes(known, "toxic", "hash", per_class)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.join(F.broadcast(ranked), "doc_id").select("toxic", "hash", "text"), totals
 
