@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, mixing, near_copies, pieces, secret_scans, toxicity, warc
+from watchfloor.llm import fingerprints, language, mixing, near_copies, near_vectors, pieces, secret_scans, toxicity, warc
 from watchfloor.llm.common import crc32_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op9_warc(spark, sf_dir):
     return warc.archived(spark, table(spark, sf_dir, "pages")).drop("payload")
 
 
+@query
+def op4_near_vectors(spark, sf_dir):
+    return near_vectors.near_vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_near_copies(spark, sf_dir):
     return near_copies.near_copy_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
