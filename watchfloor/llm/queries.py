@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, mixing, near_copies, near_vectors, pieces, secret_scans, toxicity, warc
+from watchfloor.llm import fingerprints, language, mixing, near_copies, near_vectors, pieces, repeats, secret_scans, toxicity, warc
 from watchfloor.llm.common import crc32_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,11 @@ def op5_near_copies(spark, sf_dir):
     return near_copies.near_copy_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+@query
+def op10_repeats(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), keep="none").drop("kept", "spans")
+
+
 ORACLES["op6_mixing"] = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
