@@ -38,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet below the shared checkpoint folder and read again."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared checkpoint folder, as a URI or path; nothing is created yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

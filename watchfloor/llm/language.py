@@ -216,34 +216,60 @@ def vote(names: list[str], kind: str, odds: dict) -> tuple[np.ndarray, np.ndarra
     return share / share.sum(1, keepdims=True)
 
 
+class Judge:
+    """The model inside a task: (language, score, family) of each text."""
+
+    def __init__(self, table: bytes, model: dict):
+        self.features, self.machines, self.families = Features(table), model["machines"], model["families"]
+        self.weights = np.stack([m[0] for m in self.machines.values()], 1) if self.machines else None
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
+        out = [(UNKNOWN, 0.0, UNKNOWN)] * len(texts)
+        found = [self.features(t) for t in texts]
+        at = [i for i, f in enumerate(found) if f is not None] if self.families else []
+        if not at:
+            return out
+        odds = {"none": np.zeros(len(at))}
+        if self.weights is not None:
+            margin = np.stack([found[i] for i in at]) @ self.weights[:-1] + self.weights[-1]
+            odds |= {k: 1 / (1 + np.exp(-np.clip(s * margin[:, c] + o, -30, 30))) for c, (k, (_, s, o)) in enumerate(self.machines.items())}
+        names = sorted(self.families)
+        first = vote(names, "family", odds)
+        within = {f: vote(self.families[f], "language", odds) for f in names}
+        for row, i in enumerate(at):
+            best = int(first[row].argmax())
+            inner = within[names[best]][row]
+            out[i] = self.families[names[best]][int(inner.argmax())], float(first[row, best] * inner.max()), names[best]
+        return out
+
+
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and family for every whole text."""
     spark = docs.sparkSession
     table, sent = spark.sparkContext.broadcast(letter_table()), spark.sparkContext.broadcast(model)
 
     def run(batches):
-        features, known = Features(table.value), sent.value
-        machines, families = known["machines"], known["families"]
-        weights = np.stack([m[0] for m in machines.values()], 1) if machines else None
+        judge = Judge(table.value, sent.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = [features(t) for t in texts]
-            at = [i for i, f in enumerate(found) if f is not None] if families else []
-            langs, scores, groups = [UNKNOWN] * len(texts), [0.0] * len(texts), [UNKNOWN] * len(texts)
-            if at:
-                odds = {"none": np.zeros(len(at))}
-                if weights is not None:
-                    margin = np.stack([found[i] for i in at]) @ weights[:-1] + weights[-1]
-                    odds |= {k: 1 / (1 + np.exp(-np.clip(s * margin[:, c] + o, -30, 30))) for c, (k, (_, s, o)) in enumerate(machines.items())}
-                names = sorted(families)
-                first = vote(names, "family", odds)
-                within = {f: vote(families[f], "language", odds) for f in names}
-                for row, i in enumerate(at):
-                    best = int(first[row].argmax())
-                    inner = within[names[best]][row]
-                    groups[i], langs[i] = names[best], families[names[best]][int(inner.argmax())]
-                    scores[i] = float(first[row, best] * inner.max())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs), pa.array(scores, pa.float64()), pa.array(groups)], ["doc_id", "lang_pred", "score", "family"])
+            langs, scores, families = zip(*judge(batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(families, pa.string())], ["doc_id", "lang_pred", "score", "family"]
+            )
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, family string")
+
+
+def in_known_language(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, that are in a language of the model with at least the given score; a text
+    without letters is in none. A model without languages rejects everything."""
+    spark = docs.sparkSession
+    table, sent = spark.sparkContext.broadcast(letter_table()), spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        judge = Judge(table.value, sent.value)
+        for batch in batches:
+            found = judge(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

@@ -145,15 +145,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, with the columns of ``docs``: one row for each whole copy taken. The one document in which the
     budget ends gives its first words, with single spaces between them. Documents of which nothing is taken go.
 
-    Decisions return to their documents by id, size and place among the rows that share both.
+    Decisions return to their documents by id and size, and by their place among rows that share both where there are any.
     """
     taken = mix_sources(docs, id_col, text_col, source_col, **options)
-    nth = F.row_number().over(W.partitionBy("doc_id", "size").orderBy(F.desc("taken"), "row"))
-    part = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken", nth.alias("__nth_taken")).filter("taken > 0")
     text = F.col(f"`{text_col}`")
+    part = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken", "row")
     rows = docs.withColumn("__words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(f"`{id_col}`", "__words").orderBy(text)))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__nth_taken"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size"))
+    if not part.groupBy("__id", "__size").count().filter("count > 1").isEmpty():
+        part = part.withColumn("__nth_taken", F.row_number().over(W.partitionBy("__id", "__size").orderBy(F.desc("taken"), "row")))
+        rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(f"`{id_col}`", "__words").orderBy(text)))
+        same &= F.col("__nth") == F.col("__nth_taken")
+    part = part.filter("taken > 0")
     rest = F.expr("taken % __words")
     lengths = F.concat(F.expr("array_repeat(__words, CAST(taken DIV __words AS INT))"), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
     rows = rows.join(part, same).withColumn("__n", F.explode(lengths))
