@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 import __spark_entry__ as contract  # noqa: E402
+from workload.registry import QUERIES  # noqa: E402
 
 SF_DIR = contract.SMOKE_DIR
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
@@ -20,7 +21,7 @@ def db():
     return check_oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, db, name):
     import check_oracle
 
@@ -32,6 +33,6 @@ def test_entry(spark):
 
 
 def test_no_query_plans_a_product_join(spark):
-    for name, run in contract.queries().items():
+    for name, run in QUERIES.items():
         plan = run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
