@@ -10,9 +10,11 @@ only until it is later than every register, so a signature takes about n + m log
 
 Signatures are cut into bands; documents that share a band are candidates, and the similarity of candidates is
 computed exactly on their whole texts. Equal multisets are collapsed first. Inside a band's bucket every member meets the
-bucket's smallest member (the leader); then the few that are not connected to it meet the other members, unless the
-leader rules it out: 1 - similarity is a metric, so members whose distances to the leader differ by more than 0.2 cannot be
-0.8 alike. Linked documents form groups; nothing is emitted for pairs inside a connected group.
+bucket's smallest member, its leader, and linked members become groups. Buckets that then still hold several groups get
+another leader, drawn by hash, whom the members of other groups meet, and so on; a dense group thus falls together in a
+few turns of linear cost. When the pairs of different groups left in all buckets are few enough to look at (twice as many each
+turn), all of them are looked at: pairs are dropped by what each document has alone, and compared otherwise. So no pair
+that shares a bucket is skipped unless its two documents are connected already or cannot be alike.
 
 Defaults: 32 bands of 6 of 192 registers miss a pair of similarity 0.8 in one bucket-sharing test out of 16,000, rarer above.
 
@@ -35,6 +37,7 @@ from watchfloor.llm.components import components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
+CHEAP = 128  # pairs for each member of a bucket that may be looked at (not compared) instead of another turn of leaders
 GROUP = 512  # comparisons with one leader that a task takes on; a leader with more is sent to several
 
 
@@ -148,19 +151,50 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return checkpointed(map_batches(rows, run, "a binary, b binary, similarity double"))
 
 
-def remaining_pairs(members: DataFrame, met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that share a bucket, lie in different groups and are not ruled out by size or by their distances to the leader."""
-    grouped = F.coalesce(F.col("component"), F.col("node"))
-    place = members.join(groups.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", "leader", grouped.alias("mine"))
-    of_leader = groups.select(F.col("node").alias("l"), F.col("component").alias("of"))
-    place = place.join(of_leader, F.col("leader") == F.col("l"), "left").withColumn("theirs", F.coalesce("of", "leader")).filter("node <> leader")
-    place = place.join(met.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity"), (F.col("node") == F.col("x")) & (F.col("leader") == F.col("y")))
-    place = place.select("key", "node", "n", "mine", "theirs", "similarity")
-    strays = place.filter("mine <> theirs").select("key", F.col("node").alias("s"), F.col("n").alias("s_n"), F.col("mine").alias("s_mine"), F.col("similarity").alias("s_similarity"))
-    near = F.abs(F.col("similarity") - F.col("s_similarity")) <= 1 - similarity + 1e-9
-    sized = F.least("n", "s_n") >= similarity * F.greatest("n", "s_n") - 1e-9
-    found = place.join(strays, "key").filter((F.col("node") != F.col("s")) & (F.col("mine") != F.col("s_mine")) & near & sized)
-    return found.select(F.greatest("node", "s").alias("a"), F.least("node", "s").alias("b")).distinct()
+def unresolved(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """The members of buckets that still hold several groups, with their group (``mine``) and, for this turn, another leader
+    for each bucket and its group (``theirs``)."""
+    placed = members.join(groups.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("mine"))
+    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "mine")).alias("drawn")
+    mixed = placed.groupBy("key").agg(drawn, F.min("mine").alias("low"), F.max("mine").alias("high")).filter("low <> high")
+    mixed = mixed.select(F.col("key").alias("k"), F.col("drawn.node").alias("leader"), F.col("drawn.mine").alias("theirs"))
+    return placed.join(mixed, F.col("key") == F.col("k")).drop("k")
+
+
+def open_pairs(rest: DataFrame) -> int:
+    """How many pairs of members of one bucket lie in different groups."""
+    parts = rest.groupBy("key", "mine").agg(F.count("*").alias("c")).groupBy("key")
+    both = parts.agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.pow("c", F.lit(2)))).alias("pairs"))
+    return int((both.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]) // 2)
+
+
+def own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(node, own): how much of each bag no other of these texts has. Nothing alike can cover that part."""
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                hashes, counts = bag(text, powers, width)
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["node", "shingle", "c"])
+
+    rows = map_batches(texts, run, "node binary, shingle long, c long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.min("c").alias("c")).filter("k = 1")
+    return alone.groupBy("node").agg(F.sum("c").alias("own"))
+
+
+def all_open_pairs(rest: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Those pairs themselves, without the ones that cannot be alike: two documents share at most what neither has alone,
+    and that must reach the similarity against the rest of both."""
+    own = own_shingles(texts.join(rest.select(F.col("node").alias("x")).distinct(), F.col("node") == F.col("x"), "left_semi"), width)
+    rest = rest.join(own.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    rest = checkpointed(rest.filter(F.col("common") >= similarity * F.col("n") - 1e-9).select("key", "node", "n", "mine", "common"))
+    one = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "mine", "common")])
+    two = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "mine", "common")])
+    shared = F.least("a_common", "b_common")
+    fit = shared * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - 1e-6
+    found = one.join(two, (one["key"] == two["key"]) & (F.col("a_mine") < F.col("b_mine")) & fit)
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def near_copy_groups(
@@ -177,13 +211,21 @@ def near_copy_groups(
     needed = members.select("node").distinct().join(nodes.select(F.col("node").alias("x"), "one"), F.col("node") == F.col("x")).select("node", "one.*")
     same = source["doc_id"].eqNullSafe(needed["doc_id"]) & (source["text_hash"] == needed["text_hash"])
     texts = checkpointed(source.join(needed, same).select("node", "text").dropDuplicates(["node"]))
-    met = compared(first, texts, width)
-    links = met.filter(F.col("similarity") >= similarity).select("a", "b")
+    links = compared(first, texts, width).filter(F.col("similarity") >= similarity).select("a", "b")
     groups = checkpointed(components(links))
-    rest = checkpointed(remaining_pairs(members, met, groups, similarity))
-    if not rest.isEmpty():
-        more = compared(rest, texts, width).filter(F.col("similarity") >= similarity).select("a", "b")
-        groups = checkpointed(components(links.union(more)))
+    turn, room = 0, CHEAP * members.count()
+    while True:
+        members = checkpointed(unresolved(members, groups, turn))
+        total = open_pairs(members)
+        if not total:
+            break
+        last = total <= room << turn
+        pairs = all_open_pairs(members, texts, similarity, width) if last else members.filter("mine <> theirs").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        links = compared(pairs, texts, width).filter(F.col("similarity") >= similarity).select("a", "b")
+        groups = checkpointed(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+        if last:
+            break
+        members, turn = members.select("key", "node", "n"), turn + 1
     grouped = sketches.join(groups.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("group"))
     best = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best"))
     joined = grouped.join(best, "group")
