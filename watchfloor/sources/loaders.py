@@ -78,32 +78,45 @@ def elastic_document(text: str) -> Iterable[Piece]:
     yield rule, rule.get("query") or rule.get("eql_query") or ""
 
 
+COMMENT = ("#", ";")
+
+
+def logical_lines(text: str) -> Iterable[str]:
+    """The lines of a settings file with continuations joined: a line that ends in a backslash goes on in the next one, and
+    so does a setting followed by an indented line. Comments and blank lines end a setting."""
+    joined = None
+    goes_on = False
+    for line in [*text.splitlines(), ""]:
+        content = line.strip()
+        silent = not content or content.startswith(COMMENT)
+        part = content.removesuffix("\\").strip()
+        if joined is not None and not silent and (goes_on or (line[:1].isspace() and not SETTING.match(content))):
+            joined = f"{joined} {part}"
+        else:
+            if joined is not None:
+                yield joined
+            joined = None if silent else part
+        goes_on = not silent and content.endswith("\\")
+
+
+SETTING = re.compile(r"(?P<key>[A-Za-z][A-Za-z0-9_.]*)\s*=\s*(?P<value>.*)", re.DOTALL)
+
+
 def stanzas(text: str) -> Iterable[Piece]:
-    """Every stanza but ``default``; indented lines continue the value above, ``#`` and ``;`` start comments."""
+    """Every stanza but ``default`` with its settings; a text that does not begin with a stanza is one bare query."""
     if not text.lstrip().startswith("["):
         yield None, text.strip()
         return
-    found: list[dict[str, str]] = []
-    key = None
-    for line in text.splitlines():
-        bare = line.strip()
-        if not bare or bare[0] in "#;":
-            key = None
-        elif header := re.match(r"\[([^\]]+)\]", bare):
-            found.append({"_name": header[1]})
-            key = None
-        elif found and (pair := re.match(r"([A-Za-z][\w.]*)\s*=\s*(.*)", bare)):
-            key = pair[1]
-            found[-1][key] = pair[2].rstrip("\\").strip()
-        elif found and key and line[0] in " \t":
-            found[-1][key] += " " + bare.rstrip("\\").strip()
-        else:
-            key = None
-    kept = [s for s in found if s["_name"] != "default"]
-    if not kept:
+    sections: list[dict[str, str]] = []
+    for line in logical_lines(text):
+        if line.startswith("[") and "]" in line[2:]:
+            sections.append({"_name": line[1 : line.index("]", 2)]})
+        elif sections and (setting := SETTING.fullmatch(line)):
+            sections[-1][setting["key"]] = setting["value"].strip()
+    named = [section for section in sections if section["_name"] != "default"]
+    if not named:
         raise ValueError("no stanza found")
-    for stanza in kept:
-        yield stanza, stanza.get("search", "").strip()
+    yield from ((section, section.get("search", "").strip()) for section in named)
 
 
 def sentinel_document(text: str) -> Iterable[Piece]:
