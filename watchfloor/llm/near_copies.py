@@ -10,11 +10,12 @@ only until it is later than every register, so a signature takes about n + m log
 
 Signatures are cut into bands; documents that share a band are candidates, and the similarity of candidates is
 computed exactly on their whole texts. Equal multisets are collapsed first. Inside a band's bucket every member meets the
-bucket's smallest member, its leader, and linked members become groups. Buckets that then still hold several groups get
-another leader, drawn by hash, whom the members of other groups meet, and so on; a dense group thus falls together in a
-few turns of linear cost. When the pairs of different groups left in all buckets are few enough to look at (twice as many each
-turn), all of them are looked at: pairs are dropped by what each document has alone, and compared otherwise. So no pair
-that shares a bucket is skipped unless its two documents are connected already or cannot be alike.
+bucket's smallest member, its leader, and linked members become groups. Buckets that then still hold several groups are
+open. Documents that share open buckets form clusters, and inside a cluster all are compared, block by block: the sums of
+minima of two blocks of documents are one matrix product, and only a spanning forest of the links leaves the task. While
+clusters are so large that this would send each document to more than four tasks (twice as many each turn), open buckets get
+further leaders, drawn by hash, so that a dense group falls together at linear cost first. No pair that shares a bucket
+is skipped unless its two documents are connected already.
 
 Defaults: 32 bands of 6 of 192 registers miss a pair of similarity 0.8 in one bucket-sharing test out of 16,000, rarer above.
 
@@ -37,7 +38,8 @@ from watchfloor.llm.components import components
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-CHEAP = 128  # pairs for each member of a bucket that may be looked at (not compared) instead of another turn of leaders
+CHEAP = 4  # copies of each open document that may be sent around instead of another turn of leaders
+BLOCK, COLUMNS = 1024, 1024  # documents, and columns of shingles, that are multiplied out at once
 GROUP = 512  # comparisons with one leader that a task takes on; a leader with more is sent to several
 
 
@@ -128,8 +130,8 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return members.join(leaders, "key")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, similarity) of pairs of nodes. Each b meets its a's in one task, or in several if there are many."""
+def compared(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs of nodes that are alike. Each b meets its a's in one task, or in several if there are many."""
     many = pairs.groupBy("b").count().filter(F.col("count") > GROUP).select(F.col("b").alias("hub"), F.ceil(F.col("count") / GROUP).alias("tasks"))
     part = F.pmod(F.xxhash64("a"), F.coalesce("tasks", F.lit(1)))
     dealt = checkpointed(pairs.join(many, F.col("b") == F.col("hub"), "left").select("a", "b", part.alias("part")))
@@ -144,11 +146,11 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             for b, a, text in zip(*(batch.column(c).to_pylist() for c in ("b", "a", "text")), strict=True):
                 if a is None:
                     hub = bag(text, powers, width)
-                else:
-                    out.append((a, b, likeness(bag(text, powers, width), hub)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.float64())], ["a", "b", "similarity"])
+                elif likeness(bag(text, powers, width), hub) >= similarity:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
 
-    return checkpointed(map_batches(rows, run, "a binary, b binary, similarity double"))
+    return checkpointed(map_batches(rows, run, "a binary, b binary"))
 
 
 def unresolved(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
@@ -161,40 +163,80 @@ def unresolved(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     return placed.join(mixed, F.col("key") == F.col("k")).drop("k")
 
 
-def open_pairs(rest: DataFrame) -> int:
-    """How many pairs of members of one bucket lie in different groups."""
-    parts = rest.groupBy("key", "mine").agg(F.count("*").alias("c")).groupBy("key")
-    both = parts.agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.pow("c", F.lit(2)))).alias("pairs"))
-    return int((both.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]) // 2)
-
-
-def own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """(node, own): how much of each bag no other of these texts has. Nothing alike can cover that part."""
+def clusters(members: DataFrame) -> DataFrame:
+    """(node, cluster, blocks): nodes that share an open bucket lie in one cluster; a cluster has blocks of about BLOCK nodes."""
+    parts = components(members.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("component", "cluster")
+    sizes = parts.groupBy(F.col("cluster").alias("x")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return parts.join(sizes, F.col("cluster") == F.col("x")).select("node", "cluster", "blocks")
+
+
+def shared_weights(bags: list, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of minima of each bag of ``left`` with each of ``right``: products of 0/1 columns, one for each shingle and
+    multiplicity that two bags have, some columns at a time."""
+    owner = np.repeat(np.arange(len(bags)), [int(c.sum()) for _, c in bags])
+    nth = np.concatenate([np.arange(int(k)) for _, c in bags for k in c] or [np.zeros(0, np.int64)]).astype(np.uint64)
+    units = np.concatenate([np.repeat(h, c) for h, c in bags] or [np.zeros(0, np.uint64)])
+    _, column, count = np.unique(finish(units + nth * np.uint64(GOLDEN)), return_inverse=True, return_counts=True)
+    common = count[column] > 1
+    owner, column = owner[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], np.unique(column[order], return_inverse=True)[1]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        grid = np.zeros((len(bags), COLUMNS), np.float32)
+        grid[owner[a:b], column[a:b] - start] = 1
+        total += grid[left] @ grid[right].T
+    return total
+
+
+def block_links(parts: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(a, b): links that connect the groups inside each cluster. Every node meets every other of its cluster, two blocks at a
+    time; only a spanning forest of the links leaves a task."""
+    placed = parts.join(groups.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("node", "cluster", "blocks", F.coalesce("component", "node").alias("mine"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.join(texts.withColumnRenamed("node", "x"), F.col("node") == F.col("x"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = placed.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "mine", "text")
+    rows = rows.repartition(partitions(rows.sparkSession), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "node")
+
+    def settle(held):
+        (low, high), nodes = held[0][0][1:], [h[2] for h in held]
+        own = np.array([h[1] for h in held])
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        bags = [h[4] for h in held]
+        size = np.array([int(c.sum()) for _, c in bags])
+        shared = shared_weights(bags, left, right)
+        alike = shared >= similarity * (size[left][:, None] + size[right][None, :] - shared)
+        up = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(alike), strict=True):
+            a, b = left[i], right[j]
+            one, two = find(held[a][3]), find(held[b][3])
+            if one != two:
+                up[max(one, two)] = min(one, two)
+                out.append((nodes[a], nodes[b]))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
 
     def run(batches):
-        powers = Powers()
+        powers, held = Powers(), []
         for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                hashes, counts = bag(text, powers, width)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["node", "shingle", "c"])
+            columns = (batch.column(c).to_pylist() for c in ("cluster", "low", "high", "own", "node", "mine", "text"))
+            for cluster, low, high, own, node, mine, text in zip(*columns, strict=True):
+                if held and held[0][0] != (cluster, low, high):
+                    yield settle(held)
+                    held = []
+                held.append(((cluster, low, high), own, node, mine, bag(text, powers, width)))
+        if held:
+            yield settle(held)
 
-    rows = map_batches(texts, run, "node binary, shingle long, c long")
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.min("c").alias("c")).filter("k = 1")
-    return alone.groupBy("node").agg(F.sum("c").alias("own"))
-
-
-def all_open_pairs(rest: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Those pairs themselves, without the ones that cannot be alike: two documents share at most what neither has alone,
-    and that must reach the similarity against the rest of both."""
-    own = own_shingles(texts.join(rest.select(F.col("node").alias("x")).distinct(), F.col("node") == F.col("x"), "left_semi"), width)
-    rest = rest.join(own.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    rest = checkpointed(rest.filter(F.col("common") >= similarity * F.col("n") - 1e-9).select("key", "node", "n", "mine", "common"))
-    one = rest.select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "mine", "common")])
-    two = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "mine", "common")])
-    shared = F.least("a_common", "b_common")
-    fit = shared * (1 + similarity) >= similarity * (F.col("a_n") + F.col("b_n")) - 1e-6
-    found = one.join(two, (one["key"] == two["key"]) & (F.col("a_mine") < F.col("b_mine")) & fit)
-    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return map_batches(rows, run, "a binary, b binary")
 
 
 def near_copy_groups(
@@ -211,18 +253,22 @@ def near_copy_groups(
     needed = members.select("node").distinct().join(nodes.select(F.col("node").alias("x"), "one"), F.col("node") == F.col("x")).select("node", "one.*")
     same = source["doc_id"].eqNullSafe(needed["doc_id"]) & (source["text_hash"] == needed["text_hash"])
     texts = checkpointed(source.join(needed, same).select("node", "text").dropDuplicates(["node"]))
-    links = compared(first, texts, width).filter(F.col("similarity") >= similarity).select("a", "b")
+    links = compared(first, texts, width, similarity)
     groups = checkpointed(components(links))
-    turn, room = 0, CHEAP * members.count()
+    turn = 0
     while True:
         members = checkpointed(unresolved(members, groups, turn))
-        total = open_pairs(members)
-        if not total:
+        if members.isEmpty():
             break
-        last = total <= room << turn
-        pairs = all_open_pairs(members, texts, similarity, width) if last else members.filter("mine <> theirs").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        links = compared(pairs, texts, width).filter(F.col("similarity") >= similarity).select("a", "b")
-        groups = checkpointed(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+        parts = checkpointed(clusters(members))
+        nodes, copies = parts.agg(F.count("*"), F.sum("blocks")).first()
+        last = copies <= CHEAP * nodes << turn
+        if last:
+            links = block_links(parts, groups, texts, similarity, width)
+        else:
+            pairs = members.filter("mine <> theirs").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+            links = compared(pairs, texts, width, similarity)
+        groups = checkpointed(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(checkpointed(links))))
         if last:
             break
         members, turn = members.select("key", "node", "n"), turn + 1
