@@ -225,3 +225,36 @@ def test_dispatch_does_not_change_the_answer(spark):
         return sorted(matching.layer_counts(events, iter(compiled)).collect())
 
     assert counts("key") == counts(None) and len(counts(None)) > 20
+
+
+def test_bad_rules_keep_their_reason_and_spoil_no_other(spark):
+    events = spark.createDataFrame(
+        [("2024-01-01 00:00:00", "T1059", "run me", 1, {"Image": "a.exe"}), ("2024-01-01 00:00:01", None, "idle", 2, {})],
+        "timestamp STRING, technique STRING, message STRING, returncode INT, attrs MAP<STRING, STRING>",
+    ).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    blocks = {
+        "good": '{"s": {"Image|endswith": ".exe"}, "condition": "s"}',
+        "number": '{"s": {"returncode": 1}, "condition": "s"}',
+        "mixed": '{"s": {"returncode": ["2", "none"]}, "condition": "s"}',
+        "pattern": '{"s": {"message|re": "a(b"}, "condition": "s"}',
+        "text": "not json",
+        "list": "[1, 2]",
+    }
+    rules = spark.createDataFrame(
+        [(k, k, ["T1059"], [], v) for k, v in blocks.items()],
+        "rule_id STRING, name STRING, techniques ARRAY<STRING>, keywords ARRAY<STRING>, detection STRING",
+    )
+    got = {r.rule_id: r for r in match_corpus(rules, Backend(events, "indexed"), samples=True).collect()}
+    assert {k: r.hits for k, r in got.items()} == dict.fromkeys(blocks, 1)
+    assert [k for k, r in got.items() if r.error] == [k for k in got if k in ("pattern", "text", "list")]
+    assert got["number"].query.startswith("sigma-fields") and got["mixed"].samples[0]["message"] == "idle"
+    assert got["good"].samples[0]["Image"] == "a.exe"
+
+
+def test_a_failing_backend_answers_with_errors(spark):
+    rules = spark.createDataFrame([("r", "r", ["T1059"], [])], "rule_id STRING, name STRING, techniques ARRAY<STRING>, keywords ARRAY<STRING>")
+    rules = rules.withColumn("detection", F.lit(None).cast("string"))
+    events = spark.createDataFrame([("T1059", "x")], "technique STRING, message STRING").withColumn("timestamp", F.current_timestamp())
+    backends = {"gone": lambda: Backend(spark.read.parquet("/nowhere/at/all")), "here": Backend(events)}
+    got = {r.siem: (r.status, r.hits, r.error) for r in validate_corpus(rules, backends).collect()}
+    assert got["here"][:2] == ("pass", 1) and got["gone"][:2] == ("error", 0) and "PATH_NOT_FOUND" in got["gone"][2]

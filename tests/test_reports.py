@@ -118,7 +118,7 @@ def test_enrichment(spark, kb):
     assert (first.name, first.tactic, first.url.endswith("/T1059/001/")) == ("PowerShell", "execution", True)
     assert [t.technique_id for t in rows["a"].mitre_techniques] == ["T1059", "T4242"]
     assert [c.cve_id for c in rows["a"].cve_references] == ["CVE-2021-44228"]
-    assert len(rows["a"].cve_references[0].description) == 300
+    assert len(rows["a"].cve_references[0].description) == 400
     assert [rows[k].severity for k in "abc"] == ["critical", "high", "med"]
     assert rows["b"].cve_references[0].cvss_score == 10.0 and rows["c"].cve_references[0].cvss_score == 5.0
     assert counts.first().asDict() == {"techniques_enriched": 1, "warnings": 1, "references_added": 1,

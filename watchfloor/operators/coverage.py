@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.labels import badge_color, confidence_color
 
-# How many rule names a layer comment lists.
+# How many rule names a layer comment lists unless told otherwise.
 NAMES_IN_COMMENT = 5
 
 
@@ -46,25 +46,25 @@ def coverage_matrix(bindings: DataFrame) -> DataFrame:
     return bindings.select(F.coalesce("tactic", F.lit("unknown")).alias("tactic"), "technique_id", "name").distinct()
 
 
-def layer_comment(n_rules: Column, names: Column) -> Column:
+def layer_comment(n_rules: Column, names: Column, most: int = NAMES_IN_COMMENT) -> Column:
     """``7 detections: a, b, c, d, e (+2 more)``."""
     return F.concat(
         n_rules.cast("string"), F.when(n_rules == 1, " detection: ").otherwise(" detections: "),
-        F.array_join(F.slice(names, 1, NAMES_IN_COMMENT), ", "),
+        F.array_join(F.slice(names, 1, most), ", "),
         F.when(
-            n_rules > NAMES_IN_COMMENT,
-            F.concat(F.lit(" (+"), (n_rules - NAMES_IN_COMMENT).cast("string"), F.lit(" more)")),
+            n_rules > most,
+            F.concat(F.lit(" (+"), (n_rules - most).cast("string"), F.lit(" more)")),
         ).otherwise(""),
     )
 
 
-def layer_rows(summary: DataFrame) -> DataFrame:
-    """Layer cells from ``rules_per_technique``; confidence is a fraction."""
+def layer_rows(summary: DataFrame, most: int = NAMES_IN_COMMENT) -> DataFrame:
+    """Layer cells from ``rules_per_technique``; confidence is a fraction, a comment lists ``most`` names."""
     return summary.select(
         "technique_id",
         F.bround(F.col("confidence") * 100).cast("int").alias("score"),
         F.col("n_rules").alias("rule_count"),
-        layer_comment(F.col("n_rules"), F.col("names")).alias("comment"),
+        layer_comment(F.col("n_rules"), F.col("names"), most).alias("comment"),
         confidence_color(F.col("confidence")).alias("color"),
     )
 
@@ -94,7 +94,8 @@ def badge(flags: DataFrame, detections: DataFrame, passed: Column) -> DataFrame:
     ).select(zero.alias("total_techniques"), zero.alias("covered_techniques"), "rules_total", "rules_passed")
     names = techniques.columns
     totals = techniques.unionByName(rules).agg(*[F.sum(n).alias(n) for n in names])
-    pct = floor_pct(F.col("covered_techniques"), F.col("total_techniques"))
+    share = F.col("covered_techniques") * 100 / F.col("total_techniques")
+    pct = F.when(F.col("total_techniques") == 0, 0.0).otherwise(F.round(share, 1))
     return totals.withColumn("pct", pct).withColumn("color", badge_color(F.col("pct")))
 
 

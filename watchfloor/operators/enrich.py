@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from watchfloor.functions.ids import technique_url
 from watchfloor.functions.labels import severity_of_cvss
 
-# Length of a copied CVE description.
-DESCRIPTION_LENGTH = 300
-
 
 def is_unnamed(tactic: Column) -> Column:
     return F.coalesce(tactic, F.lit("")).isin("", "unknown")
@@ -66,11 +63,12 @@ def add_references(references: DataFrame, tagged: DataFrame, by: Sequence[str])
     return stacked.groupBy(*by).agg(*values, (F.max("_own") == 0).alias("added"))
 
 
-def fill_references(references: DataFrame, cves: DataFrame) -> DataFrame:
-    """CVSS score and description (300 characters) of references that lack them."""
+def fill_references(references: DataFrame, cves: DataFrame, description_length: int | None = None) -> DataFrame:
+    """CVSS score and description of references that lack them; ``description_length`` shortens what is copied."""
     kb = cves.select("cve_id", F.col("cvss_score").alias("kb_score"), F.col("description").alias("kb_text"))
     no_text = F.coalesce("description", F.lit("")) == ""
     has_text = F.coalesce("kb_text", F.lit("")) != ""
+    copied = F.col("kb_text") if description_length is None else F.left("kb_text", F.lit(description_length))
     changed = (F.col("cvss_score").isNull() & F.col("kb_score").isNotNull()) | (no_text & has_text)
     return (
         references.join(kb, "cve_id", "left")
@@ -78,7 +76,7 @@ def fill_references(references: DataFrame, cves: DataFrame) -> DataFrame:
             {
                 "enriched": changed,
                 "cvss_score": F.coalesce("cvss_score", "kb_score"),
-                "description": F.when(no_text & has_text, F.left("kb_text", F.lit(DESCRIPTION_LENGTH))).otherwise(
+                "description": F.when(no_text & has_text, copied).otherwise(
                     F.col("description")
                 ),
             }

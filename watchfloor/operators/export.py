@@ -9,10 +9,8 @@ from watchfloor.functions.ids import technique_ids
 from watchfloor.functions.labels import SEVERITY_TO_SIGMA_LEVEL
 from watchfloor.session import lookup
 
-# One severity scale for reading and writing, and payload limits.
+# One severity scale for reading and writing.
 SEVERITY_NUMBERS = {"info": "1", "low": "2", "med": "3", "high": "4", "critical": "5"}
-MONITOR_NAME_LENGTH = 255
-TRIGGER_ID_LENGTH = 64
 HOURLY = "0 * * * *"
 
 
@@ -64,8 +62,18 @@ def target_queries(detections: DataFrame, index: str) -> DataFrame:
     )
 
 
-def monitor_payloads(detections: DataFrame, index: str) -> DataFrame:
-    """(id, payload): an hourly query-level monitor per rule, as JSON."""
+def bounded(text: Column, most: int | None) -> Column:
+    """``text`` within ``most`` characters; a longer one ends in a hash of the whole, so that different texts stay different."""
+    if most is None:
+        return text
+    ending = F.concat(F.lit("-"), F.substring(F.sha2(text, 256), 1, 12))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most - 13)), ending))
+
+
+def monitor_payloads(
+    detections: DataFrame, index: str, name_length: int | None = None, trigger_length: int | None = None
+) -> DataFrame:
+    """(id, payload): an hourly query-level monitor per rule, as JSON. The lengths are limits of the receiving system."""
     ids = technique_ids(F.col("mitre_techniques"))
     terms = F.transform(ids, lambda t: F.struct(F.struct(t.alias("technique.keyword")).alias("term")))
     any_term = F.struct(
@@ -75,25 +83,25 @@ def monitor_payloads(detections: DataFrame, index: str) -> DataFrame:
     query = F.when(F.size(ids) > 0, F.to_json(any_term)).otherwise(F.to_json(everything))
     payload = F.struct(
         F.lit("monitor").alias("type"),
-        F.left("name", F.lit(MONITOR_NAME_LENGTH)).alias("name"),
+        bounded(F.col("name"), name_length).alias("name"),
         F.lit("query_level_monitor").alias("monitor_type"),
         F.lit(True).alias("enabled"),
         F.struct(F.struct(F.lit(1).alias("interval"), F.lit("HOURS").alias("unit")).alias("period")).alias("schedule"),
         F.array(F.lit(index)).alias("indices"),
         F.parse_json(query).alias("query"),
-        F.left("id", F.lit(TRIGGER_ID_LENGTH)).alias("trigger_id"),
+        bounded(F.col("id"), trigger_length).alias("trigger_id"),
         F.lit("ctx.results[0].hits.total.value > 0").alias("trigger_condition"),
     )
     return detections.select("id", F.to_json(payload).alias("payload"))
 
 
-def saved_searches(detections: DataFrame, index: str) -> DataFrame:
+def saved_searches(detections: DataFrame, index: str, name_length: int | None = None) -> DataFrame:
     """Scheduled saved-search parameters per rule, alerting on any hit."""
     ids = technique_ids(F.col("mitre_techniques"))
     terms = _any_of(ids, 'technique="{}"', " OR ")
     return detections.select(
         "id",
-        F.left("name", F.lit(MONITOR_NAME_LENGTH)).alias("name"),
+        bounded(F.col("name"), name_length).alias("name"),
         F.concat(F.lit(f"index={index} "), terms, F.lit(" | table _time, technique, key, exe, uid")).alias("search"),
         F.coalesce("description", F.lit("")).alias("description"),
         _number(F.col("severity")).alias("alert_severity"),

@@ -17,7 +17,6 @@ from watchfloor.functions.ids import FULL_TECHNIQUE, canonical_technique
 
 # Thresholds of the mapping step.
 MIN_APPLY_CONFIDENCE = 0.50
-MAX_CANDIDATES = 5
 MIN_CANDIDATE_CONFIDENCE = 0.30
 
 
@@ -199,13 +198,15 @@ def apply_bindings(
     )
 
 
-def usable_candidates(candidates: DataFrame, techniques: DataFrame, rule: str, pos: str = "pos") -> DataFrame:
-    """Externally proposed bindings: the first five per rule, confident enough, valid, known and active."""
-    rank = F.row_number().over(W.partitionBy(rule).orderBy(pos))
+def usable_candidates(
+    candidates: DataFrame, techniques: DataFrame, rule: str, pos: str = "pos", most: int | None = None
+) -> DataFrame:
+    """Externally proposed bindings: confident enough, valid, known and active; with ``most`` only a rule's first ones."""
+    if most is not None:
+        rank = F.row_number().over(W.partitionBy(rule).orderBy(pos))
+        candidates = candidates.withColumn("_rn", rank).filter(F.col("_rn") <= most).drop("_rn")
     checked = (
-        candidates.withColumn("_rn", rank)
-        .filter(F.col("_rn") <= MAX_CANDIDATES)
-        .drop("_rn", pos)
+        candidates.drop(pos)
         .withColumn("technique_id", canonical_technique(F.col("technique_id")))
         .filter((F.col("confidence") >= MIN_CANDIDATE_CONFIDENCE) & F.col("technique_id").rlike(FULL_TECHNIQUE))
     )

@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.text import keyword_tokens
 from watchfloor.operators import token_search
-from watchfloor.operators.predicates import Fields, UntranslatableCondition, required_values, rule_predicate
+from watchfloor.operators.predicates import (
+    Fields, UntranslatableCondition, patterns, required_values, rule_predicate,
+)
 from watchfloor.session import inline_table, join_dimension, sql_string
 
 # The fields each kind of keyword search reads, and how many samples a result keeps.
@@ -133,11 +135,27 @@ def compile_rules(
         keyword_tokens(F.coalesce("keywords", F.array().cast("array<string>"))).alias("tokens"),
         "detection",
     ).toLocalIterator(prefetchPartitions=False)
+    readable = pattern_check(rules.sparkSession)
     while batch := list(islice(rows, per_batch)):
-        yield _compile(batch, fields, case_insensitive, dispatch)
+        yield _compile(batch, fields, case_insensitive, dispatch, readable)
 
 
-def _compile(batch: list, fields: Fields | None, case_insensitive: bool, dispatch: str | None) -> CompiledRules:
+def pattern_check(spark: SparkSession) -> Callable[[str], None]:
+    """A check that the engine can compile a regular expression; raises ``UntranslatableCondition``. Folding the constant
+    expression is enough, no job runs."""
+
+    def check(pattern: str) -> None:
+        try:
+            spark.sql(f"SELECT '' RLIKE {sql_string(pattern)} AS hit").collect()
+        except Exception as problem:  # noqa: BLE001 - whatever the engine says, the rule keeps its other layers
+            raise UntranslatableCondition(f"cannot read pattern {pattern!r}: {type(problem).__name__}") from None
+
+    return check
+
+
+def _compile(
+    batch: list, fields: Fields | None, case_insensitive: bool, dispatch: str | None, readable: Callable[[str], None]
+) -> CompiledRules:
     techniques: dict[str, list[int]] = {}
     tokens: dict[str, list[int]] = {}
     predicates: dict[int, str] = {}
@@ -149,15 +167,22 @@ def _compile(batch: list, fields: Fields | None, case_insensitive: bool, dispatc
                 techniques.setdefault(match_id, []).append(number)
         for token in row.tokens:
             tokens.setdefault(token, []).append(number)
-        block = json.loads(row.detection) if row.detection else {}
-        if "condition" in block and str(block["condition"]).strip() != "keywords":
-            try:
-                predicates[number] = rule_predicate(block, fields, case_insensitive)
-                values = required_values(block, dispatch) if dispatch and not case_insensitive else None
-                if values is not None:
-                    required[number] = values
-            except (UntranslatableCondition, ValueError) as problem:
-                errors[number] = str(problem)
+        try:
+            block = json.loads(row.detection) if row.detection else {}
+            if not isinstance(block, dict):
+                raise UntranslatableCondition("the detection is no block of selections")
+            if "condition" not in block or str(block["condition"]).strip() == "keywords":
+                continue
+            sql = rule_predicate(block, fields, case_insensitive)
+            for pattern in patterns(block):
+                readable(pattern)
+            values = required_values(block, dispatch) if dispatch and not case_insensitive else None
+        except (ValueError, TypeError, AttributeError) as problem:  # one bad rule keeps its other layers, and its reason
+            errors[number] = str(problem) or type(problem).__name__
+            continue
+        predicates[number] = sql
+        if values is not None:
+            required[number] = values
     return CompiledRules(
         tuple(row.rule_id for row in batch),
         {k: tuple(sorted(set(v))) for k, v in techniques.items()},

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from watchfloor.schemas import EVENT_FIELDS
 from watchfloor.session import sql_string
@@ -31,15 +32,27 @@ class UntranslatableCondition(ValueError):
 
 
 class Fields:
-    """Resolves event field names to SQL: a column where one exists, else a key of the ``attrs`` map."""
+    """Resolves event field names to SQL: a column where one exists, else a key of the ``attrs`` map.
 
-    def __init__(self, columns: Iterable[str] = EVENT_FIELDS, attrs: str | None = "attrs") -> None:
+    ``of`` takes the columns from a table's schema; columns that are no text are compared as text, so that a rule may name
+    values of any kind for them.
+    """
+
+    def __init__(self, columns: Iterable[str] = EVENT_FIELDS, attrs: str | None = "attrs", other: Iterable[str] = ()) -> None:
         self.columns = frozenset(columns)
         self.attrs = attrs
+        self.other = frozenset(other)
+
+    @classmethod
+    def of(cls, schema: StructType, attrs: str = "attrs") -> Fields:
+        plain = [f for f in schema if not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+        has_map = any(f.name == attrs and isinstance(f.dataType, MapType) for f in schema)
+        other = [f.name for f in plain if not isinstance(f.dataType, StringType)]
+        return cls([f.name for f in plain], attrs if has_map else None, other)
 
     def sql(self, name: str) -> str:
         if name in self.columns:
-            return f"`{name}`"
+            return f"CAST(`{name}` AS STRING)" if name in self.other else f"`{name}`"
         if self.attrs:
             return f"try_element_at(`{self.attrs}`, {sql_string(name)})"
         raise UntranslatableCondition(f"unknown field {name!r}")
@@ -171,6 +184,21 @@ def rule_predicate(detection: Mapping[str, Any], fields: Fields | None = None, c
     return re.sub(token, resolve, condition)
 
 
+def patterns(detection: Mapping[str, Any]) -> list[str]:
+    """The regular expressions of a detection block, as the matcher will run them."""
+    found, todo = [], [v for k, v in detection.items() if k not in RESERVED_GROUPS]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, list):
+            todo += part
+        elif isinstance(part, Mapping):
+            for key, value in part.items():
+                if "re" in [m.strip().lower() for m in str(key).split("|")[1:]]:
+                    values = value if isinstance(value, list) else [value]
+                    found += [f"(?s)^(?:{v})$" for v in values if v is not None]
+    return found
+
+
 def required_values(detection: Mapping[str, Any], field: str) -> frozenset[str] | None:
     """Values ``field`` must have for the rule to hold, or null where the rule does not say.
 

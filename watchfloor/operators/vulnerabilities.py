@@ -15,27 +15,32 @@ DIRECT_CONFIDENCE = 0.90
 WEAKNESS_CONFIDENCE = 0.60
 
 
-def merge_feeds(feeds: Mapping[str, DataFrame], key: str = "cve_id") -> DataFrame:
+def merge_feeds(feeds: Mapping[str, DataFrame], key: str = "cve_id", modified: str = "last_modified") -> DataFrame:
     """One row per CVE that any feed knows, with every feed's columns and an ``in_<feed>`` flag.
 
     The feeds are stacked and grouped once, which costs one shuffle where chained full outer joins cost one per
-    feed, and keeps a single row when a feed repeats an id. Extra feeds need only the key column.
+    feed. Where a feed repeats an id, one whole record of it counts: the last by ``modified`` if the feed has that column,
+    ties (and feeds without it) by the record's text. A column that several feeds have comes from the first that fills it.
     """
     columns = {f.name: f.dataType for feed in feeds.values() for f in feed.schema if f.name != key}
     stacked = None
     for name, feed in feeds.items():
+        own = [c for c in columns if c in feed.columns]
+        order = F.struct(
+            (F.col(modified).cast("string") if modified in own else F.lit(None).cast("string")).alias("at"),
+            F.to_json(F.struct(*own) if own else F.struct(key)).alias("text"),
+        )
         shaped = feed.select(
-            F.upper(key).alias(key),
-            F.lit(name).alias("_feed"),
-            *[
-                (F.col(c) if c in feed.columns else F.lit(None).cast(kind)).alias(c)
-                for c, kind in columns.items()
-            ],
+            F.upper(key).alias(key), F.lit(name).alias("_feed"), order.alias("_order"),
+            *[(F.col(c) if c in own else F.lit(None).cast(kind)).alias(c) for c, kind in columns.items()],
         )
         stacked = shaped if stacked is None else stacked.unionByName(shaped)
+    record = F.struct(*columns) if columns else F.struct(key)
+    last = [F.max_by(record, F.when(F.col("_feed") == name, F.col("_order"))).alias(f"_{name}") for name in feeds]
     present = [F.max(F.col("_feed") == name).alias(f"in_{name}") for name in feeds]
-    values = [F.max(c).alias(c) for c in columns]  # one feed fills a column; repeats resolve the same way every run
-    return stacked.groupBy(key).agg(*values, *present)
+    grouped = stacked.groupBy(key).agg(*last, *present)
+    values = [F.coalesce(*[F.col(f"_{name}")[c] for name in feeds]).alias(c) for c in columns]
+    return grouped.select(key, *values, *[f"in_{name}" for name in feeds])
 
 
 def direct_techniques(records: DataFrame, key: str = "cve_id", techniques: str = "techniques") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,6 @@ NOTHING = {
     "indexed": ("(no techniques, keywords, or translatable detection block)", matching.NO_PREDICATES),
     "search": ("(no terms to search)", "No technique IDs or keywords to search"),
 }
-SEARCH_TEXT_LENGTH = 80
 
 
 @dataclass(frozen=True)
@@ -27,7 +26,8 @@ class Backend:
 
     ``local`` matches techniques and keyword substrings; ``indexed`` tries the rule's own conditions first and then
     techniques and whole words; ``search`` looks for terms in the raw text. ``dispatch`` is explained at
-    ``matching.compile_rules``.
+    ``matching.compile_rules``. Without ``fields`` a rule's field names are the table's columns, then keys of its ``attrs``
+    map. ``samples`` is the number of events kept per rule; the two last settings shape the text of a search.
     """
 
     events: DataFrame
@@ -37,6 +37,9 @@ class Backend:
     fields: Fields | None = None
     case_insensitive: bool = False
     dispatch: str | None = None
+    samples: int = matching.SAMPLES_PER_RULE
+    terms_per_keyword: int = 2
+    search_text_length: int | None = None
 
 
 def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start: str | None = None,
@@ -55,7 +58,9 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
     whole_words = backend.kind == "indexed"
     usable = rules if whole_words else rules.withColumn("detection", F.lit(None).cast("string"))
     compiled = list(
-        matching.compile_rules(usable, backend.fields, backend.case_insensitive, dispatch=backend.dispatch)
+        matching.compile_rules(
+            usable, backend.fields or Fields.of(events.schema), backend.case_insensitive, dispatch=backend.dispatch
+        )
     )
     counts = matching.layer_counts(events, iter(compiled), whole_words)
     chosen = matching.layered_hits(rules.join(counts, "rule_id", "left"))
@@ -94,11 +99,17 @@ def _results(rules: DataFrame, nothing: Column, siem: str, query: Column, error:
 def _with_samples(results: DataFrame, events: DataFrame, compiled: list, chosen: DataFrame, backend: Backend,
                   whole_words: bool) -> DataFrame:
     """Add up to three events per rule, from the layer that decided: first ones locally, latest ones otherwise."""
-    kept = [c for c in events.columns if c != "attrs"]
-    hits = matching.hit_rows(events.withColumn("_tie", F.xxhash64(*kept)), iter(compiled), [*kept, "_tie"], whole_words)
-    top = matching.latest_samples(hits, ("rule_id", "layer"), backend.time, "_tie", first=backend.kind == "local")
-    pairs = [p for c in kept for p in (F.lit(c), F.col(c).cast("string"))]
+    plain = [c for c in events.columns if c != "attrs"]
+    kept = events.columns
+    hits = matching.hit_rows(events.withColumn("_tie", F.xxhash64(*plain)), iter(compiled), [*kept, "_tie"], whole_words)
+    top = matching.latest_samples(
+        hits, ("rule_id", "layer"), backend.time, "_tie", backend.samples, first=backend.kind == "local"
+    )
+    pairs = [p for c in plain for p in (F.lit(c), F.col(c).cast("string"))]
     event = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    if "attrs" in kept:  # a promoted column wins over a key of the same name
+        more = F.map_filter(F.coalesce("attrs", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*plain))
+        event = F.map_concat(event, more)
     packed = top.groupBy("rule_id", "layer").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", F.map_entries(event).alias("e")))),
                     lambda s: F.map_from_entries(s["e"])).alias("samples")
@@ -108,20 +119,43 @@ def _with_samples(results: DataFrame, events: DataFrame, compiled: list, chosen:
 
 
 def _search(rules: DataFrame, events: DataFrame, backend: Backend, name: str) -> DataFrame:
-    wanted = rules.withColumn("terms", matching.search_terms(F.col("techniques"), leading_tokens(F.col("keywords"))))
+    words = leading_tokens(F.col("keywords"), backend.terms_per_keyword)
+    wanted = rules.withColumn("terms", matching.search_terms(F.col("techniques"), words))
     counts = matching.free_text_hits(
         events, wanted.select("rule_id", F.explode("terms").alias("term")), F.col(backend.raw)
     )
     joined = wanted.join(counts, "rule_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
-    query = F.concat(F.lit("search: "), F.left(F.array_join("terms", " OR "), F.lit(SEARCH_TEXT_LENGTH)))
+    joined_terms = F.array_join("terms", " OR ")
+    if backend.search_text_length is not None:
+        joined_terms = F.left(joined_terms, F.lit(backend.search_text_length))
+    query = F.concat(F.lit("search: "), joined_terms)
     return _results(joined, F.size("terms") == 0, name, query, F.lit(None).cast("string"), "search")
 
 
-def validate_corpus(rules: DataFrame, backends: Mapping[str, Backend], start: str | None = None) -> DataFrame:
-    """Results of every backend, stacked: one row per rule and backend."""
+def failed_backend(rules: DataFrame, name: str, reason: str) -> DataFrame:
+    """One ``error`` row per rule for a backend that could not be read."""
+    empty = F.array().cast("array<string>")
+    return rules.select(
+        "rule_id", "name", F.coalesce("techniques", empty).alias("techniques"), F.lit(name).alias("siem"),
+        F.lit("").alias("query"), F.lit(0).cast("bigint").alias("hits"), F.lit("error").alias("status"),
+        F.lit(reason).alias("error"),
+    )
+
+
+def validate_corpus(
+    rules: DataFrame, backends: Mapping[str, Backend | Callable[[], Backend]], start: str | None = None
+) -> DataFrame:
+    """Results of every backend, stacked: one row per rule and backend.
+
+    A backend may be given as a function that opens it. Where opening or compiling fails (a missing path or column), its
+    rules get status ``error`` with the reason, and the other backends answer as usual.
+    """
     out = None
     for name, backend in backends.items():
-        part = match_corpus(rules, backend, name, start)
+        try:
+            part = match_corpus(rules, backend() if callable(backend) else backend, name, start)
+        except Exception as problem:  # noqa: BLE001 - any failure of one backend is its own result
+            part = failed_backend(rules, name, f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -41,10 +41,11 @@ def read_results(spark: SparkSession, path: str, array: bool = False) -> DataFra
     return spark.read.schema(RULE_RESULT).option("multiLine", array).json(path)
 
 
-def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rule results with at most one sample each."""
+def write_results(results: DataFrame, path: str, mode: str = "overwrite", samples: int | None = None) -> None:
+    """Rule results as JSON lines; ``samples`` bounds the samples kept of each."""
     names = ("rule_id", "name", "techniques", "siem", "query", "hits", "status", "error", "samples")
-    trimmed = results.withColumn("samples", F.slice("samples", 1, 1)) if "samples" in results.columns else results
+    cut = samples is not None and "samples" in results.columns
+    trimmed = results.withColumn("samples", F.slice("samples", 1, samples)) if cut else results
     trimmed.select(*[n for n in names if n in trimmed.columns]).write.mode(mode).json(path)
 
 

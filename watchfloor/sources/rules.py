@@ -22,11 +22,9 @@ SKIPPED_SUFFIXES = (
     "md", "txt", "rst", "html", "pdf", "png", "jpg", "gif", "svg", "py", "go", "js", "ts", "sh", "bat", "ps1",
     "lock", "sum",
 )
-SNIFF_LENGTH = 8192
 YARA_HEADER = r"(?m)^\s*(?:private\s+|global\s+)*rule\s+\w+(?:\s*:\s*[\w\s]+)?\s*\{"
 UUID = r"(?i)^[0-9a-f-]{36}$"
 YARA_PORTABILITY = 20.0
-INDEX_CAP = 5
 
 
 class RuleErrors(ValueError):
@@ -64,7 +62,7 @@ def route(files: DataFrame, extra: Mapping[str, ExtraFormat] | None = None, forc
     """Add ``format``: the first format in priority order whose test holds; files no format claims are dropped."""
     if forced:
         return files.withColumn("format", F.lit(forced))
-    head = F.left("text", F.lit(SNIFF_LENGTH))
+    head = F.col("text")
 
     def has(*markers: str) -> Column:
         found = F.lit(True)
@@ -300,7 +298,7 @@ def _elastic() -> Shape:
                      lambda n: n.isNotNull() & (n != ""))
     spoken = _spaced(_get("description"), query)
     kind = _get("type")
-    indices = F.slice(_list(_get("index")), 1, INDEX_CAP)
+    indices = _list(_get("index"))
     null = F.lit(None).cast("string")
     sources = F.transform(
         indices,
@@ -388,7 +386,7 @@ def _generic(paths: Mapping[str, str], defaults: Mapping[str, str]) -> Shape:
         platforms=labels.platforms(_list(value("platforms"), split_text=True)),
         tags=_list(value("tags"), split_text=True),
         language=F.lit(defaults.get("language", "unknown")),
-        raw=F.when(query != "", query).otherwise(F.left("body", F.lit(500))),
+        raw=F.when(query != "", query).otherwise(F.col("body")),
         fields=F.array().cast("array<string>"),
         conditions=_first_conditions(query),
         technique_ids=F.concat(named, techniques_in_text(spoken)),

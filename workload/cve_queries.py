@@ -153,15 +153,16 @@ def cve_coverage(v):
 
 @query(
     "cve_risk_ranking",
-    """SELECT cve_id, risk_num, n FROM (
-         SELECT cve_id, cvss_tenths * epss_pct * (n - covered) AS risk_num, n FROM cve_count WHERE n > 0) r
-       ORDER BY CAST(risk_num AS DOUBLE) / n DESC, cve_id LIMIT 50""",
+    """SELECT cve_id, n, covered, CAST(cvss_tenths AS DOUBLE) / 10 * (CAST(epss_pct AS DOUBLE) / 100)
+              * greatest(CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) - CASE WHEN n = 0 THEN CAST(0 AS DOUBLE)
+                         ELSE CAST(covered AS DOUBLE) / n END) AS residual_risk
+       FROM cve_count ORDER BY residual_risk DESC, cve_id""",
 )
 def cve_risk_ranking(v):
-    scored = with_counts(v).filter(F.col("n") > 0).select(
-        "cve_id", (F.col("cvss_tenths") * F.col("epss_pct") * (F.col("n") - F.col("covered"))).alias("risk_num"), "n"
-    )
-    return scored.orderBy((F.col("risk_num") / F.col("n")).desc(), "cve_id").limit(50)
+    """Every CVE by residual risk; one that no technique is mapped to counts as uncovered."""
+    scored = with_counts(v).withColumns({"cvss_score": F.col("cvss_tenths") / 10, "epss": F.col("epss_pct") / 100})
+    ranked = vuln.with_residual_risk(scored, digits=None).select("cve_id", "n", "covered", "residual_risk")
+    return ranked.orderBy(F.col("residual_risk").desc(), "cve_id")
 
 
 @query(
@@ -183,13 +184,12 @@ def residual_risk(v):
               ELSE 'low' END AS severity
        FROM detection d LEFT JOIN (
          SELECT l.detection_id, max(c.cvss_tenths) AS top FROM detection_cve l JOIN cve c
-         ON l.o_orderkey = c.o_orderkey WHERE l.origin = 'tag' GROUP BY l.detection_id) s
+         ON l.o_orderkey = c.o_orderkey GROUP BY l.detection_id) s
        ON d.detection_id = s.detection_id""",
 )
 def derive_severity(v):
     scores = (
-        v.detection_cve.filter(F.col("origin") == "tag")
-        .join(v.cve.select("o_orderkey", F.col("cvss_tenths").alias("score")), "o_orderkey")
+        v.detection_cve.join(v.cve.select("o_orderkey", F.col("cvss_tenths").alias("score")), "o_orderkey")
         .select("detection_id", "score")
     )
     return enrich.derive_severity(v.detection.select("detection_id", "severity"), scores, "detection_id", 10).select(

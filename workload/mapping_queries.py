@@ -17,8 +17,8 @@ def _with_id(v, df, *columns):
 
 
 def flags(v):
-    good = v.detection.filter((F.col("validation_status") == "passed") & (F.col("maturity") == 5)).select("detection_id")
-    covering = v.binding.filter(F.col("conf_pct") == 100).join(good, "detection_id", "left_semi")
+    good = v.detection.filter(F.col("validation_status") == "passed").select("detection_id")
+    covering = v.binding.join(good, "detection_id", "left_semi")
     return coverage.technique_flags(v.binding, covering, "s_suppkey")
 
 
@@ -45,11 +45,10 @@ def normalize_technique(v):
 @query(
     "explicit_validate",
     """SELECT b.detection_id, k.technique_id, k.deprecated, b.pos FROM binding b
-       LEFT JOIN kb k ON b.s_suppkey = k.s_suppkey WHERE b.conf_pct >= 96""",
+       LEFT JOIN kb k ON b.s_suppkey = k.s_suppkey""",
 )
 def explicit_validate(v):
-    confident = v.binding.filter(F.col("conf_pct") >= 96)
-    return mapping.flag_deprecated(confident, v.kb, "s_suppkey").select(
+    return mapping.flag_deprecated(v.binding, v.kb, "s_suppkey").select(
         "detection_id", "technique_id", "deprecated", "pos"
     )
 
@@ -156,17 +155,12 @@ def enrich_techniques(v):
 
 @query(
     "coverage_matrix",
-    """SELECT k.tactic, k.technique_id, p.n_rules, p.names FROM (
-         SELECT s_suppkey, count(*) AS n_rules,
-                string_agg(CASE WHEN rn <= 3 THEN name END, ',' ORDER BY rn) AS names
-         FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY name) AS rn FROM pair) r
-         GROUP BY s_suppkey) p JOIN kb k ON p.s_suppkey = k.s_suppkey""",
+    """SELECT DISTINCT coalesce(k.tactic, 'unknown') AS tactic, k.technique_id, p.name
+       FROM pair p JOIN kb k ON p.s_suppkey = k.s_suppkey""",
 )
 def coverage_matrix(v):
-    summary = coverage.rules_per_technique(named_pairs(v), ["s_suppkey"], "name", 3)
-    return summary.join(v.kb.select("s_suppkey", "technique_id", "tactic"), "s_suppkey").select(
-        "tactic", "technique_id", "n_rules", F.array_join("names", ",").alias("names")
-    )
+    named = named_pairs(v).join(v.kb.select("s_suppkey", "technique_id", "tactic"), "s_suppkey")
+    return coverage.coverage_matrix(named)
 
 
 @query(
@@ -209,7 +203,7 @@ def confidence_color(v):
               CASE WHEN t.pct >= 70 THEN 'brightgreen' WHEN t.pct >= 40 THEN 'yellow' ELSE 'red' END AS color,
               d.rules_total, d.rules_passed
        FROM (SELECT count(*) AS total_techniques, count(CASE WHEN covered THEN 1 END) AS covered_techniques,
-                    CAST(floor(100.0 * count(CASE WHEN covered THEN 1 END) / count(*)) AS INTEGER) AS pct
+                    round(CAST(count(CASE WHEN covered THEN 1 END) * 100 AS DOUBLE) / count(*), 1) AS pct
              FROM technique_flag) t,
             (SELECT count(*) AS rules_total, count(CASE WHEN validation_status = 'passed' THEN 1 END) AS rules_passed
              FROM detection) d""",

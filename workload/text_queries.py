@@ -20,12 +20,11 @@ SOURCES = [SourceHint(("en", "de"), ("token", "license"), ("T1552.001",), 0.60)]
     "keyword_tokens",
     """SELECT token, count(*) AS n_docs FROM (
          SELECT DISTINCT doc_id, unnest(string_split_regex(haystack, '[^a-zA-Z0-9_-]')) AS token FROM doc) t
-       WHERE length(token) >= 4 GROUP BY token ORDER BY n_docs DESC, token LIMIT 50""",
+       WHERE length(token) >= 4 GROUP BY token""",
 )
 def keyword_tokens(v):
     tokens = v.doc.select(F.explode(tokens_of_text(F.col("haystack"))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.orderBy(F.col("n_docs").desc(), "token").limit(50)
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def _per_keyword(docs, condition):

@@ -104,8 +104,7 @@ SQL_VIEWS = {
         ON k.s_suppkey = b.s_suppkey""",
     "technique_flag": """
         SELECT b.s_suppkey,
-               max(CASE WHEN b.conf_pct = 100 AND d.validation_status = 'passed' AND d.maturity = 5
-                        THEN 1 ELSE 0 END) = 1 AS covered
+               max(CASE WHEN d.validation_status = 'passed' THEN 1 ELSE 0 END) = 1 AS covered
         FROM binding b JOIN detection d ON b.detection_id = d.detection_id GROUP BY b.s_suppkey""",
     "pair": """
         SELECT b.s_suppkey, b.detection_id, d.name, max(b.conf_pct) AS conf_pct
