@@ -12,7 +12,7 @@ from watchfloor.llm.common import rewritten
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that the labelled ones teach, go."""
+    """Documents without letters, which are in no language, go."""
     return language.in_known_language(docs, language.train(docs))
 
 

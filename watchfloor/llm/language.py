@@ -260,9 +260,9 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return map_batches(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, family string")
 
 
-def in_known_language(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.3) -> DataFrame:
+def in_known_language(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, that are in a language of the model with at least the given score; a text
-    without letters is in none. A model without languages rejects everything."""
+    without letters is in none. Short texts of any language may score low, so no score is asked for by default. A model without languages rejects everything."""
     spark = docs.sparkSession
     table, sent = spark.sparkContext.broadcast(letter_table()), spark.sparkContext.broadcast(model)
 
