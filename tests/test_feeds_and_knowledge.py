@@ -191,3 +191,13 @@ def test_lookups_from_files(spark, tmp_path):
     assert [(r.technique_id, r.confidence) for r in cwes.collect()] == [("T1", 0.6), ("T2", 0.6)]
     paths, defaults = field_map(spark, write(tmp_path, "f.yaml", "field_map: {name: a.b}\ndefaults: {language: l}"))
     assert (paths["name"], paths["id"], defaults) == ("a.b", "id", {"language": "l"})
+
+
+def test_a_repeated_id_takes_one_whole_record(spark):
+    nvd = spark.createDataFrame(
+        [("CVE-1", 9.8, "aaa", "2024-01-02"), ("CVE-1", 7.5, "zzz", "2024-01-01"), ("CVE-2", None, "b", None)],
+        "cve_id STRING, cvss_score DOUBLE, vendor STRING, last_modified STRING",
+    )
+    epss = spark.createDataFrame([("cve-1", 0.5), ("CVE-1", 0.5)], "cve_id STRING, epss DOUBLE")
+    rows = {r.cve_id: (r.cvss_score, r.vendor, r.epss) for r in vuln.merge_feeds({"nvd": nvd, "epss": epss}).collect()}
+    assert rows == {"CVE-1": (9.8, "aaa", 0.5), "CVE-2": (None, "b", None)}

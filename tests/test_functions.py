@@ -182,3 +182,15 @@ def test_yara_features(one):
     assert one(text.yara_meta(F.col("r")), r=rule) == {"author": "me", "score": "70"}
     assert one(text.yara_condition(F.col("r")), r=rule) == "$a or $b"
     assert one(text.yara_string_names(F.col("r")), r=rule) == ["$a", "$b"]
+
+
+def test_kql_reads_every_table(one):
+    kql = "SecurityEvent\n| where EventID == 1\nSigninLogs\n| project Time,\n  Account\n; union isfuzzy=true AuditLogs, DnsEvents | take 1"
+    assert one(text.kql_tables(F.col("q")), q=kql) == ["SecurityEvent", "SigninLogs", "AuditLogs", "DnsEvents"]
+    assert one(text.kql_tables(F.col("q")), q="let a = 1; SecurityEvent | where x") == ["SecurityEvent"]
+
+
+def test_spl_terms_are_not_cut(one):
+    spl = " ".join(f"index=i{n}" for n in range(9)) + " " + "x" * 300
+    assert len(one(text.spl_log_sources(F.col("q")), q=spl)) == 9 and len(one(text.spl_log_sources(F.col("q"), 3), q=spl)) == 3
+    assert one(text.spl_conditions(F.col("q")), q=spl) == [spl] and len(one(text.spl_conditions(F.col("q"), 200), q=spl)[0]) == 200

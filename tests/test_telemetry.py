@@ -168,3 +168,35 @@ def test_text_signature(spark):
     out = shapes.signature_matches(docs, "text", strings, "($a and $b) or ($c and not $a)")
     assert sorted(r.id for r in out.collect()) == [1, 3]
     assert shapes.signature_matches(docs, "text", strings, "$a", nocase=False).count() == 1
+
+
+def test_a_stream_without_a_checkpoint_folder_is_refused(spark, lines, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "configured_folder", lambda spark: None)
+    with pytest.raises(ValueError):
+        jobs.append_store(jobs.shipped_events(spark, lines), str(tmp_path / "a"), "none", available_now=True)
+    query = jobs.append_store(
+        jobs.shipped_events(spark, lines), str(tmp_path / "b"), "own", available_now=True, checkpoint=str(tmp_path / "c")
+    )
+    query.awaitTermination(120)
+    assert (tmp_path / "c" / "offsets").exists()
+
+
+def test_bytes_that_are_no_text_are_replaced(spark):
+    line = "type=PROCTITLE msg=audit(1704067200.000:9): proctitle=C3280A comm=6C73 exe=\"6C73\""
+    row = parse_audit_lines(spark.createDataFrame([(line,)], "value STRING")).first()
+    assert row.proctitle == "�(\n" and row.comm == "ls" and row.exe == "6C73"
+
+
+def test_changed_rules_meet_the_telemetry_there_is(spark):
+    from watchfloor.plans.match import Backend
+
+    events = spark.sql("SELECT timestamp '2024-01-01' AS timestamp, 'T1190' AS technique, 'x' AS message")
+
+    def rules(*techniques):
+        rows = [(f"r{i}", f"r{i}", [t], [], None) for i, t in enumerate(techniques)]
+        return spark.createDataFrame(rows, "rule_id STRING, name STRING, techniques ARRAY<STRING>, keywords ARRAY<STRING>, detection STRING")
+
+    first, seen = jobs.revalidate_changed(rules("T1190", "T1"), None, Backend(events))
+    assert {(r.rule_id, r.status) for r in first.collect()} == {("r0", "pass"), ("r1", "fail")}
+    again, seen = jobs.revalidate_changed(rules("T1190", "T1190", "T2"), seen, Backend(events))
+    assert {(r.rule_id, r.status) for r in again.collect()} == {("r1", "pass"), ("r2", "fail")}

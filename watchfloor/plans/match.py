@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from watchfloor.functions.text import keyword_tokens, leading_tokens
 from watchfloor.operators import matching
 from watchfloor.operators.predicates import Fields
+from watchfloor.session import ready
 
 # What a result says when there is nothing to look for, per kind of backend.
 NOTHING = {
@@ -49,6 +50,7 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
     ``rules`` is ``sources.rules.matchable`` output. The look-back start is a literal, so a rerun gives the same
     answer. Unreadable event times are kept by ``local`` and dropped by the other two.
     """
+    ready(rules.sparkSession)
     empty = F.array().cast("array<string>")
     rules = rules.withColumns({c: F.coalesce(c, empty) for c in ("techniques", "keywords")})
     null_ts = "keep" if backend.kind == "local" else "drop"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,19 +45,36 @@ def local_session(cores: str = "8", app_name: str = "watchfloor") -> SparkSessio
     return spark
 
 
+# Where a local session without a configured folder keeps its own.
+SCRATCH_SETTING = "watchfloor.scratch.dir"
+
+
+def configured_folder(spark: SparkSession) -> str | None:
+    """What ``spark.checkpoint.dir`` says."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch one only where the cluster names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """The folder named by ``spark.checkpoint.dir``, which every executor must reach.
+
+    Only a session whose executors are threads of the driver may do without: it gets a scratch folder of its own.
+    """
+    folder = configured_folder(spark) or spark.conf.get(SCRATCH_SETTING, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="watchfloor-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set(SCRATCH_SETTING, folder)
     return folder
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Check, at the entry of a whole job, the settings its results rest on; the others only cost time."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
+        raise ValueError("the session's time zone must be UTC: call watchfloor.session.tune(spark) first")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: the result survives the loss of any executor."""
     spark = df.sparkSession
