@@ -81,7 +81,7 @@ def _with_errors(chosen: DataFrame, batch: matching.CompiledRules) -> DataFrame:
     if not batch.errors:
         return chosen
     text = F.try_element_at(
-        F.create_map(*[F.lit(p) for n, e in batch.errors.items() for p in (batch.rule_ids[n], e)]), F.col("rule_id")
+        F.create_map(*[F.lit(p) for n, e in batch.errors.items() for p in (batch.rule_ids[n], e)]), F.col("rule_id").cast("string")
     )
     return chosen.withColumn("condition_error", F.coalesce("condition_error", text))
 

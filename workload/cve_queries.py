@@ -220,15 +220,11 @@ def enrich_cves(v):
        WHERE x.source = 'ctid' GROUP BY 1, 2""",
 )
 def direct_techniques(v):
-    grouped = (
-        v.cve_technique.filter(F.col("source") == "ctid")
-        .groupBy("o_orderkey", "s_suppkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    named = grouped.join(v.kb.select("s_suppkey", "technique_id"), "s_suppkey").join(
-        v.cve.select("o_orderkey", "cve_id"), "o_orderkey"
-    )
-    return named.select("cve_id", "technique_id", "n")
+    """The feed's records carry arrays of technique ids; the operator opens them."""
+    mapped = v.cve_technique.filter(F.col("source") == "ctid").join(v.kb.select("s_suppkey", "technique_id"), "s_suppkey")
+    records = mapped.groupBy("o_orderkey").agg(F.collect_list("technique_id").alias("techniques"))
+    rows = vuln.direct_techniques(records, "o_orderkey").groupBy("o_orderkey", "technique_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(v.cve.select("o_orderkey", "cve_id"), "o_orderkey").select("cve_id", "technique_id", "n")
 
 
 @query(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from watchfloor.functions.ids import parent_technique
 from watchfloor.operators import coverage, matching, quality
 from watchfloor.operators.predicates import Fields
-from watchfloor.session import inline_table
+from watchfloor.plans.match import Backend, match_corpus, validate_corpus
+from watchfloor.session import inline_table, tune
+from watchfloor.streaming.jobs import revalidate_changed
 from workload.registry import query
 
 FIELDS = Fields(["key", "host_no", "value"], attrs=None)
@@ -154,3 +156,66 @@ def labelled_rule_score(v):
 def rule_parents(v):
     events = v.telemetry.filter(F.col("technique").isNotNull())
     return events.groupBy(parent_technique(F.col("technique")).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# One rule whose pattern no engine can compile, and one whose detection is no block.
+BAD_BLOCKS = {4: '{"sel": {"message|re": "a(b"}, "condition": "sel"}', 5: "not a block"}
+
+
+def blocks_of(v, blocks):
+    """Rules with techniques, no keywords and the given detection blocks."""
+    bound = v.rule_technique.groupBy("rule_id").agg(F.array_sort(F.collect_list("technique_id")).alias("techniques"))
+    detections = inline_table(v.spark, list(blocks.items()), {"rule_id": "INT", "detection": "STRING"})
+    keywords = F.array().cast("array<string>")
+    return v.rule.join(bound, "rule_id", "left").join(detections, "rule_id", "left").withColumn("keywords", keywords)
+
+
+@query(
+    "match_with_bad_rules",
+    """SELECT r.rule_id,
+              CASE WHEN coalesce(f.n, 0) > 0 THEN f.n ELSE coalesce(h.n, 0) END AS hits,
+              r.rule_id IN (4, 5) OR (b.rule_id IS NULL AND coalesce(f.n, 0) = 0) AS has_error
+       FROM rule r
+       LEFT JOIN (
+         SELECT 1 AS rule_id, count(*) AS n FROM telemetry WHERE "key" = 'error' AND value > 300
+         UNION ALL SELECT 2, count(*) FROM telemetry WHERE "key" = 'signup' AND value < 0
+         UNION ALL SELECT 3, count(*) FROM telemetry WHERE "key" = 'purchase' AND host_no = 0) f
+         ON r.rule_id = f.rule_id
+       LEFT JOIN (SELECT rule_id, count(*) AS n FROM technique_hit GROUP BY rule_id) h ON r.rule_id = h.rule_id
+       LEFT JOIN (SELECT DISTINCT rule_id FROM rule_technique) b ON r.rule_id = b.rule_id""",
+)
+def match_with_bad_rules(v):
+    tune(v.spark)
+    results = match_corpus(blocks_of(v, LAYER_ONE | BAD_BLOCKS), Backend(v.telemetry, "indexed", time="ts"))
+    return results.select("rule_id", "hits", F.col("error").isNotNull().alias("has_error"))
+
+
+@query(
+    "backend_error_rows",
+    """SELECT 'lake' AS siem, rule_id, hits, status FROM status
+       UNION ALL SELECT 'gone', rule_id, 0, 'error' FROM rule""",
+)
+def backend_error_rows(v):
+    """Two backends, one of which cannot be opened."""
+    tune(v.spark)
+    backends = {
+        "gone": lambda: Backend(v.table("no_such_table"), time="ts"),
+        "lake": Backend(v.telemetry, time="ts"),
+    }
+    rules = blocks_of(v, {0: None}).withColumn("detection", F.lit(None).cast("string"))
+    return validate_corpus(rules, backends).select("siem", "rule_id", "hits", "status")
+
+
+@query(
+    "changed_rules_revalidated",
+    "SELECT rule_id, hits, status FROM status WHERE rule_id % 2 = 0",
+)
+def changed_rules_revalidated(v):
+    """Every second rule has changed since the last snapshot: only those meet the stored telemetry again."""
+    tune(v.spark)
+    rules = blocks_of(v, {0: None}).withColumn("detection", F.lit(None).cast("string"))
+    before = rules.withColumn("name", F.when(F.col("rule_id") % 2 == 0, "older").otherwise(F.col("name")))
+    backend = Backend(v.telemetry, time="ts")
+    _, seen = revalidate_changed(before, None, backend)
+    results, _ = revalidate_changed(rules, seen, backend)
+    return results.select("rule_id", "hits", "status")

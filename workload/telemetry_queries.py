@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from watchfloor.operators import shapes
 from watchfloor.operators.matching import since
 from watchfloor.operators.predicates import Fields, predicate
 from watchfloor.operators.telemetry import daily_counts, merge_json, recent_events, snapshot_diff
-from watchfloor.session import lookup
+from watchfloor.session import lookup, shared_folder, tune
+from watchfloor.sources.telemetry import read_store, store_counts, write_store
 from workload.registry import query
 from workload.views import KEY_TECHNIQUES
 
@@ -38,6 +41,15 @@ def daily_event_counts(v):
     return daily_counts(v.telemetry, "ts")
 
 
+@query("store_event_counts", "SELECT CAST(ts AS DATE) AS event_date, count(*) AS n FROM telemetry GROUP BY 1")
+def store_event_counts(v):
+    """The events written to the daily store below the shared folder and counted as they are read back."""
+    tune(v.spark)
+    path = f"{shared_folder(v.spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    write_store(v.telemetry.withColumnRenamed("ts", "timestamp"), path)
+    return store_counts(read_store(v.spark, path))
+
+
 @query(
     "event_key_to_technique",
     """SELECT e."key", m.technique, count(*) AS n FROM telemetry e
