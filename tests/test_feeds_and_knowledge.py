@@ -59,7 +59,7 @@ def kb(spark, tmp_path_factory):
 def test_techniques(kb):
     rows = {r.technique_id: r for r in kb.techniques.collect()}
     assert set(rows) == {"T1059", "T1059.004", "T9999", "T8888.001"}
-    assert rows["T1059"].tactic == "execution" and len(rows["T1059"].description) == 500
+    assert rows["T1059"].tactic == "execution" and len(rows["T1059"].description) == 900
     assert rows["T1059.004"].parent_id == "T1059" and rows["T8888.001"].parent_id == "T8888"
     assert rows["T9999"].deprecated and rows["T9999"].tactic == "unknown" and rows["T8888.001"].deprecated
 
