@@ -33,9 +33,20 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").alias(new) for new, name in columns.items()])
 
 
+# Spark's own setting: shuffle files go when the action that wrote them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder."""
-    return cut_lineage(df)
+    """The rows written once to the shared checkpoint folder. What was shuffled on the way there is not needed again, so its
+    files go at once instead of piling up over the rounds of an iterative operator."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set(CLEAN_UP, before)
 
 
 def rewritten(df: DataFrame, name: str) -> DataFrame:
