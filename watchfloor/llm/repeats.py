@@ -219,7 +219,8 @@ def copied_runs(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
 def copied_windows(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(doc_id, doc, at, windows): runs of windows that go."""
     every = checkpointed(sliced(docs, length))
-    shared = every.groupBy("anchor").count().filter(F.col("count") > 1).select(F.col("anchor").alias("seen"))
+    # Counts are written before they are joined: a join whose sides are shuffled for it alone can be split at a hot anchor.
+    shared = checkpointed(every.groupBy("anchor").count().filter(F.col("count") > 1).select(F.col("anchor").alias("seen")))
     every = checkpointed(every.join(shared, F.col("anchor") == F.col("seen"), "left_semi"))
     classes = checkpointed(every.groupBy("anchor", "slice").agg(F.count("*").alias("n"), first_place("m", "far").alias("first")))
     copies = classes.filter("n > 1").select(F.col("anchor").alias("x"), F.col("slice").alias("y"), "first")
@@ -228,7 +229,7 @@ def copied_windows(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
         same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
         whole = whole.filter(~same)
     whole = whole.select("doc_id", "doc", "at", F.col("m").alias("windows"))
-    many = classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").withColumnRenamed("anchor", "many")
+    many = checkpointed(classes.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").withColumnRenamed("anchor", "many"))
     reps = classes.join(many, F.col("anchor") == F.col("many")).select("anchor", "slice", "k", "n", "first.*")
     place = (F.col("doc") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
     source = docs.select(F.col("doc_id").alias("of_id"), F.col("doc").alias("of"), "data")
