@@ -180,6 +180,37 @@ def test_toxicity_separates_planted_words(spark, nothing):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxic_dictionary_holds_short_inner_and_joined_markers(spark):
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("bdfghlmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)] + ["leave", "us", "alone"]
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    kinds = {
+        "short": lambda ws: ws[:20] + ["kys"] + ws[20:40] + ["kys"] + ws[40:],
+        "inner": lambda ws: [w[:3] + "zzqx" + w[3:] if k % 15 == 0 else w for k, w in enumerate(ws)],
+        "phrase": lambda ws: ws[:20] + ["leave", "us", "alone"] + ws[20:40] + ["leave", "us", "alone"] + ws[40:],
+        "unspaced": lambda ws: ["".join(rng.choice(signs) for _ in range(150)) + "去死吧" + "".join(rng.choice(signs) for _ in range(150))],
+    }
+    rows, kind = [], {}
+    for i in range(1600):
+        words = [rng.choice(plain) for _ in range(60)]
+        kind[i] = name = list(kinds)[i % 4] if i % 3 == 0 else None
+        if name is None and i % 4 == 3:
+            words = ["".join(rng.choice(signs) for _ in range(300))]
+        rows.append((i, " ".join(kinds[name](words) if name else words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(name is not None)) for i, name in kind.items()], "doc_id long, toxic int")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, labels, usable=~held_out)
+    parts = [p for p in model["more"].split(b"\0") if p]
+    windows = [w for i, t in rows if kind[i] for w in toxicity.windows(t)]
+    assert parts and all(any(p in w for w in windows) for p in parts)  # cut from toxic text
+    assert all(marker.encode() in model["more"] for marker in (" kys ", "zzqx", " us alone ", "去死吧"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    for name in [None, *kinds]:
+        test = [i for i in kind if kind[i] == name and zlib.crc32(str(i).encode()) % 5 == 0]
+        assert sum(got[i] == (name is not None) for i in test) >= 0.8 * len(test), name
+
+
 # ---------------------------------------------------------------- pieces
 
 

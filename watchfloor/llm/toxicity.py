@@ -1,7 +1,9 @@
 """Toxicity by compression distance: what do two zstandard dictionaries make of each window of a text?
 
-Both dictionaries hold the same short sample of ordinary text. The toxic one goes on with the fragments of words that set
-toxic documents apart. A window that the toxic dictionary makes shorter by some bytes holds such fragments. A
+Both dictionaries begin with the same windows of ordinary text. The toxic one goes on with text of the toxic sample: of its
+windows, the stretches of bytes whose runs of 4, 6 and 9 bytes are far more frequent in toxic documents than in ordinary
+ones, wherever they begin or end, within words or across them. The rest of those windows is left out, because zstandard
+finds chance matches in it. A window that the toxic dictionary makes shorter by some bytes holds such a stretch. A
 document's windows (eight lower-case words each) give a profile: the largest gains, the mean gain and the share of windows
 that gain at least 1 to 8 bytes. A logistic curve turns the profile into a score; it is fitted, and its threshold moved to
 the best F1, on labelled rows that the dictionaries have not seen.
@@ -27,10 +29,12 @@ from watchfloor.llm.common import map_batches, smallest_hashes
 WINDOW_WORDS = 8
 LONGEST_WORD = 64  # longer words are cut into pieces of this many characters
 LEVEL = 3
+SHORTEST = 4  # bytes of a match; zstandard's own choice for this level, 5, misses short words
 BASE_WINDOWS = 400
-FRAGMENT = (4, 12)  # characters of a word's beginning
-STANDS_OUT = 5.0  # standard deviations above what ordinary documents lead one to expect
-MOST_FRAGMENTS = 1000
+RUNS = (4, 6, 9)  # bytes: short words with a space, words and their parts, passages of several words
+STANDS_OUT = 7.0  # standard deviations above what ordinary documents lead one to expect
+MOST_STRETCHES = 1000
+HELD = 200_000  # runs that a task counts before it hands them on
 GAINS = range(1, 9)
 
 
@@ -46,10 +50,26 @@ def windows(text: str | None) -> list[bytes]:
     return [f" {' '.join(all_words[i : i + WINDOW_WORDS])} ".encode("utf-8", "replace") for i in range(0, len(all_words), WINDOW_WORDS)] or [b""]
 
 
-def fragments(text: str | None) -> set[str]:
-    """Beginnings of the text's words, signs at their ends taken off."""
-    found = {w.strip(".,;:!?#$%&*()[]\"'|") for w in words(text)}
-    return {w[:n] for w in found for n in range(FRAGMENT[0], min(len(w), FRAGMENT[1]) + 1)}
+def runs(text: str | None) -> set[bytes]:
+    """Runs of bytes within the text's windows."""
+    return {w[i : i + n] for w in windows(text) for n in RUNS for i in range(len(w) - n + 1)}
+
+
+def stretches(text: str | None, telling: set[bytes]) -> set[bytes]:
+    """The parts of the text's windows that telling runs cover without a gap."""
+    out = set()
+    for w in windows(text):
+        start = end = 0
+        for i in range(len(w)):
+            reach = max((i + n for n in RUNS if w[i : i + n] in telling), default=0)
+            if reach and i > end:
+                out.add(w[start:end])
+                start = i
+            elif reach and not end:
+                start = i
+            end = max(end, reach)
+        out.add(w[start:end])
+    return out - {b""}
 
 
 class Gains:
@@ -60,8 +80,9 @@ class Gains:
 
         def compressor(content: bytes):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), min_match=SHORTEST, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=how)
 
         self.ordinary, self.toxic = compressor(base), compressor(base + more)
 
@@ -106,16 +127,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column | None, i
     return rows.join(F.broadcast(ranked), "doc_id").select("toxic", "hash", "text"), totals
 
 
-def chosen_fragments(counts: list, toxic: int, ordinary: int) -> list[str]:
-    """The fragments that stand out, least telling first. A fragment gives way to a longer one that is about as common, and
-    to a shorter one that stands out itself."""
-    strength = {r.fragment: r.strength for r in counts}
-    common = {r.fragment: r.in_toxic for r in counts}
-    longer = [f for f in strength if not any(len(g) > len(f) and g.startswith(f) and common[g] >= 0.7 * common[f] for g in strength)]
-    apart = [f for f in longer if not any(len(g) < len(f) and f.startswith(g) for g in longer)]
-    return sorted(apart, key=lambda f: (strength[f], f))[-MOST_FRAGMENTS:]
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -133,27 +144,40 @@ def train(
         return {"share": float(share), "curve": None}
     rows = rows.withColumn("half", F.pmod("hash", F.lit(2))).persist()
 
-    def count(batches):
-        both = Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                both.update((f, toxic) for f in fragments(text))
+    def handed_on(both: Counter):
         items = list(both.items())
         for i in range(0, len(items), 50_000):
             part = items[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in part], pa.string()), pa.array([v * (k[1] == 1) for k, v in part], pa.int64()), pa.array([v * (k[1] == 0) for k, v in part], pa.int64())],
-                ["fragment", "in_toxic", "in_ordinary"],
+                [pa.array([k[0] for k, _ in part], pa.binary()), pa.array([v * (k[1] == 1) for k, v in part], pa.int64()), pa.array([v * (k[1] == 0) for k, v in part], pa.int64())],
+                ["run", "in_toxic", "in_ordinary"],
             )
 
+    def count(batches):
+        both = Counter()
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                both.update((r, toxic) for r in runs(text))
+                if len(both) > HELD:
+                    yield from handed_on(both)
+                    both.clear()
+        yield from handed_on(both)
+
     halves = {(r.toxic, r.half): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
     toxic, ordinary = halves.get((1, 0), 0), halves.get((0, 0), 0)
     first = rows.filter("half = 0")
-    sums = map_batches(first, count, "fragment string, in_toxic long, in_ordinary long").groupBy("fragment").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_ordinary").alias("in_ordinary"))
+    sums = map_batches(first, count, "run binary, in_toxic long, in_ordinary long").groupBy("run").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_ordinary").alias("in_ordinary"))
     expected = (F.col("in_ordinary") + 0.5) * (toxic / max(1, ordinary))
     strength = (F.col("in_toxic") - expected) / F.sqrt(expected + 1)
     found = sums.withColumn("strength", strength).filter((F.col("strength") > STANDS_OUT) & (F.col("in_toxic") > 3 * expected))
-    telling = chosen_fragments(found.orderBy(F.desc("strength"), "fragment").limit(20 * MOST_FRAGMENTS).collect(), toxic, ordinary)
+    telling = {bytes(r.run) for r in found.orderBy(F.desc("strength"), "run").limit(20 * MOST_STRETCHES).collect()}
+
+    def marked(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s for t in batch.column("text").to_pylist() for s in stretches(t, telling)], pa.binary())], ["stretch"])
+
+    counts = map_batches(first.filter("toxic = 1"), marked, "stretch binary").groupBy("stretch").count()
+    most = counts.orderBy(F.desc("count"), "stretch").limit(MOST_STRETCHES).collect()
 
     def cut(batches):
         for batch in batches:
@@ -161,7 +185,7 @@ def train(
 
     pool = map_batches(first.filter("toxic = 0"), cut, "window binary").withColumn("hash", F.xxhash64("window"))
     base = b"".join(bytes(r.window) for r in pool.orderBy("hash", "window").limit(BASE_WINDOWS).collect())
-    more = f" {' '.join(telling)} ".encode()
+    more = b"\0".join([b"", *(bytes(r.stretch) for r in reversed(most))])  # what is nearest to the end is cheapest to point to
 
     def profiled(batches):
         gains = Gains(base, more)
