@@ -146,6 +146,28 @@ def test_secret_patterns_and_random_strings(spark, nothing):
     assert secret_scans.scan_secrets(nothing).count() == 0
 
 
+def test_random_strings_beside_names_paths_and_digests():
+    scanner = secret_scans.Scanner(secret_scans.read_ranks(secret_scans.VOCABULARY))
+    rng, signs = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    sha1, uuid, upper = "da39a3ee5e6b4b0d3255bfef95601890afd80709", "123e4567-e89b-12d3-a456-426614174000", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"
+    around = [("", ""), ("github_personal_access_key=", ""), ("database_connection_string=", ""), ("/download/attachments/documents/shared/", "/index"), (f"{sha1}/", ""), ("", f"/{sha1}"), (f"/shared/documents/{uuid}/", "")]
+    for before, after in around:
+        for n in (20, 24, 32, 40):
+            keys = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(50)]
+            found = 0
+            for key in keys:
+                text = f"é {before}{key}{after} end"
+                spans = scanner.scan(text)[1]
+                found += any(k == 3 and s <= text.index(key) and text.index(key) + n <= e for s, k, e in spans)
+                assert not scanner.scan(secret_scans.redacted(text, spans, "[SECRET]"))[1]
+            assert found >= 49, (before, n)
+    cut = "q7Zp2Xk9LmW4-vR8tYb3NcJ0s"  # a key with a separator in it
+    start = len("/download/attachments/documents/shared/key=")
+    assert any(s <= start and e >= start + len(cut) for s, _, e in scanner.scan(f"/download/attachments/documents/shared/key={cut}")[1])
+    for text in ("/download/attachments/documents/shared/index", f"/shared/documents/archive/attachments/{uuid}", f"{sha1}/{upper}", f"{sha1}/{uuid}", f"{sha1}/internationalization_of_configuration"):
+        assert all(k != 3 for _, k, _ in scanner.scan(text)[1]), text
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, 'x token = "abcdef0123456789abcdef0123" y', 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, spans int")
     got = {r.doc_id: (r.text, r.spans) for r in secret_scans.redact_secrets(df).collect()}

@@ -6,6 +6,10 @@ characters of ``[A-Za-z0-9+/_=-]``. Known things are left out: digests (hexadeci
 digits), UUIDs, plain numbers and rules of signs, and whatever a pattern already covers. A candidate with at most 1.9
 characters per token is a span of kind ``random``.
 
+A key name or a path beside a random string raises the ratio of the run. In a run that is no such span itself, what lies
+outside patterns, digests and UUIDs is judged again, first as it is and then by its parts between ``/``, ``=``, ``_`` and
+``-``: neighbours that are random each for itself are one candidate if they have 20 characters together.
+
 Spans are code points, end exclusive. Null texts count as empty; an empty text has no span. Whole texts are scanned.
 """
 
@@ -59,6 +63,8 @@ class Scanner:
         self.run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min(CANDIDATE_LEAST, HEX_LEAST))
         self.hex = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
         self.known = re.compile(f"{KNOWN}|{UUID}|[0-9+/_=-]+")
+        self.known_part = re.compile(f"(?<![A-Za-z0-9])(?:{KNOWN}|{UUID})(?![A-Za-z0-9])")
+        self.part = re.compile("[^/=_-]+")
 
     def is_random(self, text: str) -> bool:
         return len(text) <= self.limit * len(self.encoding.encode_ordinary(text))
@@ -74,18 +80,57 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for r in runs for m in self.hex.finditer(text, r.start(), r.end())]
         return sorted(found)
 
+    def candidate(self, text: str) -> bool:
+        return len(text) >= CANDIDATE_LEAST and not self.known.fullmatch(text) and self.is_random(text)
+
+    def random_parts(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Random strings in a piece of a run, and in what they leave of it."""
+        if end - start < CANDIDATE_LEAST:
+            return []
+        if self.candidate(text[start:end]):
+            return [(start, end)]
+        groups, joins = [], False
+        for m in self.part.finditer(text, start, end):
+            alone = self.is_random(m[0])
+            if alone and joins:
+                groups[-1].append(m.span())
+            elif alone:
+                groups.append([m.span()])
+            joins = alone
+        found = []
+        for group in groups:
+            whole = (group[0][0], group[-1][1])
+            found += [(s, e) for s, e in ([whole] if self.candidate(text[slice(*whole)]) else group) if self.candidate(text[s:e])]
+        rest = outside(start, end, found) if found else []
+        return found + [span for part in rest for span in self.random_parts(text, *part)]
+
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """(pattern spans, all spans), each (start, kind, end) by start and kind."""
         runs = list(self.run.finditer(text))
         base = self.base(text, runs)
         more = []
         for m in runs:
-            covered = any(s < m.end() and m.start() < e for s, _, e in base)
-            if not covered and not self.known.fullmatch(m[0]) and self.is_random(m[0]):
+            inside = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+            if not inside and self.known.fullmatch(m[0]):
+                continue
+            if not inside and self.is_random(m[0]):
                 more.append((m.start(), 3, m.end()))
+                continue
+            inside += [k.span() for k in self.known_part.finditer(text, m.start(), m.end())]
+            more += [(s, 3, e) for part in outside(m.start(), m.end(), inside) for s, e in self.random_parts(text, *part)]
         return base, sorted(base + more)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave of start to end."""
+    out, at = [], start
+    for s, e in sorted(spans):
+        if s > at:
+            out.append((at, s))
+        at = max(at, e)
+    return [*out, (at, end)] if at < end else out
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
