@@ -54,6 +54,15 @@ def test_language_edges(docs, nothing):
     assert sorted(r.doc_id for r in language.in_known_language(docs, model).filter("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 8, 8, 9]
 
 
+def test_texts_in_scripts_of_no_learnt_language_are_rejected(spark, docs):
+    model = language.train(docs)
+    texts = ["это простой текст", "да", "ok", "the Greek word λόγος means reason", "straße", "日本語の文章です", "ｆｕｌｌ ｗｉｄｔｈ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in language.in_known_language(df, model).collect()) == [2, 3, 4, 6]
+    taught = language.train(docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(20, "это простой русский текст", "ru")], "doc_id long, text string, lang string")))
+    assert sorted(r.doc_id for r in language.in_known_language(df, taught).collect()) == [0, 1, 2, 3, 4, 6]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2

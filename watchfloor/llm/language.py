@@ -9,6 +9,9 @@ curve fitted on rows it was not trained on.
 Training reads a bounded sample: of each language the ``per_language`` rows with the smallest hash of their id. Each
 machine is one task of at most a few thousand such rows. Prediction is a map over whole texts.
 
+The model also keeps the scripts of its languages. Every text with letters gets one of its languages, so the filter
+``in_known_language`` rejects a text if most of its letters are of scripts that none of them is written in.
+
 Defined results: a null text or one without letters is ``und`` with score 0; without a labelled row everything is ``und``.
 With one language in all, or one in a family, no machine is needed and that step is certain. Null labels are never
 learnt from. Repeated rows are scored each. Long texts are counted in blocks.
@@ -17,7 +20,8 @@ learnt from. Repeated rows are scored each. Long texts are counted in blocks.
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Mapping
 
 import numpy as np
@@ -61,6 +65,25 @@ def letter_table() -> bytes:
     return np.packbits(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)).tobytes()
 
 
+def script_of(letter: str) -> str:
+    """The script by the first word of the letter's name; compatibility forms count as what they stand for."""
+    return unicodedata.name(unicodedata.normalize("NFKC", letter)[0], "").split(" ")[0]
+
+
+def main_scripts(text: str) -> list[str]:
+    """The scripts of at least a tenth of the text's letters."""
+    counts = Counter()
+    for sign, n in Counter(text).items():
+        if sign.isalpha():
+            counts[script_of(sign)] += n
+    return sorted(x for x, n in counts.items() if 10 * n >= counts.total())
+
+
+def script_table(scripts: list[str]) -> bytes:
+    """One bit for each code point: is it a letter of these scripts?"""
+    return np.packbits(np.fromiter((chr(c).isalpha() and script_of(chr(c)) in scripts for c in range(0x110000)), bool, 0x110000)).tobytes()
+
+
 class Features:
     def __init__(self, table: bytes, bits: int = BITS):
         self.letters, self.bits = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool), bits
@@ -169,11 +192,14 @@ def train(
     def featured(batches):
         features = Features(table.value)
         for batch in batches:
-            found = [(lang, f) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (f := features(text)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([f.tobytes() for _, f in found], pa.binary())], ["lang", "x"])
-
-    rows = map_batches(rows, featured, "lang string, x binary").persist()
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+            found = [(lang, f, main_scripts(text)) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (f := features(text)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.string()), pa.array([f.tobytes() for _, f, _ in found], pa.binary()), pa.array([s for _, _, s in found], pa.list_(pa.string()))], ["lang", "x", "scripts"])
+
+    rows = map_batches(rows, featured, "lang string, x binary, scripts array<string>").persist()
+    total = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(total)
+    in_script = rows.select("lang", F.explode("scripts").alias("script")).groupBy("lang", "script").count().collect()
+    scripts = sorted({r.script for r in in_script if 20 * r["count"] >= total[r.lang]})  # one foreign text does not count
     by_family = defaultdict(list)
     for lang in langs:
         by_family[family_of(lang, families)].append(lang)
@@ -200,7 +226,7 @@ def train(
         for r in dealt.groupBy("machine").applyInPandas(fit, "machine int, w binary, slope double, offset double").collect():
             machines[names[r.machine]] = (np.frombuffer(r.w, np.float32), r.slope, r.offset)
     rows.unpersist()
-    return {"families": dict(by_family), "machines": machines}
+    return {"families": dict(by_family), "machines": machines, "scripts": scripts}
 
 
 def vote(names: list[str], kind: str, odds: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -262,14 +288,25 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 def in_known_language(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, that are in a language of the model with at least the given score; a text
-    without letters is in none. Short texts of any language may score low, so no score is asked for by default. A model without languages rejects everything."""
+    without letters is in none, nor is one whose letters are mostly of scripts that no language of the model uses, however
+    short it is. Short texts of any language may score low, so no score is asked for by default; an untaught language in a
+    taught script then passes. A model without languages rejects everything."""
     spark = docs.sparkSession
     table, sent = spark.sparkContext.broadcast(letter_table()), spark.sparkContext.broadcast(model)
 
+    scripts = spark.sparkContext.broadcast(script_table(model["scripts"]))
+
     def run(batches):
         judge = Judge(table.value, sent.value)
+        known = np.unpackbits(np.frombuffer(scripts.value, np.uint8)).astype(bool)
+
+        def in_known_script(text: str) -> bool:
+            codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+            return 2 * int(known[codes].sum()) >= int(judge.features.letters[codes].sum())
+
         for batch in batches:
-            found = judge(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+            texts = batch.column(text_col).to_pylist()
+            kept = [lang != UNKNOWN and score >= least and in_known_script(text) for text, (lang, score, _) in zip(texts, judge(texts), strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
