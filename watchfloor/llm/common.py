@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,22 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, what an action shuffles goes when it ends."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder. What was shuffled on the way there is not needed again, so its
     files go at once instead of piling up over the rounds of an iterative operator."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, "false")
-    conf.set(CLEAN_UP, "true")
-    try:
+    with shuffles_dropped(df.sparkSession):
         return cut_lineage(df.select("*"))
-    finally:
-        conf.set(CLEAN_UP, before)
 
 
 def rewritten(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +63,33 @@ def rewritten(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``rewritten``, in a denser file; what was shuffled on the way goes at once."""
+    folder = new_folder(df.sparkSession, name)
+    with shuffles_dropped(df.sparkSession):
+        df.select("*").write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def numbered(rows: DataFrame, group: str, *order: str, place: str = "idx", total: str = "n") -> DataFrame:
+    """``rows`` with their place in their group (from 0, by ``order``) and the size of the group. Rows are dealt into ranges of
+    (group, order), places are counted inside a range and moved on by the sizes of the ranges before it, so a group may hold
+    all rows. ``group`` has no nulls; ``order`` must tell rows apart for the ranges to be even."""
+    spark = rows.sparkSession
+    dealt = checkpointed(rows.repartitionByRange(partitions(spark), group, *order).withColumn("part", F.spark_partition_id()))
+    by_part = W.partitionBy(group).orderBy("part")
+    parts = dealt.groupBy(group, "part").agg(F.count("*").alias("size"))
+    parts = parts.select(
+        F.col(group).alias("part_group"),
+        F.col("part").alias("part_number"),
+        F.coalesce(F.sum("size").over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("size").over(W.partitionBy(group)).alias(total),
+    )
+    inside = F.row_number().over(W.partitionBy(group, "part").orderBy(*order)) - 1
+    both = dealt.withColumn("inside", inside).join(parts, (F.col(group) == F.col("part_group")) & (F.col("part") == F.col("part_number")))
+    return both.select(*rows.columns, (F.col("before") + F.col("inside")).alias(place), total)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared checkpoint folder, as a URI or path; nothing is created yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

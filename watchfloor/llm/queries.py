@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, mixing, near_copies, near_vectors, pieces, repeats, secret_scans, toxicity, warc
+from watchfloor.llm import fingerprints, language, merkle, mixing, near_copies, near_vectors, pieces, repeats, secret_scans, toxicity, warc
 from watchfloor.llm.common import crc32_of_id
 
+# zlib's CRC-32 of a decimal doc_id: the remainder by the public polynomial, a bit at a time.
+CRC32_SQL = """xor(list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -80,6 +85,62 @@ def op10_repeats(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents"), keep="none").drop("kept", "spans")
 
 
+@query
+def op13_merkle(spark, sf_dir):
+    tampered = crc32_of_id(F.col("doc_id")) % 2 == 0
+    seen = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = merkle.verified(table(spark, sf_dir, "documents"), seen={"text": seen})
+    proof = F.sha2(merkle.proof_text(F.col("proof")).cast("binary"), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+ORACLES["op13_merkle"] = r"""
+WITH RECURSIVE
+leaves AS (
+  SELECT doc_id, source,
+         sha256(concat(pre, coalesce(octet_length(encode(text)) || ':' || text, '-'))) AS leaf,
+         sha256(concat(pre, coalesce(octet_length(encode(seen)) || ':' || seen, '-'))) AS seen,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM (
+    SELECT doc_id, source, text, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen,
+           concat(coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+                  coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                  coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                  coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS pre
+    FROM (SELECT *, CRC32_OF_ID AS crc FROM documents))),
+levels AS (
+  SELECT source, 0 AS level, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, idx // 3, CAST(ceil(any_value(n) / 3.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx))
+  FROM levels WHERE n > 1 GROUP BY source, level, idx // 3),
+subroots AS (
+  SELECT source, level AS height, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM levels WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, idx, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, CAST(ceil(any_value(n) / 3.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx))
+  FROM upper WHERE n > 1 GROUP BY level, idx // 3),
+top AS (SELECT h AS root FROM upper WHERE n = 1),
+walk AS (
+  SELECT doc_id, source, false AS above, 0 AS level, idx, n, seen AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, source, above, level, idx, n, h, proof FROM (
+    SELECT w.doc_id, w.source, w.above, w.level + 1 AS level, w.idx // 3 AS idx, CAST(ceil(w.n / 3.0) AS BIGINT) AS n,
+           sha256(concat(coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx < w.idx), ''), w.h,
+                         coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx > w.idx), ''))) AS h,
+           concat(w.proof, coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> w.idx), '')) AS proof
+    FROM walk w JOIN (SELECT source, false AS above, level, idx, h FROM levels
+                      UNION ALL SELECT NULL, true, level, idx, h FROM upper) s
+      ON s.above = w.above AND s.level = w.level AND s.idx // 3 = w.idx // 3 AND (w.above OR s.source IS NOT DISTINCT FROM w.source)
+    WHERE w.n > 1 GROUP BY w.doc_id, w.source, w.above, w.level, w.idx, w.n, w.h, w.proof
+    UNION ALL
+    SELECT w.doc_id, w.source, true, 0, r.idx, r.n, w.h, w.proof
+    FROM walk w JOIN subroots r ON r.source IS NOT DISTINCT FROM w.source WHERE w.n = 1 AND NOT w.above))
+SELECT l.doc_id, l.leaf, r.h AS subroot, top.root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = top.root AS verified
+FROM walk w JOIN leaves l ON l.doc_id = w.doc_id JOIN subroots r ON r.source IS NOT DISTINCT FROM w.source, top
+WHERE w.above AND w.n = 1
+""".replace("CRC32_OF_ID", CRC32_SQL)
+
 ORACLES["op6_mixing"] = r"""
 WITH sizes AS (
   SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
