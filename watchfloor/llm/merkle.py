@@ -119,6 +119,8 @@ class Forest:
             step = F.struct(F.unhex(left).alias("left"), F.unhex(right).alias("right"))
             carried = [F.col(f"child.{c}").alias(c) for c in self.carried] if not k else []
             known = rows.select("tree", (F.col("idx") * self.fanout + slot).alias("idx"), F.col("child.h").alias("h"), *carried, F.concat(F.array(step), "path").alias("path"), *kept)
+            if k:  # one level of joins, and of what they broadcast, at a time
+                known = checkpointed(known)
         lone = self.lone.join(tops.filter("height = 0").select("tree", "path", *kept), "tree").withColumn("idx", F.lit(0).cast("long"))
         return lone if known is None else known.unionByName(lone.drop("height"))
 
