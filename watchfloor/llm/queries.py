@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchfloor.llm import fingerprints, language, merkle, mixing, near_copies, near_vectors, pieces, repeats, secret_scans, toxicity, warc
+from watchfloor.llm import collocations, fingerprints, language, merkle, mixing, near_copies, near_vectors, pieces, repeats, secret_scans, token_files, toxicity, warc
 from watchfloor.llm.common import crc32_of_id
 
 # zlib's CRC-32 of a decimal doc_id: the remainder by the public polynomial, a bit at a time.
@@ -85,6 +85,51 @@ def op10_repeats(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents"), keep="none").drop("kept", "spans")
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+counts AS (
+  SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, count(*) AS f
+  FROM places, (VALUES (1), (2), (3), (4)) v(size) WHERE i + size - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r,
+         CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM found) c
+  JOIN counts l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN counts r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(list_slice(c.w, k + 1, c.size), ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + short - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size - short + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS short FROM found))
+  GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE longer IS NULL OR CAST(longer AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    read = token_files.round_trip(spark, table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op13_merkle(spark, sf_dir):
     tampered = crc32_of_id(F.col("doc_id")) % 2 == 0
