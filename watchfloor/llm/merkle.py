@@ -8,7 +8,8 @@ hold the whole family and emit the parent. The roots of the trees, in order of t
 Places in a tree come from ranges of the whole order, so a tree may hold all rows. Levels shrink by ``fanout``; all joins
 together move about 1.5 times the leaves. Proofs go back down the same families: a parent hands its path to its children,
 each of which puts its siblings in front. A family of leaves carries the rows' own columns, so the longest paths are never
-joined or shuffled. Digests are kept as 32 bytes and hashed as hexadecimal text.
+joined or shuffled. Joins are merges at every level: a level of the tree is never built as a table in the driver. Digests are
+kept as 32 bytes and hashed as hexadecimal text.
 
 Defined results: the digest of a null is that of ``-``, of any other value its length in bytes, ``:`` and its text, so an
 empty text and a null differ. A null tree is a tree of its own, first in order. Null ids come first; ties are ordered by
@@ -68,7 +69,7 @@ def families(nodes: DataFrame, fanout: int, carried: tuple[str, ...]) -> DataFra
     first = F.col("idx").bitwiseXOR(F.lit(1).cast("long")) if fanout == 2 else F.col("idx") - slot
     joined = nodes.filter(slot == 0).select("tree", "idx", "n", one.alias("child0"))
     for k in range(1, fanout):
-        joined = joined.join(nodes.filter(slot == k).select("tree", first.alias("idx"), one.alias(f"child{k}")), ["tree", "idx"], "left")
+        joined = joined.join(nodes.filter(slot == k).select("tree", first.alias("idx"), one.alias(f"child{k}")).hint("merge"), ["tree", "idx"], "left")
     children = F.filter(F.array(*[F.col(f"child{k}") for k in range(fanout)]), lambda c: c.isNotNull())
     return joined.select(
         "tree",
@@ -110,7 +111,7 @@ class Forest:
         for k in reversed(range(len(self.levels))):
             here = tops.filter(F.col("height") == k + 1).select("tree", F.lit(0).cast("long").alias("idx"), "path", *kept)
             known = here if known is None else known.select(here.columns).union(here)
-            rows = self.levels[k].select("tree", "idx", "children").join(known, ["tree", "idx"])
+            rows = self.levels[k].select("tree", "idx", "children").join(known.hint("merge"), ["tree", "idx"])
             rows = rows.select("tree", "idx", "children", "path", *kept, F.posexplode("children").alias("slot", "child"))
             hashes = F.transform("children", lambda c: c["h"])
             slot = F.col("slot")
@@ -121,7 +122,7 @@ class Forest:
             known = rows.select("tree", (F.col("idx") * self.fanout + slot).alias("idx"), F.col("child.h").alias("h"), *carried, F.concat(F.array(step), "path").alias("path"), *kept)
             if k:  # one level of joins, and of what they broadcast, at a time
                 known = checkpointed(known)
-        lone = self.lone.join(tops.filter("height = 0").select("tree", "path", *kept), "tree").withColumn("idx", F.lit(0).cast("long"))
+        lone = self.lone.join(tops.filter("height = 0").select("tree", "path", *kept).hint("merge"), "tree").withColumn("idx", F.lit(0).cast("long"))
         return lone if known is None else known.unionByName(lone.drop("height"))
 
 
