@@ -1,11 +1,13 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from watchfloor.functions.text import keyword_tokens
-from watchfloor.operators import matching
+from watchfloor.operators import keywords, layers, matching
+from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, updated_records, validate_corpus
 from watchfloor.session import inline_table
 
@@ -185,22 +187,93 @@ def test_tokens_match_the_compiler(spark):
 
 
 @pytest.mark.parametrize("whole_words", [False, True])
-def test_automaton_agrees_with_generated_tests(spark, whole_words):
+def test_keyword_joins_agree_with_generated_tests(spark, whole_words):
     rng = random.Random(9)
-    syllables = ["ab", "cd", "-", "_", "é", " ", "ef", "01", "/"]
-    texts = ["".join(rng.choices(syllables, k=rng.randint(0, 30))) for _ in range(300)]
+    syllables = ["ab", "cd", "-", "_", "é", " ", "\n", "ef", "01", "/"]
+    texts = ["".join(rng.choices(syllables, k=rng.randint(0, 30))) for _ in range(300)] + [None, "", "ab-cd"]
     tokens = {"".join(rng.choices(["ab", "cd", "ef", "01", "-", "_"], k=rng.randint(2, 3))) for _ in range(40)}
     tokens = sorted(t for t in tokens if len(t) >= 4)
-    events = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "event_id INT, message STRING")
-    rules = rules_of(spark, *[(f"r{i}", [], [t]) for i, t in enumerate(tokens)])
-    compiled = next(matching.compile_rules(rules))
+    events = spark.createDataFrame([(i, t, rng.choice(["T1", "T2", None])) for i, t in enumerate(texts)], "event_id INT, message STRING, technique STRING")
+    rules = rules_of(spark, *[(f"r{i}", ["T1"] if i % 7 == 0 else [], [t, tokens[i // 2]]) for i, t in enumerate(tokens)])
 
     def found(limit):
-        signed = matching.with_signatures(events, compiled, whole_words, generated_tokens=limit)
-        return {r.event_id: set(r._broad_rules.split(",")) - {""} for r in signed.select("event_id", "_broad_rules").collect()}
-
-    assert found(0) == found(10_000)
-    assert any(found(0).values())
+        broad = layers.Broad.of(rules, whole_words, generated=limit)
+        assert (broad.few is None) == (limit == 0)
+        rows = sorted(tuple(r) for r in broad.hits(events, ["event_id"]).collect())
+        assert len(rows) == len(set(rows))
+        assert sorted(tuple(r) for r in broad.counts(events).collect()) == sorted(Counter(r[0] for r in rows).items())
+        return rows
+
+    compiled = matching.compile_rules(rules)
+    old = sorted((r.rule_id, r.event_id) for r in matching.hit_rows(events, compiled, ["event_id"], whole_words).filter("layer = 'broad'").collect())
+    assert found(0) == found(10_000) == old and old
+
+
+def test_keywords_of_any_shape(spark):
+    texts = ["", None, "a", "ab abc", "new  object", "new object here", "neW object", "(a+b)* [x] $1", "日本語です", "e\u0301a \U0001F600\U0001F601x", "tab\tstop", "x" * 50_000 + "needle"]
+    words = ["a", "ab", "abc", "new object", "object h", "w ob", "a+b)*", "$1", "本語", "\U0001F600\U0001F601", "\tst", "needle", "absent", "", None, "needle"]
+    events = spark.createDataFrame(list(enumerate(texts)), "event_id INT, message STRING")
+    wanted = spark.createDataFrame([(w,) for w in words], "keyword STRING")
+    got = sorted(tuple(r) for r in keywords.keyword_hits(events, wanted, ["event_id"], "message").collect())
+    assert got == sorted((w, i) for w in {*words} - {"", None} for i, t in enumerate(texts) if t and w in t)
+    assert keywords.keyword_hits(events.limit(0), wanted, ["event_id"], "message").count() == 0
+    assert keywords.keyword_hits(events, wanted.limit(0), ["event_id"], "message").count() == 0
+
+
+def test_keyword_joins_run_no_python(spark):
+    events = spark.createDataFrame([(1, "some words here")], "event_id INT, message STRING")
+    wanted = spark.range(300).select(F.concat(F.lit("word"), "id").alias("keyword"), F.col("id").cast("string").alias("rule_id"))
+    for whole_words in (False, True):
+        plan = keywords.rule_hits(events, wanted, ["event_id"], "message", whole_words)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_index_agrees_with_generated_predicates(spark):
+    rng = random.Random(4)
+    keys = ["exec", "open", "it's", "net", "EXEC", ""]
+    conditions = ["s", "s and t", "s or t", "1 of them", "all of s*", "s and t or u", "s and not u", "(s or t) and u", "1 of s* and t", "not s", "gone", "s | count() > 1"]
+
+    def group():
+        parts = [
+            {"key": rng.choice(keys)}, {"key": rng.sample(keys, 2)}, {"exe|endswith": rng.choice(["sh", "x", ["sh", "n/x"]])},
+            {"exe|startswith|all": ["/", "/bin"]}, {"a2": rng.choice(["1", 2, None])}, {"key|contains": "e"}, {"other": "v1"}, {"returncode": rng.choice([1, 2])},
+            {"key|cased": "exec"}, {"key|re": "e.*"},
+        ]
+        picked = rng.sample(parts * 3 if rng.random() < 0.3 else parts[:4] + parts[6:8], rng.randint(1, 2))
+        one = {k: v for p in picked for k, v in p.items()}
+        return rng.choice([*[one] * 12, *[[one, {"a2": "2"}]] * 5, {}])
+
+    blocks = {f"r{i}": json.dumps({"s": group(), "s2": group(), "t": group(), "u": {"a2": rng.choice("12")}, "condition": rng.choice(conditions)}) for i in range(250)}
+    blocks |= {"text": '"nothing"', "junk": "{", "bad": '{"s": {"key|re": "a(b"}, "condition": "s"}'}
+    events = spark.createDataFrame(
+        [(i, rng.choice([*keys, None]), rng.choice(["/bin/sh", "x", None, "sh"]), rng.choice(["1", "2", None]), rng.choice([1, 2, None]), {"other": rng.choice(["v1", "v2"])}) for i in range(200)],
+        "event_id INT, key STRING, exe STRING, a2 STRING, returncode INT, attrs MAP<STRING, STRING>",
+    )
+    rules = rules_of(spark, *[(k, [], [], b) for k, b in blocks.items()])
+    fields = Fields.of(events.schema)
+    for fold in (False, True):
+        compiled = list(matching.compile_rules(rules, fields, fold))
+        conditions_ = layers.Conditions(rules, fields, fold, per_batch=50)
+        errors = {b.rule_ids[n] for b in compiled for n in b.errors}
+        assert errors == {r.rule_id for r in conditions_.errors.collect()} > {"text", "junk", "bad"}
+        assert conditions_.index.keys.select("rule_id").distinct().count() > 50
+        want = sorted((r.rule_id, r.event_id) for r in matching.hit_rows(events, iter(compiled), ["event_id"]).filter("layer = 'field'").collect())
+        assert sorted(tuple(r) for r in conditions_.hits(events, ["event_id"]).collect()) == want
+        assert sorted(tuple(r) for r in conditions_.counts(events).collect()) == sorted(Counter(w[0] for w in want).items())
+
+
+def test_ten_thousand_rules_take_one_scan(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rules = spark.range(10_000).select(
+        F.concat(F.lit("r"), "id").alias("rule_id"),
+        F.format_string('{"s": {"event_type": "click", "user_id": "%d"}, "condition": "s"}', "id").alias("detection"),
+    )
+    index = layers.Conditions(rules, Fields.of(events.schema)).index
+    plan = index.signatures(events).groupBy("_keys").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Python" not in plan and "NestedLoop" not in plan
+    got = {r.rule_id: r.field_hits for r in index.counts(events).collect()}
+    want = {f"r{r.user_id}": r["count"] for r in events.filter("event_type = 'click' AND user_id < 10000").groupBy("user_id").count().collect()}
+    assert got == want and want
 
 
 def test_dispatch_does_not_change_the_answer(spark):

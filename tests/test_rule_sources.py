@@ -200,7 +200,7 @@ def test_saved_searches_give_one_rule_per_stanza(spark, corpus):
 def test_elastic(ingested):
     r = ingested[0]["Injection"]
     assert techniques(r) == ["T1055", "T1055.002"] and r.mitre_techniques[0].tactic == "defense-evasion"
-    assert r.tags == ["Windows"] and len(r.log_sources) == 5 and r.author == ["E1", "E2"]
+    assert r.tags == ["Windows"] and len(r.log_sources) == 6 and r.author == ["E1", "E2"]
     assert r.detection_logic.language == "eql" and r.platforms == ["windows"]
     assert ingested[0]["J"].id == "dddd"
 

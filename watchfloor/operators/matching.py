@@ -1,7 +1,7 @@
 """Rules x telemetry: which rule fires on which event, and how often.
 
-Rules are compiled on the driver in bounded batches (they are the query text), events stay distributed. Every
-event is reduced, inside generated code, to a *signature*: the list of rule numbers its fields, technique and
+Rules compiled here are the query text, in bounded batches; corpora of thousands go through ``layers``, where rules stay
+a table. Events stay distributed. Every event is reduced, inside generated code, to a *signature*: the list of rule numbers its fields, technique and
 words satisfy. Counting groups by signature before any rule is expanded, so the shuffle carries one row per
 distinct signature and task, however hot a technique or rule is.
 """
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.text import keyword_tokens
-from watchfloor.operators import token_search
 from watchfloor.operators.predicates import (
     Fields, UntranslatableCondition, patterns, required_values, rule_predicate,
 )
@@ -31,8 +30,6 @@ FREE_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2", "key")
 INDEXED_TEXT_FIELDS = ("proctitle", "cmd_output", "message", "raw", "a2")
 SAMPLES_PER_RULE = 3
 RULES_PER_BATCH = 5_000
-# Above this many tokens one automaton pass is cheaper than a generated test per token.
-GENERATED_TOKENS = 64
 NO_PREDICATES = "Rule has no technique IDs or keywords to match against"
 
 
@@ -202,15 +199,9 @@ def _split_numbers(signature: Column) -> Column:
     return F.array_distinct(F.filter(F.split(signature, ","), lambda n: n != ""))
 
 
-def _token_columns(tokens: Mapping[str, tuple[int, ...]], whole_words: bool, generated: int) -> list[Column]:
+def _token_columns(tokens: Mapping[str, tuple[int, ...]], whole_words: bool) -> list[Column]:
     """Columns over ``_text`` that name the rules whose tokens it contains."""
     text = F.col("_text")
-    if len(tokens) > generated and token_search.available():
-        labels = {token: _numbers(numbers) for token, numbers in tokens.items()}
-        if not whole_words:
-            return [token_search.token_labels(text, labels)]
-        parts = {token: word_parts(token) for token in labels if word_parts(token)}
-        return [token_search.token_labels(text, {token: labels[token] for token in parts}, parts)]
     return [
         F.when(has_word(text, token) if whole_words else F.contains(text, F.lit(token)), F.lit(_numbers(numbers)))
         for token, numbers in tokens.items()
@@ -237,13 +228,11 @@ def _predicate_columns(rules: CompiledRules) -> list[Column]:
     return columns
 
 
-def with_signatures(
-    events: DataFrame, rules: CompiledRules, whole_words: bool = False, generated_tokens: int = GENERATED_TOKENS
-) -> DataFrame:
+def with_signatures(events: DataFrame, rules: CompiledRules, whole_words: bool = False) -> DataFrame:
     """Add ``_field_rules`` (condition layer) and ``_broad_rules`` (technique or keyword layer) to each event."""
     text = haystack(events, INDEXED_TEXT_FIELDS if whole_words else FREE_TEXT_FIELDS)
     by_field = _predicate_columns(rules)
-    by_token = _token_columns(rules.tokens, whole_words, generated_tokens)
+    by_token = _token_columns(rules.tokens, whole_words)
     out = events
     by_technique = []
     if rules.techniques and "technique" in events.columns:
@@ -376,31 +365,6 @@ def search_terms(techniques: Column, leading: Column) -> Column:
     return F.array_distinct(F.concat(techniques, leading))
 
 
-def free_text_hits(
-    events: DataFrame, rule_terms: DataFrame, raw: Column, per_batch: int = RULES_PER_BATCH
-) -> DataFrame:
-    """(rule_id, hits) of a raw-text search: an event counts once per rule if it contains any of its terms.
-
-    ``rule_terms`` is (rule_id, term). The terms of a rule come from its own text and are few.
-    """
-    kind = rule_terms.schema["rule_id"].dataType
-    per_rule = rule_terms.groupBy(F.col("rule_id").cast("string").alias("rule_id")).agg(
-        F.collect_set(F.lower("term")).alias("terms")
-    )
-
-    def batches() -> Iterator[CompiledRules]:
-        rows = per_rule.toLocalIterator(prefetchPartitions=False)
-        while batch := list(islice(rows, per_batch)):
-            tokens: dict[str, list[int]] = {}
-            for number, row in enumerate(batch):
-                for term in row.terms:
-                    tokens.setdefault(term, []).append(number)
-            yield CompiledRules(tuple(r.rule_id for r in batch), tokens={t: tuple(n) for t, n in tokens.items()})
-
-    counts = layer_counts(events.select(raw.alias("raw")), batches())
-    return counts.select(F.col("rule_id").cast(kind).alias("rule_id"), F.col("broad_hits").alias("hits"))
-
-
 def labelled_scores(hits: DataFrame, positives: DataFrame, rules: DataFrame, label: str = "label") -> DataFrame:
     """Per rule over labelled events: matched, true and false positives, and the positives it missed.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.text import keyword_tokens, leading_tokens
 from watchfloor.operators import matching
+from watchfloor.operators.layers import Broad, Conditions, free_text_hits
 from watchfloor.operators.predicates import Fields
 from watchfloor.session import ready
 
@@ -59,31 +60,17 @@ def match_corpus(rules: DataFrame, backend: Backend, name: str = "local", start:
         return _search(rules, events, backend, name)
     whole_words = backend.kind == "indexed"
     usable = rules if whole_words else rules.withColumn("detection", F.lit(None).cast("string"))
-    compiled = list(
-        matching.compile_rules(
-            usable, backend.fields or Fields.of(events.schema), backend.case_insensitive, dispatch=backend.dispatch
-        )
-    )
-    counts = matching.layer_counts(events, iter(compiled), whole_words)
-    chosen = matching.layered_hits(rules.join(counts, "rule_id", "left"))
-    chosen = chosen.withColumn("condition_error", F.lit(None).cast("string"))
-    for batch in compiled:
-        chosen = _with_errors(chosen, batch)
+    conditions = Conditions(usable, backend.fields or Fields.of(events.schema), backend.case_insensitive)
+    broad = Broad.of(rules, whole_words)
+    counts = conditions.counts(events).join(broad.counts(events), "rule_id", "full_outer")
+    counts = counts.join(conditions.errors.withColumnRenamed("error", "condition_error"), "rule_id", "full_outer")
+    same = F.col("rule_id").cast("string") == F.col("_rule")
+    chosen = matching.layered_hits(rules.join(counts.withColumnRenamed("rule_id", "_rule"), same, "left").drop("_rule"))
     n_terms = F.size("techniques") + F.size(keyword_tokens(F.col("keywords")) if whole_words else F.col("keywords"))
     prefix = F.when(F.col("layer") == "field", "sigma-fields  ").otherwise("")
     query = F.concat(prefix, matching.query_description(F.col("techniques"), F.size("keywords"), start))
     results = _results(chosen, n_terms == 0, name, query, F.col("condition_error"), backend.kind)
-    return _with_samples(results, events, compiled, chosen, backend, whole_words) if samples else results
-
-
-def _with_errors(chosen: DataFrame, batch: matching.CompiledRules) -> DataFrame:
-    """Why a rule's own conditions could not be evaluated, kept beside the fallback's answer."""
-    if not batch.errors:
-        return chosen
-    text = F.try_element_at(
-        F.create_map(*[F.lit(p) for n, e in batch.errors.items() for p in (batch.rule_ids[n], e)]), F.col("rule_id").cast("string")
-    )
-    return chosen.withColumn("condition_error", F.coalesce("condition_error", text))
+    return _with_samples(results, events, conditions, broad, chosen, backend) if samples else results
 
 
 def _results(rules: DataFrame, nothing: Column, siem: str, query: Column, error: Column, kind: str) -> DataFrame:
@@ -98,12 +85,15 @@ def _results(rules: DataFrame, nothing: Column, siem: str, query: Column, error:
     )
 
 
-def _with_samples(results: DataFrame, events: DataFrame, compiled: list, chosen: DataFrame, backend: Backend,
-                  whole_words: bool) -> DataFrame:
+def _with_samples(results: DataFrame, events: DataFrame, conditions: Conditions, broad: Broad, chosen: DataFrame,
+                  backend: Backend) -> DataFrame:
     """Add up to three events per rule, from the layer that decided: first ones locally, latest ones otherwise."""
     plain = [c for c in events.columns if c != "attrs"]
     kept = events.columns
-    hits = matching.hit_rows(events.withColumn("_tie", F.xxhash64(*plain)), iter(compiled), [*kept, "_tie"], whole_words)
+    tied = events.withColumn("_tie", F.xxhash64(*plain))
+    hits = conditions.hits(tied, [*kept, "_tie"]).withColumn("layer", F.lit("field")).unionByName(
+        broad.hits(tied, [*kept, "_tie"]).withColumn("layer", F.lit("broad"))
+    )
     top = matching.latest_samples(
         hits, ("rule_id", "layer"), backend.time, "_tie", backend.samples, first=backend.kind == "local"
     )
@@ -116,14 +106,15 @@ def _with_samples(results: DataFrame, events: DataFrame, compiled: list, chosen:
         F.transform(F.array_sort(F.collect_list(F.struct("rn", F.map_entries(event).alias("e")))),
                     lambda s: F.map_from_entries(s["e"])).alias("samples")
     )
-    decided = chosen.select("rule_id", "layer").join(packed, ["rule_id", "layer"]).drop("layer")
+    decided = chosen.select("rule_id", "layer", F.col("rule_id").cast("string").alias("_rule"))
+    decided = decided.join(packed.withColumnRenamed("rule_id", "_rule"), ["_rule", "layer"]).drop("layer", "_rule")
     return results.join(decided, "rule_id", "left")
 
 
 def _search(rules: DataFrame, events: DataFrame, backend: Backend, name: str) -> DataFrame:
     words = leading_tokens(F.col("keywords"), backend.terms_per_keyword)
     wanted = rules.withColumn("terms", matching.search_terms(F.col("techniques"), words))
-    counts = matching.free_text_hits(
+    counts = free_text_hits(
         events, wanted.select("rule_id", F.explode("terms").alias("term")), F.col(backend.raw)
     )
     joined = wanted.join(counts, "rule_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import parent_technique
 from watchfloor.operators import coverage, matching, quality
+from watchfloor.operators.layers import free_text_hits
 from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, validate_corpus
 from watchfloor.session import inline_table, tune
@@ -87,7 +88,7 @@ def sample_events_topk(v):
 def multi_backend_union(v):
     indexed = matching.technique_hit_counts(v.telemetry, v.rule_technique)
     terms = v.rule_technique.withColumnRenamed("technique_id", "term")
-    search = matching.free_text_hits(v.telemetry, terms, F.concat_ws(" ", "technique", "message"))
+    search = free_text_hits(v.telemetry, terms, F.concat_ws(" ", "technique", "message"))
     return indexed.select(F.lit("indexed").alias("siem"), "rule_id", "hits").unionByName(
         search.select(F.lit("search").alias("siem"), "rule_id", "hits")
     )
