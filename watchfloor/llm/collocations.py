@@ -7,10 +7,11 @@ their frequencies. A phrase of up to ``width`` words begins in exactly one chunk
 lies in that chunk as a whole, so counting phrases in the distinct chunks, weighted, counts every occurrence once.
 
 Phrases are counted level by level. A phrase can only be frequent if the two phrases that it consists of without its last and
-without its first word are. Levels below ``width`` are counted by 64-bit hashes first, and hashes that occur ``least`` times or
-more set a bit in a table of fixed size, which is sent to all tasks: equal hashes or bits let more phrases through, never
-fewer. The phrases let through are counted as text, exactly. What crosses the network: chunks once, hashes of the phrases
-that the level below lets through, phrases that may be frequent; each added up inside the task before.
+without its first word are. Frequent phrases set a bit in a table of fixed size, which is sent to all tasks of the next level:
+equal bits let more phrases through, never fewer. Phrases are told apart by two independent hashes of 64 and 32 bits (for a
+million million different phrases the chance that any two agree is below one in a hundred thousand), counted inside tasks
+first, and then in sorted ranges. The text of a frequent phrase is read from a chunk that holds it. What crosses the
+network: chunks once, hashes of the phrases that the level below lets through, chunks that hold a frequent phrase's text.
 
 Defined results: null and empty texts have no words; a null language is ``und``. Words are never split, and longer than a
 chunk may be. Ties are ordered as stated at ``phrases``. Repeated rows count each. An empty table, or one without frequent
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from watchfloor.llm.common import MIX_1, MIX_2, Powers, finish, map_batches, partitions, stored
 
 CHUNK_WORDS = 16  # a chunk has about so many words
-CHUNKS_HELD = 200_000  # distinct chunks or phrases that a task adds up before it hands them on
-HASHES_HELD = 4_000_000
+CHUNKS_HELD = 200_000  # distinct chunks that a task adds up before it hands them on
+PHRASES_HELD = 3_000_000
 BUFFER_BYTES = 2 << 20
 TABLE_BITS = 26
-SLICE_BITS = 18  # bits of the table that one task sets
+SLICE_BITS = 14  # bits of the table that are set together
+SECOND_BASE = 0xD6E8FEB86659FD93  # a fixed odd number: the base of the second hash
 SPREAD = 64  # tasks among which a language's candidates are ranked first
 
 # What becomes what before texts are split: capitals of ASCII, marks that end a piece, the two kinds of blank.
@@ -43,15 +45,15 @@ LETTERS = bytes(range(65, 91))
 CLEAN = bytes.maketrans(LETTERS + b".,;:!?\x0b\x0c\r\t", LETTERS.lower() + b"\n" * 9 + b" ")
 
 
-def words_of(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, line and hash of each word of ``data``, whose words stand between blanks and line feeds."""
+def words_of(data: bytes, *powers: Powers) -> tuple[np.ndarray, ...]:
+    """Start, end, line and hashes of each word of ``data``, whose words stand between blanks and line feeds."""
     codes = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(codes) + 2, np.int8)
     inside[1:-1] = (codes != 32) & (codes != 10)
     edges = np.flatnonzero(np.diff(inside))
     start, end = edges[::2], edges[1::2]
     line = np.searchsorted(np.flatnonzero(codes == 10), start)
-    return start, end, line, powers.between(powers.sums(codes), start, end)
+    return start, end, line, *[p.between(p.sums(codes), start, end) for p in powers]
 
 
 def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -59,19 +61,52 @@ def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return finish(first * np.uint64(MIX_2) + last * np.uint64(MIX_1) + np.uint64(1))
 
 
-def added_up(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+class Counts:
+    """Phrases by their two hashes: how often they occur, and a place where one stands."""
 
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-def chunks_of(data: bytes, overlap: int, powers: Powers) -> list[bytes]:
-    """The chunks of cleaned text. One that ends in a blank shares its last ``overlap`` words with the next."""
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, chunk: np.ndarray, at: np.ndarray, is_sorted: bool = False) -> None:
+        """Count the given phrases; ``is_sorted``: by both hashes."""
+        if not len(first):
+            return
+        if not is_sorted:
+            order = np.argsort(first, kind="stable")
+            first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
+            if np.any((first[1:] == first[:-1]) & (second[1:] != second[:-1])):
+                order = np.lexsort((second, first))
+                first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
+        edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+        self.parts.append((first[edge], second[edge], np.add.reduceat(n, edge), chunk[edge], at[edge]))
+
+    def settled(self) -> tuple[np.ndarray, ...]:
+        """All that was counted, each phrase once; nothing is left."""
+        parts, self.parts = self.parts, []
+        if not parts:
+            return tuple(np.zeros(0, f.type.to_pandas_dtype()) for f in COUNTED)
+        if len(parts) > 1:
+            self.add(*map(np.concatenate, zip(*parts, strict=True)))
+            parts, self.parts = self.parts, []
+        return parts[0]
+
+
+COUNTED = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("n", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
+
+
+def counted_batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=COUNTED)
+
+
+def chunks_of(data: bytes, overlap: int, powers: Powers) -> tuple[list[bytes], int]:
+    """The chunks of cleaned text and the number of its words. A chunk that ends in a blank shares its last ``overlap`` words with the next."""
     data = re.sub(rb" {2,}", b" ", data)
     start, end, line, hashes = words_of(data, powers)
     if not len(start):
-        return []
+        return [], 0
     trigger = hashes
     for k in range(1, overlap):
         trigger = joined(trigger[:-1], hashes[k:])
@@ -82,14 +117,16 @@ def chunks_of(data: bytes, overlap: int, powers: Powers) -> list[bytes]:
     after = np.append(first[1:], len(start))
     shared = np.append(line[first[1:]] == line[first[1:] - 1], False)
     last = np.where(shared, after + overlap - 1, after - 1)
-    return [data[a:b] + b" " if more else data[a:b] for a, b, more in zip(start[first].tolist(), end[last].tolist(), shared.tolist(), strict=True)]
+    chunks = [data[a:b] + b" " if more else data[a:b] for a, b, more in zip(start[first].tolist(), end[last].tolist(), shared.tolist(), strict=True)]
+    return chunks, len(start)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: int = 4) -> DataFrame:
-    """lang, chunk, n: the distinct chunks of each language and how often the parse has them."""
+    """id, lang, chunk, n: the distinct chunks of each language and how often the parse has them; a language's empty chunk has
+    the number of its words."""
 
     def run(batches):
-        powers, counts, held = Powers(), defaultdict(Counter), 0
+        powers, counts, totals = Powers(), defaultdict(Counter), Counter()
         schema = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("n", pa.int64())])
 
         def made():
@@ -97,7 +134,9 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.binary()), pa.array(found.values(), pa.int64())], schema=schema)
 
         def parsed(lang, parts):
-            counts[lang].update(chunks_of(b"\n".join(parts), width - 1, powers))
+            chunks, words = chunks_of(b"\n".join(parts), width - 1, powers)
+            counts[lang].update(chunks)
+            totals[lang] += words
 
         for batch in batches:
             waiting = defaultdict(list)
@@ -107,51 +146,56 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     parsed(lang, waiting.pop(lang))
             for lang, parts in waiting.items():
                 parsed(lang, parts)
-            held = sum(map(len, counts.values()))
-            if held > CHUNKS_HELD:
+            if sum(map(len, counts.values())) > CHUNKS_HELD:
                 yield from made()
                 counts.clear()
         yield from made()
+        counts.clear()
+        for lang, n in totals.items():
+            counts[lang][b""] = n
+        yield from made()
 
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = map_batches(rows, run, "lang string, chunk binary, n long")
-    return stored(found.groupBy("lang", "chunk").agg(F.sum("n").alias("n")), "chunks")
+    found = found.groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
+    return stored(found.select(F.monotonically_increasing_id().alias("id"), "lang", "chunk", "n"), "chunks")
 
 
 class Grams:
     """The words of a batch of chunks, and for each length the phrases that begin at a word in the chunk's own part."""
 
-    def __init__(self, batch, overlap: int, powers: Powers):
+    def __init__(self, batch, overlap: int, powers: tuple[Powers, Powers]):
         langs, chunks = batch.column("lang").to_pylist(), batch.column("chunk").to_pylist()
-        self.data = b"\n".join(chunks)
-        self.start, self.end, self.line, words = words_of(self.data, powers)
-        salt = {lang: hash_of(lang, powers) for lang in set(langs)}
-        lang = np.array([salt[x] for x in langs], np.uint64)[self.line]
-        self.hashes = [finish(words ^ lang)]
-        self.langs, self.n = langs, batch.column("n").to_numpy()[self.line]
-        size = np.bincount(self.line, minlength=len(chunks))
+        start, end, line, *hashes = words_of(b"\n".join(chunks), *powers)
+        self.hashes = []
+        for p, words in zip(powers, hashes, strict=True):
+            salt = {lang: hash_of(lang, p) for lang in set(langs)}
+            self.hashes.append([finish(words ^ np.array([salt[x] for x in langs], np.uint64)[line])])
+        self.n, size = batch.column("n").to_numpy()[line], np.bincount(line, minlength=len(chunks))
         own = size - overlap * np.array([c.endswith(b" ") for c in chunks], np.int64)
-        place = np.arange(len(self.start)) - (np.cumsum(size) - size)[self.line]
-        self.left, self.own = size[self.line] - place, place < own[self.line]
+        place = np.arange(len(start)) - (np.cumsum(size) - size)[line]
+        self.left, self.own = size[line] - place, place < own[line]
+        self.chunk, self.place = batch.column("id").to_numpy()[line], place.astype(np.int32)
 
-    def phrase_hashes(self, words: int) -> np.ndarray:
+    def phrase_hashes(self, words: int, which: int = 0) -> np.ndarray:
         """Hash of the phrase of so many words from each word that has them; others' values mean nothing."""
-        while len(self.hashes) < words:
-            k, last = len(self.hashes), self.hashes[-1]
+        known = self.hashes[which]
+        while len(known) < words:
+            k, last = len(known), known[-1]
             n, longer = max(0, len(last) - k), np.zeros_like(last)
-            longer[:n] = joined(last[:n], self.hashes[0][k : k + n])
-            self.hashes.append(longer)
-        return self.hashes[words - 1]
+            longer[:n] = joined(last[:n], known[0][k : k + n])
+            known.append(longer)
+        return known[words - 1]
 
-    def possible(self, words: int, level: int, table: np.ndarray | None) -> np.ndarray:
-        """Words of the chunks' own parts at which a phrase of so many words begins that may be frequent: the table of
-        ``level`` words, as many or one less, lets all its parts through."""
+    def possible(self, words: int, table: np.ndarray | None) -> np.ndarray:
+        """Words of the chunks' own parts at which a phrase of so many words begins that may be frequent: ``table``, of one
+        word less, lets both its parts through."""
         ok = self.own & (self.left >= words)
         if table is not None:
-            bits = self.phrase_hashes(level) & np.uint64((1 << TABLE_BITS) - 1)
+            bits = self.phrase_hashes(words - 1) & np.uint64((1 << TABLE_BITS) - 1)
             frequent = (table[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            for shift in range(words - level + 1):
-                ok[: len(ok) - shift] &= frequent[shift:]
+            ok &= frequent
+            ok[:-1] &= frequent[1:]
         return np.flatnonzero(ok)
 
 
@@ -160,104 +204,105 @@ def hash_of(text: str, powers: Powers) -> np.uint64:
     return powers.between(powers.sums(codes), np.array([0]), np.array([len(codes)]))[0]
 
 
-def frequent_hashes(chunks: DataFrame, words: int, below: bytes | None, least: int, overlap: int) -> bytes:
-    """A table of TABLE_BITS bits: set for every phrase of so many words that occurs ``least`` times or more. ``below``: the
-    table of one word less."""
-    sent = chunks.sparkSession.sparkContext.broadcast(below)
+def many_rows(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` over rows that are short."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    return rows.mapInArrow(run, schema)
 
-    def run(batches):
-        powers, known = Powers(), None if sent.value is None else np.frombuffer(sent.value, np.uint8)
-        held, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
-        def made():
-            return added_up(np.concatenate(held), np.concatenate(counts))
+def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, overlap: int) -> DataFrame:
+    """first, second, n of every phrase of so many words that occurs ``least`` times or more, and a chunk and the word in it at
+    which one begins. ``below``: the table of one word less."""
+    spark = chunks.sparkSession
+    sent = spark.sparkContext.broadcast(below)
 
-        size = 0
+    def count(batches):
+        powers, table, counts = (Powers(), Powers(SECOND_BASE)), None if sent.value is None else np.frombuffer(sent.value, np.uint8), Counts()
         for batch in batches:
             grams = Grams(batch, overlap, powers)
-            begins = grams.possible(words, words - 1, known)
-            hashes, n = added_up(grams.phrase_hashes(words)[begins], grams.n[begins])
-            held.append(hashes)
-            counts.append(n)
-            size += len(hashes)
-            if size > HASHES_HELD:
-                hashes, n = made()
-                held, counts, size = [hashes], [n], len(hashes)
-                if size > HASHES_HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
-                    held, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        hashes, n = made()
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+            at = grams.possible(words, table)
+            second = (grams.phrase_hashes(words, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            counts.add(grams.phrase_hashes(words)[at].view(np.int64), second, grams.n[at], grams.chunk[at], grams.place[at])
+            if len(counts) > PHRASES_HELD:
+                columns = counts.settled()
+                if len(columns[0]) > PHRASES_HELD // 2:
+                    yield counted_batch(columns)
+                else:
+                    counts.parts.append(columns)
+        yield counted_batch(counts.settled())
+
+    def add(batches):
+        """Sorted rows: the last phrase of a batch may go on in the next."""
+        counts = Counts()
+        for batch in batches:
+            counts.add(*(batch.column(c).to_numpy() for c in ("first", "second", "n", "chunk", "at")), is_sorted=not counts.parts)
+            columns = counts.settled()
+            keep = np.flatnonzero(columns[2][:-1] >= least)
+            yield counted_batch(tuple(c[keep] for c in columns))
+            counts.parts.append(tuple(c[-1:] for c in columns))
+        columns = counts.settled()
+        keep = np.flatnonzero(columns[2] >= least)
+        yield counted_batch(tuple(c[keep] for c in columns))
+
+    schema = "first long, second int, n long, chunk long, at int"
+    rows = many_rows(chunks.filter("chunk <> CAST('' AS BINARY)"), count, schema).repartition(partitions(spark), "first").sortWithinPartitions("first", "second")
+    return stored(many_rows(rows, add, schema), "frequent")
+
+
+def table_of(found: DataFrame) -> bytes:
+    """A table of TABLE_BITS bits in which every phrase of ``found`` has set one; its size is fixed."""
 
     def bits(batches):
-        table = np.zeros(1 << SLICE_BITS - 3, np.uint8)
         slices: dict[int, np.ndarray] = {}
         for batch in batches:
-            bit = batch.column("hash").to_numpy().view(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+            bit = batch.column("first").to_numpy().view(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
             number = (bit >> np.uint64(SLICE_BITS)).astype(np.int64)
             inside = (bit & np.uint64((1 << SLICE_BITS) - 1)).astype(np.int64)
-            for k in np.unique(number).tolist():
-                mine = inside[number == k]
-                np.bitwise_or.at(slices.setdefault(k, table.copy()), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+            order = np.argsort(number, kind="stable")
+            for k, mine in zip(*grouped(number[order], inside[order]), strict=True):
+                np.bitwise_or.at(slices.setdefault(k, np.zeros(1 << SLICE_BITS - 3, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int64()), pa.array([s.tobytes() for s in slices.values()], pa.binary())], ["slice", "bits"])
 
-    found = many_rows(chunks, run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    part = F.shiftright(F.col("hash").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)), SLICE_BITS)
-    set_ = map_batches(found.select("hash").repartition(partitions(chunks.sparkSession), part), bits, "slice long, bits binary").toArrow()
+    part = F.shiftright(F.col("first").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)), SLICE_BITS)
+    rows = found.select("first").repartition(partitions(found.sparkSession), part)
     table = np.zeros((1 << TABLE_BITS - SLICE_BITS, 1 << SLICE_BITS - 3), np.uint8)
-    for k, data in zip(set_.column("slice").to_pylist(), set_.column("bits").to_pylist(), strict=True):
-        table[k] |= np.frombuffer(data, np.uint8)
+    for batch in many_rows(rows, bits, "slice long, bits binary").toArrow().to_batches():
+        for k, data in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            table[k] |= np.frombuffer(data, np.uint8)
     return table.tobytes()
 
 
-def many_rows(chunks: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` over chunks, which are short."""
-    conf, key = chunks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf.set(key, "16384")
-    return chunks.mapInArrow(run, schema)
+def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The values of each key; keys are sorted."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edge].tolist(), np.split(values, edge[1:]) if len(keys) else []
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", width: int = 4, least: int = 30) -> DataFrame:
     """lang, words, phrase, f of every phrase of up to ``width`` words that occurs ``least`` times or more in its language, and
     a row of 0 words with the number of all words."""
     chunks, overlap = dictionary(docs, text_col, lang_col, width), width - 1
-    tables: list[bytes] = []
-    for words in range(1, width):
-        tables.append(frequent_hashes(chunks, words, tables[-1] if tables else None, least, overlap))
-    sent = chunks.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches):
-        powers, known, counts = Powers(), [np.frombuffer(t, np.uint8) for t in sent.value], Counter()
-
-        def made():
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2].decode() for k in keys], pa.string()), pa.array(counts.values(), pa.int64())],
-                ["lang", "words", "phrase", "f"],
-            )
-
+    found, below = None, None
+    for words in range(1, width + 1):
+        level = frequent(chunks, words, below, least, overlap)
+        below = table_of(level) if words < width else None
+        level = level.select(F.col("chunk").alias("id"), "at", F.lit(words).alias("words"), "n")
+        found = level if found is None else found.unionByName(level)
+    holders = table_of(found.select(F.xxhash64("id").alias("first")))
+    sent = chunks.sparkSession.sparkContext.broadcast(holders)
+
+    def holding(batches):
+        table = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            grams = Grams(batch, overlap, powers)
-            for line, n in zip(*added_up(grams.line[grams.own].astype(np.uint64), grams.n[grams.own]), strict=True):
-                counts[grams.langs[line], 0, b""] += int(n)
-            for words in range(1, width + 1):
-                level = min(words, width - 1)
-                begins = grams.possible(words, level, known[level - 1])
-                hashes = grams.phrase_hashes(words)[begins]
-                order = np.argsort(hashes, kind="stable")
-                begins, hashes = begins[order], hashes[order]
-                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(begins) else begins
-                totals = np.add.reduceat(grams.n[begins], first) if len(begins) else first
-                one = begins[first]
-                for line, a, b, n in zip(grams.line[one].tolist(), grams.start[one].tolist(), grams.end[one + words - 1].tolist(), totals.tolist(), strict=True):
-                    counts[grams.langs[line], words, grams.data[a:b]] += n
-            if len(counts) > CHUNKS_HELD:
-                yield made()
-                counts.clear()
-        yield made()
-
-    found = many_rows(chunks, run, "lang string, words int, phrase string, f long").groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    return stored(found.filter((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+            bits = batch.column("hash").to_numpy().view(np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+            yield batch.filter(pa.array((table[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 == 1)).select(["id", "lang", "chunk"])
+
+    some = many_rows(chunks.select("id", "lang", "chunk", F.xxhash64("id").alias("hash")), holding, "id long, lang string, chunk binary")
+    # The chunk's words from a place on, up to the phrase's last.
+    words = F.split(F.col("chunk").cast("string"), " ")
+    texts = found.join(some, "id").select("lang", "words", F.array_join(F.slice(words, F.col("at") + 1, F.col("words")), " ").alias("phrase"), F.col("n").alias("f"))
+    totals = chunks.filter("chunk = CAST('' AS BINARY)").select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), F.col("n").alias("f"))
+    return stored(texts.union(totals), "phrases")
 
 
 def big(count: Column) -> Column:
