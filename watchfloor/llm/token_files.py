@@ -11,8 +11,8 @@ A manifest has one row per file, in order of the ids; readers take ranges of blo
 that is run again writes files of other names, and the manifest names only those of the attempt that counted.
 
 Words between white space are encoded once and remembered (``by_words``), which is exact for vocabularies that drop white
-space, like the given one: nothing its normaliser or its pattern does crosses a space. ``by_words=False`` hands whole texts
-to the library.
+space and mark the end of words, like the given one: nothing its normaliser or its pattern does crosses a space.
+``by_words=False`` hands whole texts to the library.
 
 Defined results: null and empty texts have the end id alone. Ids must be integers; null ids come first; rows of the same id
 are ordered by their text's hash, and repeated rows lie side by side, each with a start of its own. A block holds whole
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -44,44 +45,123 @@ BLOCK_TOKENS = 1 << 17
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 WORDS_KEPT = 400_000  # words of a generation; two are kept
+RUNS_AT_ONCE = 2000
+BULK_BYTES = 8 << 20  # of texts whose words are told apart at once
+# Characters of plain words: ASCII, Latin letters and some marks. None of them changes or joins when texts are normalised, each
+# has at most one lower-case letter, and any Unicode version says alike what is a letter. Others are left to the library.
+PLAIN = "!-~¡-©«¬®-±¶·»¿-įı-ſ‐-‧"
+# What the pattern's classes mean among plain characters; spelt out, they are searched several times faster.
+PLAIN_LETTERS, PLAIN_DIGITS = (r"\p{L}", "a-zß-öø-įı-ſ"), (r"\p{N}", "0-9")
 MAGIC = b"WFTOKEN1"
 
 
-class Words(dict):
-    """Word -> its ids as bytes. A full generation becomes the older one; what is used of it moves on, the rest goes."""
+class Memory(dict):
+    """Text -> its ids as bytes. A full generation becomes the older one; what is used of it moves on, the rest goes."""
 
-    def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind, self.older = tokenizer, kind, {}
+    older: dict = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = self.older[word]
+    def __missing__(self, text: str) -> bytes:
+        ids = self[text] = self.older[text]
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
+    def new(self, texts: list[str]) -> list[str]:
         if len(self) > WORDS_KEPT:
             self.older = dict(self)
             self.clear()
-        new = [w for w in words if w not in self and w not in self.older]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [t for t in texts if t not in self and t not in self.older]
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches flat[start : start + size], one behind the other."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+
+
+class Words:
+    """Encodes texts by their distinct words, and plain words by the distinct cuts that the tokenizer's own pattern makes of
+    them. Runs of letters go to the library many at a time and are told apart by the pieces that end one."""
+
+    def __init__(self, tokenizer, data: str, kind: str):
+        self.tokenizer, self.kind, self.cuts, self.others = tokenizer, np.dtype(kind), Memory(), Memory()
+        known = json.loads(data)
+        steps = known["pre_tokenizer"].get("pretokenizers") or [known["pre_tokenizer"]]
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.pattern = f"({pattern.replace(PLAIN_LETTERS[0], PLAIN_LETTERS[1]).replace(PLAIN_DIGITS[0], PLAIN_DIGITS[1])})"
+        # Runs of plain letters in lower case are what the normaliser and the pattern would leave of them.
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.runs_only = Tokenizer(tokenizer.model)
+        self.runs_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        special = "|".join(re.escape(t["content"]) for t in known["added_tokens"])
+        self.odd = f"[^{PLAIN}]" + (f"|{special}" if special else "")
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(known["model"]["end_of_word_suffix"])]] = True
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def runs(self, texts: list[str]) -> list[bytes]:
+        """The ids of runs of letters."""
+        ids = np.array(self.runs_only.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(texts):
+            return self.each(texts)
+        data, edges = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [data[i:j] for i, j in zip([0, *edges], edges, strict=False)]
+
+    def ids_of(self, memory: Memory, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` in a row, and how many each has."""
+        new = memory.new(texts)
+        letters, others = ([t for t in new if t.isalpha()], [t for t in new if not t.isalpha()]) if memory is self.cuts else ([], new)
+        memory.update(zip(others, self.each(others), strict=True))
+        for at in range(0, len(letters), RUNS_AT_ONCE):
+            some = letters[at : at + RUNS_AT_ONCE]
+            memory.update(zip(some, self.runs(some), strict=True))
+        found = list(map(memory.__getitem__, texts))
+        return np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        counted = pc.list_flatten(split).dictionary_encode()
+        words, place = counted.dictionary, counted.indices.to_numpy()
+        odd = pc.match_substring_regex(words, pattern=self.odd)
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(pc.invert(odd))), pattern=self.pattern, replacement=r"\1 "), pattern=" ")
+        pieces = pc.list_flatten(cut).dictionary_encode()
+        # One text split again: much faster than a text at a time. Pieces hold no space.
+        together = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary), " ")[0].as_py()
+        flat, size = self.ids_of(self.cuts, together.split(" ") if len(pieces.dictionary) else [])
+        which, number = pieces.indices.to_numpy(), pc.list_value_length(cut).to_numpy()
+        flat = gathered(flat, (np.cumsum(size) - size)[which], size[which])
+        # Each word's ids: of plain ones those of its cuts, of others what the library says.
+        edges = np.concatenate([[0], np.cumsum(size[which])])[np.concatenate([[0], np.cumsum(number)])]
+        more, more_size = self.ids_of(self.others, words.filter(odd).to_pylist())
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        word_size = np.empty(len(words), np.int64)
+        word_size[~is_odd], word_size[is_odd] = np.diff(edges), more_size
+        word_start = np.empty(len(words), np.int64)
+        word_start[~is_odd], word_start[is_odd] = edges[:-1], len(flat) + np.cumsum(more_size) - more_size
+        ids = gathered(np.concatenate([flat, more]), word_start[place], word_size[place])
+        upto = np.concatenate([[0], np.cumsum(word_size[place])])
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])])
 
 
 def encoder(sent: dict):
-    """texts -> ids as bytes; a worker process keeps it, and so its words, from task to task."""
+    """texts -> their ids in a row and how many each has; a worker process keeps it, and so what it remembers, from task to
+    task."""
     if "encode" not in sent:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer, kind = Tokenizer.from_str(sent["json"]), sent["kind"]
-        if sent["by_words"]:
-            sent["encode"] = Words(tokenizer, kind).encode
-        else:
-            sent["encode"] = lambda texts: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            found = [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, kind), *found]), np.array([len(f) for f in found], np.int64)
+
+        sent["encode"] = Words(tokenizer, sent["json"], kind).encode if sent["by_words"] else whole
     return sent["encode"]
 
 
@@ -161,6 +241,19 @@ class Code:
         return out.T.ravel()[:n]
 
 
+def in_bulk(batches):
+    """Neighbouring batches put together until they hold BULK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BULK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, by_words: bool) -> DataFrame:
     """part, block, doc_ids, sizes, ids: documents in blocks, blocks in the order of the ids by (part, block)."""
     from tokenizers import Tokenizer
@@ -177,19 +270,20 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
     schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches):
-        encode, width, end = encoder(sent.value), np.dtype(kind).itemsize, np.array([end_id], kind).tobytes()
+        encode, width, end = encoder(sent.value), np.dtype(kind).itemsize, np.array([end_id], kind)
         part, block, ids, sizes, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def made():
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, block, width, ids, sizes, b"".join(parts)), schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                parts += (found, end)
+        for some in in_bulk(batches):
+            found, lengths = encode(some.column("text"))
+            at = 0
+            for doc_id, length in zip(some.column("doc_id").to_pylist(), lengths.tolist(), strict=True):
+                parts += (found[at : at + length].tobytes(), end.tobytes())
                 ids.append(doc_id)
-                sizes.append(len(found) // width + 1)
-                held += sizes[-1]
+                sizes.append(length + 1)
+                held, at = held + length + 1, at + length
                 if held >= BLOCK_TOKENS:
                     yield made()
                     block, ids, sizes, parts, held = block + 1, [], [], [], 0
