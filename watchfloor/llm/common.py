@@ -29,6 +29,37 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def in_bulk(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together until they hold ``size`` bytes."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, held_bytes = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+class Memory(dict):
+    """What was computed for texts. A full generation becomes the older one; what is used of it moves on, the rest goes."""
+
+    def __init__(self, kept: int):
+        self.kept, self.older = kept, {}
+
+    def __missing__(self, text):
+        value = self[text] = self.older[text]
+        return value
+
+    def new(self, texts) -> list:
+        """Those of ``texts`` that are not known; they must be put in before they are asked for."""
+        if len(self) > self.kept:
+            self.older = dict(self)
+            self.clear()
+        return [t for t in texts if t not in self and t not in self.older]
+
+
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names."""
     return df.select(*[F.col(f"`{name}`").alias(new) for new, name in columns.items()])

@@ -25,17 +25,17 @@ import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from watchfloor.llm.common import map_batches
+from watchfloor.llm.common import Memory, in_bulk, map_batches
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_KEPT = 200_000
+BULK_BYTES = 8 << 20  # of texts whose words are sorted together
+WORDS_KEPT = 200_000  # words of a generation; two are kept
 PAIRS_KEPT = 500_000
 # Fixed values of the public model format: kinds of model and of piece.
 UNIGRAM, BPE = 1, 2
@@ -148,9 +148,20 @@ def merged(model: Model, text: str) -> list[str]:
     return parts
 
 
+def common_prefix(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    n = 0
+    while a[n] == b[n]:
+        n += 1
+    return n
+
+
 class Encoder:
     def __init__(self, model: Model):
-        self.model, self.words, self.pairs, self.whole = model, {}, {}, {}
+        self.model, self.words, self.pairs = model, Memory(WORDS_KEPT), {}
         # Pieces by their characters from the last to the first: char -> (piece that begins there or -1, further chars).
         root: dict = {}
         for text, at in model.ids.items():
@@ -218,7 +229,7 @@ class Encoder:
         last: list[int | None] = [None]
         best, before = [0.0], ""
         for word in words:
-            shared = len(commonprefix((before, word)))
+            shared = common_prefix(before, word)
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if viterbi:
@@ -240,10 +251,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         units = [None if t is None else self.model.units.findall(self.model.normalised(t)) for t in texts]
-        new = set(chain.from_iterable(u for u in units if u))
-        if len(self.words) + len(new) > WORDS_KEPT:  # what this batch does not use gives way
-            self.words = {w: ids for w in new if (ids := self.words.get(w)) is not None}
-        self.words.update(self.encode_sorted(sorted(new - self.words.keys())))
+        new = self.words.new(set(chain.from_iterable(u for u in units if u)))
+        self.words.update(self.encode_sorted(sorted(new)))
         return [None if u is None else list(chain.from_iterable(map(self.words.__getitem__, u))) for u in units]
 
 
@@ -261,7 +270,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             sent.value["encoder"] = Encoder(Model(sent.value["model"]))
         encoder = sent.value["encoder"]
         known = encoder.model
-        for batch in batches:
+        for batch in in_bulk(batches, BULK_BYTES):
             texts = batch.column("text").to_pylist()
             ids = encoder.encode(texts)
             lengths = np.array([0, *[len(i or ()) for i in ids]], np.int64).cumsum()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from watchfloor.llm.common import checkpointed, map_batches, new_folder, partitions, stored
+from watchfloor.llm.common import Memory, checkpointed, in_bulk, map_batches, new_folder, partitions, stored
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
@@ -55,22 +55,6 @@ PLAIN_LETTERS, PLAIN_DIGITS = (r"\p{L}", "a-zß-öø-įı-ſ"), (r"\p{N}", "0-9"
 MAGIC = b"WFTOKEN1"
 
 
-class Memory(dict):
-    """Text -> its ids as bytes. A full generation becomes the older one; what is used of it moves on, the rest goes."""
-
-    older: dict = {}
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self[text] = self.older[text]
-        return ids
-
-    def new(self, texts: list[str]) -> list[str]:
-        if len(self) > WORDS_KEPT:
-            self.older = dict(self)
-            self.clear()
-        return [t for t in texts if t not in self and t not in self.older]
-
-
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + size], one behind the other."""
     before = np.cumsum(size) - size
@@ -82,7 +66,7 @@ class Words:
     them. Runs of letters go to the library many at a time and are told apart by the pieces that end one."""
 
     def __init__(self, tokenizer, data: str, kind: str):
-        self.tokenizer, self.kind, self.cuts, self.others = tokenizer, np.dtype(kind), Memory(), Memory()
+        self.tokenizer, self.kind, self.cuts, self.others = tokenizer, np.dtype(kind), Memory(WORDS_KEPT), Memory(WORDS_KEPT)
         known = json.loads(data)
         steps = known["pre_tokenizer"].get("pretokenizers") or [known["pre_tokenizer"]]
         pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
@@ -241,19 +225,6 @@ class Code:
         return out.T.ravel()[:n]
 
 
-def in_bulk(batches):
-    """Neighbouring batches put together until they hold BULK_BYTES."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BULK_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, by_words: bool) -> DataFrame:
     """part, block, doc_ids, sizes, ids: documents in blocks, blocks in the order of the ids by (part, block)."""
     from tokenizers import Tokenizer
@@ -276,7 +247,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
         def made():
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, block, width, ids, sizes, b"".join(parts)), schema, strict=True)], schema=schema)
 
-        for some in in_bulk(batches):
+        for some in in_bulk(batches, BULK_BYTES):
             found, lengths = encode(some.column("text"))
             at = 0
             for doc_id, length in zip(some.column("doc_id").to_pylist(), lengths.tolist(), strict=True):
