@@ -284,3 +284,11 @@ def test_unigram_viterbi_against_brute_force():
         ids = encoder.encode([text])[0]
         marked = model.normalised(text)
         assert sum(model.scores[i] if i else min(model.scores) - 10 for i in ids) == pytest.approx(sum(best(u) for u in model.units.findall(marked)))
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark):
+    rows = [(None if k % 3 else 1, f"text {k // 4}", "en" if k % 2 else "de") for k in range(2000)] + [(7, "the same", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("hash", F.xxhash64("doc_id", "text"))
+    found = language.sample(df, 10).collect()
+    assert {lang: sum(r.lang == lang for r in found) for lang in ("en", "de")} == {"en": 10, "de": 10}
+    assert len({(r.lang, r.doc_id, r.text) for r in found}) == 20

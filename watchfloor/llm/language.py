@@ -162,13 +162,14 @@ def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """Of each language the rows with the smallest hash of their id. The cut is found on ids alone; texts are not shuffled."""
-    ranked = smallest_hashes(docs.select("lang", "hash"), "lang", "hash", per_language)
+    """Of each language the rows with the smallest hash of id and text, one of those that repeat each other, ``per_language``
+    at most. The cut is found on hashes alone; of texts only the sample is shuffled."""
+    ranked = smallest_hashes(docs.select("lang", "hash").distinct(), "lang", "hash", per_language)
     cuts = {r.lang: r.cut for r in ranked.groupBy("lang").agg(F.max("hash").alias("cut")).collect()}
     if not cuts:
         return docs.filter("false")
     limit = F.element_at(F.create_map(*[F.lit(v) for pair in sorted(cuts.items()) for v in pair]), F.col("lang"))
-    return docs.filter(F.col("hash") <= limit)
+    return docs.filter(F.col("hash") <= limit).dropDuplicates(["lang", "hash"])
 
 
 def train(
@@ -185,7 +186,7 @@ def train(
     ``per_language`` bounds the sample; what comes to the driver is a vector of 4,097 weights for each pair.
     """
     rows = docs if usable is None else docs.filter(usable)
-    rows = rows.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(f"`{id_col}`").alias("hash"))
+    rows = rows.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("hash"))
     rows = sample(rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), per_language)
     table = docs.sparkSession.sparkContext.broadcast(letter_table())
 

@@ -148,18 +148,22 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Decisions return to their documents by id and size, and by their place among rows that share both where there are any.
     """
     taken = mix_sources(docs, id_col, text_col, source_col, **options)
-    text = F.col(f"`{text_col}`")
-    part = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "taken", "row")
-    rows = docs.withColumn("__words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size"))
-    if not part.groupBy("__id", "__size").count().filter("count > 1").isEmpty():
-        part = part.withColumn("__nth_taken", F.row_number().over(W.partitionBy("__id", "__size").orderBy(F.desc("taken"), "row")))
-        rows = rows.withColumn("__nth", F.row_number().over(W.partitionBy(f"`{id_col}`", "__words").orderBy(text)))
-        same &= F.col("__nth") == F.col("__nth_taken")
+    part = taken.select(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size"), "taken", "row")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("words"),
+    )
+    same = F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("words") == F.col("taken_size"))
+    if not part.groupBy("taken_id", "taken_size").count().filter("count > 1").isEmpty():
+        part = part.withColumn("nth_taken", F.row_number().over(W.partitionBy("taken_id", "taken_size").orderBy(F.desc("taken"), "row")))
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("id", "words").orderBy("text")))
+        same &= F.col("nth") == F.col("nth_taken")
     part = part.filter("taken > 0")
-    rest = F.expr("taken % __words")
-    lengths = F.concat(F.expr("array_repeat(__words, CAST(taken DIV __words AS INT))"), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
-    rows = rows.join(part, same).withColumn("__n", F.explode(lengths))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    head = F.when(F.col("__n") < F.col("__words"), F.array_join(F.slice(words, 1, F.col("__n").cast("int")), " ")).otherwise(text)
-    return rows.select(*[head.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    rest = F.expr("taken % words")
+    lengths = F.concat(F.expr("array_repeat(words, CAST(taken DIV words AS INT))"), F.when(rest > 0, F.array(rest)).otherwise(F.expr("array()")))
+    rows = rows.join(part, same).withColumn("n", F.explode(lengths))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    head = F.when(F.col("n") < F.col("words"), F.array_join(F.slice(split, 1, F.col("n").cast("int")), " ")).otherwise(F.col("text"))
+    return rows.select(*[head.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -281,11 +281,14 @@ def near_copy_groups(
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with all its columns; of rows that repeat it one stays."""
-    kept = near_copy_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    kept = checkpointed(kept)
+    kept = near_copy_groups(docs, id_col, text_col, **options).filter("kept")
+    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")))
     once = kept.distinct()
-    mine = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = docs.join(once, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (mine == F.col("__hash")), "left_semi")
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    mine = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_.alias("id"), mine.alias("hash"))
+    rows = rows.join(once, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    rows = rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
     if kept.count() > once.count():
         rows = rows.dropDuplicates([id_col, text_col])
     return rows
