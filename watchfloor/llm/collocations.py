@@ -10,7 +10,7 @@ Phrases are counted level by level. A phrase can only be frequent if the two phr
 without its first word are. Frequent phrases set a bit in a table of fixed size, which is sent to all tasks of the next level:
 equal bits let more phrases through, never fewer. Phrases are told apart by two independent hashes of 64 and 32 bits (for a
 million million different phrases the chance that any two agree is below one in a hundred thousand), counted inside tasks
-first, and then in sorted ranges. The text of a frequent phrase is read from a chunk that holds it. What crosses the
+first, and then range by range. The text of a frequent phrase is read from a chunk that holds it. What crosses the
 network: chunks once, hashes of the phrases that the level below lets through, chunks that hold a frequent phrase's text.
 
 Defined results: null and empty texts have no words; a null language is ``und``. Words are never split, and longer than a
@@ -35,6 +35,7 @@ CHUNK_WORDS = 16  # a chunk has about so many words
 CHUNKS_HELD = 200_000  # distinct chunks that a task adds up before it hands them on
 PHRASES_HELD = 3_000_000
 BUFFER_BYTES = 2 << 20
+RANGES = 8  # ranges of hashes for each shuffle partition; one is added up in memory at a time
 TABLE_BITS = 26
 SLICE_BITS = 14  # bits of the table that are set together
 SECOND_BASE = 0xD6E8FEB86659FD93  # a fixed odd number: the base of the second hash
@@ -70,16 +71,14 @@ class Counts:
     def __len__(self) -> int:
         return sum(len(p[0]) for p in self.parts)
 
-    def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, chunk: np.ndarray, at: np.ndarray, is_sorted: bool = False) -> None:
-        """Count the given phrases; ``is_sorted``: by both hashes."""
+    def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, chunk: np.ndarray, at: np.ndarray) -> None:
         if not len(first):
             return
-        if not is_sorted:
-            order = np.argsort(first, kind="stable")
+        order = np.argsort(first, kind="stable")
+        first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
+        if np.any((first[1:] == first[:-1]) & (second[1:] != second[:-1])):
+            order = np.lexsort((second, first))
             first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
-            if np.any((first[1:] == first[:-1]) & (second[1:] != second[:-1])):
-                order = np.lexsort((second, first))
-                first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
         edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
         self.parts.append((first[edge], second[edge], np.add.reduceat(n, edge), chunk[edge], at[edge]))
 
@@ -97,10 +96,6 @@ class Counts:
 COUNTED = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("n", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
 
 
-def counted_batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=COUNTED)
-
-
 def chunks_of(data: bytes, overlap: int, powers: Powers) -> tuple[list[bytes], int]:
     """The chunks of cleaned text and the number of its words. A chunk that ends in a blank shares its last ``overlap`` words with the next."""
     data = re.sub(rb" {2,}", b" ", data)
@@ -215,6 +210,14 @@ def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, ove
     which one begins. ``below``: the table of one word less."""
     spark = chunks.sparkSession
     sent = spark.sparkContext.broadcast(below)
+    # Ranges of the first hash; a task hands on what it has of a range as one row.
+    ranges = RANGES * partitions(spark)
+    starts = np.array([k * (1 << 64) // ranges - (1 << 63) for k in range(1, ranges)], np.int64)
+
+    def handed_on(columns):
+        edges = [0, *np.searchsorted(columns[0], starts).tolist(), len(columns[0])]
+        rows = [(k, b"".join(c[i:j].tobytes() for c in columns)) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "phrases"])
 
     def count(batches):
         powers, table, counts = (Powers(), Powers(SECOND_BASE)), None if sent.value is None else np.frombuffer(sent.value, np.uint8), Counts()
@@ -226,27 +229,34 @@ def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, ove
             if len(counts) > PHRASES_HELD:
                 columns = counts.settled()
                 if len(columns[0]) > PHRASES_HELD // 2:
-                    yield counted_batch(columns)
+                    yield handed_on(columns)
                 else:
                     counts.parts.append(columns)
-        yield counted_batch(counts.settled())
+        yield handed_on(counts.settled())
 
     def add(batches):
-        """Sorted rows: the last phrase of a batch may go on in the next."""
-        counts = Counts()
-        for batch in batches:
-            counts.add(*(batch.column(c).to_numpy() for c in ("first", "second", "n", "chunk", "at")), is_sorted=not counts.parts)
+        counts, now = Counts(), None
+
+        def enough():
             columns = counts.settled()
-            keep = np.flatnonzero(columns[2][:-1] >= least)
-            yield counted_batch(tuple(c[keep] for c in columns))
-            counts.parts.append(tuple(c[-1:] for c in columns))
-        columns = counts.settled()
-        keep = np.flatnonzero(columns[2] >= least)
-        yield counted_batch(tuple(c[keep] for c in columns))
-
-    schema = "first long, second int, n long, chunk long, at int"
-    rows = many_rows(chunks.filter("chunk <> CAST('' AS BINARY)"), count, schema).repartition(partitions(spark), "first").sortWithinPartitions("first", "second")
-    return stored(many_rows(rows, add, schema), "frequent")
+            return pa.RecordBatch.from_arrays([pa.array(c[columns[2] >= least]) for c in columns], schema=COUNTED)
+
+        for batch in batches:
+            for number, data in zip(batch.column("range").to_pylist(), batch.column("phrases"), strict=True):
+                if number != now and now is not None:
+                    yield enough()
+                now, raw = number, data.as_buffer()
+                n, upto = raw.size // sum(f.type.bit_width // 8 for f in COUNTED), 0
+                columns = []
+                for f in COUNTED:
+                    columns.append(np.frombuffer(raw, f.type.to_pandas_dtype(), n, upto))
+                    upto += n * f.type.bit_width // 8
+                counts.parts.append(tuple(columns))
+        yield enough()
+
+    rows = many_rows(chunks.filter("chunk <> CAST('' AS BINARY)"), count, "range int, phrases binary")
+    rows = rows.repartition(partitions(spark), "range").sortWithinPartitions("range")
+    return stored(rows.mapInArrow(add, "first long, second int, n long, chunk long, at int"), "frequent")
 
 
 def table_of(found: DataFrame) -> bytes:
