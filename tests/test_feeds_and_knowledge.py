@@ -3,8 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from watchfloor.operators import knowledge
+from watchfloor.operators import graph, knowledge
 from watchfloor.operators import vulnerabilities as vuln
+from watchfloor.operators.vulnerabilities import CoveringRules
 from watchfloor.sources import feeds
 from watchfloor.sources.knowledge import load_bundle, procedure_examples
 from watchfloor.sources.lookups import KEYWORD_HINTS, SOURCE_HINTS, field_map, keyword_hints, source_hints, weakness_map
@@ -201,3 +202,36 @@ def test_a_repeated_id_takes_one_whole_record(spark):
     epss = spark.createDataFrame([("cve-1", 0.5), ("CVE-1", 0.5)], "cve_id STRING, epss DOUBLE")
     rows = {r.cve_id: (r.cvss_score, r.vendor, r.epss) for r in vuln.merge_feeds({"nvd": nvd, "epss": epss}).collect()}
     assert rows == {"CVE-1": (9.8, "aaa", 0.5), "CVE-2": (None, "b", None)}
+
+
+def test_chains_end_wherever_they_are(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(300)]
+    loop = [("a", "b"), ("b", "c"), ("c", "a"), ("into", "a"), ("self", "self")]
+    edges = spark.createDataFrame([*chain, *loop, ("two", "x"), ("two", "y"), (None, "z"), ("n", None), ("c5", "c6")], "source string, target string")
+    got = {r.source: (r.end, r.steps, r.cyclic) for r in graph.chain_ends(edges).collect()}
+    want = {f"c{i}": ("c300", 300 - i, False) for i in range(300)}
+    want |= {s: (None, None, True) for s in ("a", "b", "c", "into", "self")} | {"two": ("x", 1, False)}
+    assert got == want
+    assert graph.chain_ends(edges.limit(0)).count() == 0
+
+
+def test_paths_meet_no_object_twice(spark):
+    edges = spark.createDataFrame(
+        [("uses", "g1", "s1"), ("uses", "g1", "s1"), ("uses", "g2", "s2"), ("has", "s1", "t1"), ("has", "s1", "g1"), ("has", "s2", "t2"), ("has", None, "t2")],
+        "relationship string, source_ref string, target_ref string",
+    )
+    got = sorted((r.start, r.end, r.path) for r in graph.paths(edges, ["uses", "has"]).collect())
+    assert got == [("g1", "t1", ["g1", "s1", "t1"]), ("g2", "t2", ["g2", "s2", "t2"])]
+    only = graph.paths(edges, ["uses", "has"], spark.createDataFrame([("g2",)], "ref string"))
+    assert [r.end for r in only.collect()] == ["t2"]
+
+
+def test_covering_rules_are_never_multiplied(spark):
+    cves = spark.createDataFrame([("v1", "T1.001"), ("v1", "T2"), ("v2", "T1"), ("v3", "T9"), ("v3", None)], "cve string, technique_id string")
+    bound = spark.createDataFrame([("T1.002", f"r{i}") for i in range(500)] + [("T2", "r1"), ("T2", "x"), (None, "y"), ("T2", None)], "technique_id string, rule string")
+    rules = CoveringRules(cves, bound, "cve", "rule")
+    assert {r.cve: r.n_rules for r in rules.per_cve().collect()} == {"v1": 501, "v2": 500, "v3": 0}
+    assert {(r.cve, r.technique_id): r.n_rules for r in rules.per_technique().collect()} == {("v1", "T1.001"): 500, ("v1", "T2"): 2, ("v2", "T1"): 500, ("v3", "T9"): 0}
+    one = rules.of(cves.filter("cve = 'v2'"))
+    assert one.count() == 500 and {r.technique_id for r in one.collect()} == {"T1"}
+    assert rules.sets().count() == 2

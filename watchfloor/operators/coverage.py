@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from watchfloor.functions.ids import parent_technique
 from watchfloor.functions.labels import badge_color, confidence_color
 
 # How many rule names a layer comment lists unless told otherwise.
@@ -119,6 +120,19 @@ def coverage_entries(pairs: DataFrame, detections: DataFrame, by: str, rule: str
     )
 
 
+def entry_members(bindings: DataFrame, detections: DataFrame, rule: str, data: str) -> DataFrame:
+    """(technique_id, kind, member): the rules that map to each technique (``rule``) and the data that feed them (``data``), each
+    once and in rows of their own, as many as there are bindings at most.
+
+    ``bindings`` is (technique_id, rule), ``detections`` (rule, data, ...). Sub-techniques count for their parents too.
+    """
+    ids = F.array_distinct(F.array("technique_id", parent_technique(F.col("technique_id"))))
+    bound = bindings.filter("technique_id IS NOT NULL").select(F.explode(ids).alias("technique_id"), rule).distinct()
+    rules = bound.select("technique_id", F.lit("rule").alias("kind"), F.col(rule).cast("string").alias("member"))
+    fed = bound.join(detections.select(rule, F.col(data).alias("_data")), rule).filter("_data IS NOT NULL").select("technique_id", "_data").distinct()
+    return rules.unionByName(fed.select("technique_id", F.lit("data").alias("kind"), F.col("_data").cast("string").alias("member")))
+
+
 def is_covered(n_rules: Column) -> Column:
     return F.coalesce(n_rules, F.lit(0)) > 0
 

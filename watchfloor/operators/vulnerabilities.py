@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import FULL_TECHNIQUE, parent_technique
 from watchfloor.functions.labels import residual_risk
+from watchfloor.operators.places import numbered
 
 # Confidence of a direct mapping and of a weakness mapping that states none.
 DIRECT_CONFIDENCE = 0.90
@@ -106,11 +107,43 @@ def with_residual_risk(cves: DataFrame, digits: int | None = 4) -> DataFrame:
     )
 
 
-def covering_rules(cve_techniques: DataFrame, bindings: DataFrame, cve: str, name: str) -> DataFrame:
-    """(CVE, technique_id, rule name): which rules cover which technique of a CVE, in long form."""
-    rules = bindings.select(parent_technique(F.col("technique_id")).alias("parent"), name).distinct()
-    return (
-        cve_techniques.withColumn("parent", parent_technique(F.col("technique_id")))
-        .join(rules, "parent")
-        .select(cve, "technique_id", name)
-    )
+class CoveringRules:
+    """Which rules cover the techniques of which CVEs, factored: CVEs point at parent techniques and parents at rules, and the
+    product of the two is never made. Both tables are as long as what they are made of.
+
+    ``cve_techniques`` is (cve, technique_id), ``bindings`` (technique_id, rule); a rule covers a technique if it is bound to
+    one with the same parent. Null techniques cover nothing. ``techniques`` lists the parents of a CVE's techniques, ``rules``
+    the rules of a parent; joined on ``parent`` for one CVE they are its covering rules.
+    """
+
+    def __init__(self, cve_techniques: DataFrame, bindings: DataFrame, cve: str, rule: str):
+        self.cve, self.rule = cve, rule
+        parent = parent_technique(F.col("technique_id")).alias("parent")
+        self.techniques = cve_techniques.select(cve, "technique_id", parent).filter("parent IS NOT NULL").distinct()
+        self.rules = bindings.select(parent, rule).filter(f"parent IS NOT NULL AND `{rule}` IS NOT NULL").distinct()
+
+    def of(self, cves: DataFrame) -> DataFrame:
+        """(cve, technique_id, rule) of the given CVEs (a table with their ids), which are few."""
+        wanted = self.techniques.join(cves.select(self.cve).distinct(), self.cve, "left_semi")
+        return wanted.join(self.rules, "parent").select(self.cve, "technique_id", self.rule)
+
+    def sets(self) -> DataFrame:
+        """(parent, bucket, rules): each parent's rules as bitmaps over dense rule numbers."""
+        numbers = numbered(self.rules.select(self.rule).distinct(), [self.rule])
+        bit = (F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+        bits = self.rules.join(numbers, self.rule).select("parent", *bit)
+        return bits.groupBy("parent", "bucket").agg(F.bitmap_construct_agg("bit").alias("rules"))
+
+    def per_technique(self) -> DataFrame:
+        """(cve, technique_id, n_rules)"""
+        sizes = self.rules.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+        joined = self.techniques.join(sizes, "parent", "left")
+        return joined.select(self.cve, "technique_id", F.coalesce("n", F.lit(0)).alias("n_rules"))
+
+    def per_cve(self) -> DataFrame:
+        """(cve, n_rules): distinct rules that cover any technique of the CVE, counted by uniting its parents' bitmaps."""
+        parents = self.techniques.select(self.cve, "parent").distinct()
+        joined = parents.join(self.sets(), "parent").groupBy(self.cve, "bucket").agg(F.bitmap_or_agg("rules").alias("rules"))
+        counts = joined.groupBy(self.cve).agg(F.sum(F.bitmap_count("rules")).alias("n"))
+        every = self.techniques.select(self.cve).distinct()
+        return every.join(counts, self.cve, "left").select(self.cve, F.coalesce("n", F.lit(0)).alias("n_rules"))
