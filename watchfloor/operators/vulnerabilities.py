@@ -130,7 +130,8 @@ class CoveringRules:
     def sets(self) -> DataFrame:
         """(parent, bucket, rules): each parent's rules as bitmaps over dense rule numbers."""
         numbers = numbered(self.rules.select(self.rule).distinct(), [self.rule])
-        bit = (F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("bit"))
+        number = F.col("number") + 1  # the first bucket that is full begins at 1
+        bit = (F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
         bits = self.rules.join(numbers, self.rule).select("parent", *bit)
         return bits.groupBy("parent", "bucket").agg(F.bitmap_construct_agg("bit").alias("rules"))
 
