@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchfloor.functions.text import strip
+from watchfloor.sources.json_records import documents
 
 # Spellings of the mapping file's columns, and the order CVSS versions are preferred in.
 CVE_COLUMNS = ("cve", "cve_id", "cve id")
@@ -20,22 +21,18 @@ _METRIC = (
     "cvssData STRUCT<baseScore DOUBLE, vectorString STRING, version STRING, baseSeverity STRING>>>"
 )
 NVD = f"""
-    vulnerabilities ARRAY<STRUCT<cve STRUCT<
+    cve STRUCT<
         id STRING, published STRING, lastModified STRING,
         descriptions ARRAY<STRUCT<lang STRING, value STRING>>,
         metrics STRUCT<{', '.join(f'{m} {_METRIC}' for m in METRICS)}>,
         weaknesses ARRAY<STRUCT<description ARRAY<STRUCT<lang STRING, value STRING>>>>,
-        configurations ARRAY<STRUCT<nodes ARRAY<STRUCT<cpeMatch ARRAY<STRUCT<criteria STRING>>>>>>>>>
+        configurations ARRAY<STRUCT<nodes ARRAY<STRUCT<cpeMatch ARRAY<STRUCT<criteria STRING>>>>>>>
 """
 KEV = """
-    vulnerabilities ARRAY<STRUCT<cveID STRING, vendorProject STRING, product STRING, vulnerabilityName STRING,
-        dateAdded STRING, dueDate STRING, shortDescription STRING, requiredAction STRING, notes STRING>>
+    cveID STRING, vendorProject STRING, product STRING, vulnerabilityName STRING,
+    dateAdded STRING, dueDate STRING, shortDescription STRING, requiredAction STRING, notes STRING
 """
-EPSS = "data ARRAY<STRUCT<cve STRING, epss STRING, percentile STRING, date STRING>>"
-
-
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+EPSS = "cve STRING, epss STRING, percentile STRING, date STRING"
 
 
 def _first_where(items: Column, condition) -> Column:
@@ -44,7 +41,7 @@ def _first_where(items: Column, condition) -> Column:
 
 
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_nvd(_documents(spark, path, NVD).select(F.explode("vulnerabilities.cve").alias("c")))
+    return flatten_nvd(documents(spark, path, "vulnerabilities", NVD).select(F.col("e.cve").alias("c")))
 
 
 def flatten_nvd(records: DataFrame) -> DataFrame:
@@ -80,8 +77,8 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
         "required_action": "requiredAction", "notes": "notes",
     }
     return (
-        _documents(spark, path, KEV)
-        .select(F.explode("vulnerabilities").alias("v"))
+        documents(spark, path, "vulnerabilities", KEV)
+        .withColumnRenamed("e", "v")
         .filter(F.coalesce("v.cveID", F.lit("")) != "")
         .select(*[F.coalesce(entry[old], F.lit("")).alias(new) for new, old in renamed.items()])
     )
@@ -148,8 +145,8 @@ def read_mapping_json(spark: SparkSession, path: str) -> DataFrame:
 def read_epss(spark: SparkSession, path: str) -> DataFrame:
     zero = F.lit(0.0)
     return (
-        _documents(spark, path, EPSS)
-        .select(F.inline("data"))
+        documents(spark, path, "data", EPSS)
+        .select("e.*")
         .filter(F.coalesce("cve", F.lit("")) != "")
         .select(
             F.upper("cve").alias("cve_id"),

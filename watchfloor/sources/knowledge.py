@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.labels import slug
 from watchfloor.session import cut_lineage
+from watchfloor.sources.json_records import documents
 
 # Names used inside the bundle.
 CATALOG = "mitre-attack"
 # Published bundles write the flags with underscores, older exports with hyphens; both are read.
 BUNDLE = """
-    objects ARRAY<STRUCT<
         type STRING, id STRING, name STRING, description STRING, revoked BOOLEAN,
         `x-mitre-deprecated` BOOLEAN, x_mitre_deprecated BOOLEAN,
         `x-mitre-is-subtechnique` BOOLEAN, x_mitre_is_subtechnique BOOLEAN, x_mitre_shortname STRING,
         kill_chain_phases ARRAY<STRUCT<kill_chain_name STRING, phase_name STRING>>,
         external_references ARRAY<STRUCT<source_name STRING, external_id STRING>>,
-        relationship_type STRING, source_ref STRING, target_ref STRING>>
+        relationship_type STRING, source_ref STRING, target_ref STRING
 """
 
 
@@ -49,8 +49,8 @@ def _flag(hyphen: str, underscore: str) -> Column:
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Every object of the bundle(s), with the catalogue's own id. A bundle document is one JSON value per file."""
-    objects = spark.read.schema(BUNDLE).option("multiLine", True).json(path).select(F.inline("objects"))
+    """Every object of the bundle(s), with the catalogue's own id. A bundle is one JSON document, read by many tasks."""
+    objects = documents(spark, path, "objects", BUNDLE).select("e.*")
     own = F.filter("external_references", lambda r: r["source_name"] == CATALOG)
     return objects.withColumn("external_id", F.get(own, 0)["external_id"])
 
