@@ -8,8 +8,9 @@ hold the whole family and emit the parent. The roots of the trees, in order of t
 Places in a tree come from ranges of the whole order, so a tree may hold all rows. Levels shrink by ``fanout``; all joins
 together move about 1.5 times the leaves. Proofs go back down the same families: a parent hands its path to its children,
 each of which puts its siblings in front. A family of leaves carries the rows' own columns, so the longest paths are never
-joined or shuffled. Joins are merges at every level: a level of the tree is never built as a table in the driver. Digests are
-kept as 32 bytes and hashed as hexadecimal text.
+joined or shuffled. Levels are written
+as tables and read again, because a checkpoint keeps the size that the planner guessed for a chain of joins, a number that doubles
+its digits with each level. Digests are kept as 32 bytes and hashed as hexadecimal text.
 
 Defined results: the digest of a null is that of ``-``, of any other value its length in bytes, ``:`` and its text, so an
 empty text and a null differ. A null tree is a tree of its own, first in order. Null ids come first; ties are ordered by
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchfloor.llm.common import checkpointed, numbered
+from watchfloor.llm.common import checkpointed, numbered, stored
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 ONE = "all"  # the tree of the trees' roots
@@ -60,7 +61,7 @@ def leaves(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "d
         leaf([now[c] for c in columns]).alias("seen"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return checkpointed(numbered(checkpointed(rows), "tree", "doc_id", "h", "row").drop("row"))
+    return stored(numbered(checkpointed(rows), "tree", "doc_id", "h", "row").drop("row"), "merkle-leaves")
 
 
 def families(nodes: DataFrame, fanout: int, carried: tuple[str, ...]) -> DataFrame:
@@ -69,7 +70,7 @@ def families(nodes: DataFrame, fanout: int, carried: tuple[str, ...]) -> DataFra
     first = F.col("idx").bitwiseXOR(F.lit(1).cast("long")) if fanout == 2 else F.col("idx") - slot
     joined = nodes.filter(slot == 0).select("tree", "idx", "n", one.alias("child0"))
     for k in range(1, fanout):
-        joined = joined.join(nodes.filter(slot == k).select("tree", first.alias("idx"), one.alias(f"child{k}")).hint("merge"), ["tree", "idx"], "left")
+        joined = joined.join(nodes.filter(slot == k).select("tree", first.alias("idx"), one.alias(f"child{k}")), ["tree", "idx"], "left")
     children = F.filter(F.array(*[F.col(f"child{k}") for k in range(fanout)]), lambda c: c.isNotNull())
     return joined.select(
         "tree",
@@ -91,7 +92,7 @@ class Forest:
             tops.append(level.filter("n = 1").select("tree", "h", F.lit(len(tops)).alias("height"), *(carried if not self.levels else ())))
             if most <= 1:
                 break
-            parents = checkpointed(families(level.filter("n > 1"), fanout, () if self.levels else carried))
+            parents = stored(families(level.filter("n > 1"), fanout, () if self.levels else carried), "merkle-level")
             self.levels.append(parents)
             level, most = parents.select("tree", "idx", "n", "h"), -(-most // fanout)
         self.lone = tops[0]
@@ -111,7 +112,7 @@ class Forest:
         for k in reversed(range(len(self.levels))):
             here = tops.filter(F.col("height") == k + 1).select("tree", F.lit(0).cast("long").alias("idx"), "path", *kept)
             known = here if known is None else known.select(here.columns).union(here)
-            rows = self.levels[k].select("tree", "idx", "children").join(known.hint("merge"), ["tree", "idx"])
+            rows = self.levels[k].select("tree", "idx", "children").join(known, ["tree", "idx"])
             rows = rows.select("tree", "idx", "children", "path", *kept, F.posexplode("children").alias("slot", "child"))
             hashes = F.transform("children", lambda c: c["h"])
             slot = F.col("slot")
@@ -121,20 +122,20 @@ class Forest:
             carried = [F.col(f"child.{c}").alias(c) for c in self.carried] if not k else []
             known = rows.select("tree", (F.col("idx") * self.fanout + slot).alias("idx"), F.col("child.h").alias("h"), *carried, F.concat(F.array(step), "path").alias("path"), *kept)
             if k:  # one level of joins, and of what they broadcast, at a time
-                known = checkpointed(known)
-        lone = self.lone.join(tops.filter("height = 0").select("tree", "path", *kept).hint("merge"), "tree").withColumn("idx", F.lit(0).cast("long"))
+                known = stored(known, "merkle-paths")
+        lone = self.lone.join(tops.filter("height = 0").select("tree", "path", *kept), "tree").withColumn("idx", F.lit(0).cast("long"))
         return lone if known is None else known.unionByName(lone.drop("height"))
 
 
 def proved(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", tree_col: str = "source", fanout: int = 3, seen: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, h, seen, subroot, root, path for each row of ``docs``; digests as bytes."""
     trees = Forest(leaves(docs, columns, id_col, tree_col, seen), fanout, ("doc_id", "seen"))
-    tops = checkpointed(numbered(checkpointed(trees.tops.withColumn("all", F.lit(ONE))), "all", "tree"))
+    tops = stored(numbered(checkpointed(trees.tops.withColumn("all", F.lit(ONE))), "all", "tree"), "merkle-roots")
     roots = tops.select(F.col("all").alias("tree"), "idx", "n", "h", F.col("tree").alias("of"), F.col("height").alias("levels"))
     above = Forest(roots, fanout, ("of", "levels"))
     no_path = F.expr("CAST(array() AS array<struct<left: binary, right: binary>>)")
     to_root = above.paths(above.tops.select("tree", "height", no_path.alias("path"), F.col("h").alias("root")))
-    to_root = checkpointed(to_root.select(F.col("of").alias("tree"), F.col("levels").alias("height"), "path", F.col("h").alias("subroot"), "root"))
+    to_root = stored(to_root.select(F.col("of").alias("tree"), F.col("levels").alias("height"), "path", F.col("h").alias("subroot"), "root"), "merkle-roots")
     return trees.paths(to_root).select("doc_id", "h", "seen", "subroot", "root", "path")
 
 
