@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchfloor.session import cut_lineage
+from watchfloor.session import rewritten
 
 
 def chain_ends(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -22,13 +22,13 @@ def chain_ends(edges: DataFrame, source: str = "source", target: str = "target")
     rows = edges.filter(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("source")).agg(
         F.min(F.col(target).cast(kind)).alias("at")
     )
-    rows = cut_lineage(rows.withColumn("steps", F.lit(1).cast("bigint")))
+    rows = rewritten(rows.withColumn("steps", F.lit(1).cast("bigint")), "chains")
     most = max(1, rows.count())
     done = None
     for _ in range(most.bit_length() + 1):
         ahead = rows if done is None else rows.unionByName(done)
         ahead = ahead.select(F.col("source").alias("_at"), F.col("at").alias("_next"), F.col("steps").alias("_more"))
-        joined = cut_lineage(rows.join(ahead, F.col("at") == F.col("_at"), "left"))
+        joined = rewritten(rows.join(ahead, F.col("at") == F.col("_at"), "left"), "chains")
         ended = joined.filter("_at IS NULL").select("source", "at", "steps")
         done = ended if done is None else done.unionByName(ended)
         rows = joined.filter("_at IS NOT NULL").select("source", F.col("_next").alias("at"), (F.col("steps") + F.col("_more")).alias("steps"))

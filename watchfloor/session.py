@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read again. Unlike after a checkpoint, the planner then knows their
+    size: its guesses for chains of joins multiply, and a loop that checkpoints carries them on."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; stops counting one row past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows
