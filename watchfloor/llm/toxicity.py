@@ -1,7 +1,7 @@
 """Toxicity by compression distance: what do two zstandard dictionaries make of each window of a text?
 
 Both dictionaries begin with the same windows of ordinary text. The toxic one goes on with text of the toxic sample: of its
-windows, the stretches of bytes whose runs of 4, 6 and 9 bytes are far more frequent in toxic documents than in ordinary
+windows, the stretches of bytes whose runs of 4 and of 8 bytes are far more frequent in toxic documents than in ordinary
 ones, wherever they begin or end, within words or across them. The rest of those windows is left out, because zstandard
 finds chance matches in it. A window that the toxic dictionary makes shorter by some bytes holds such a stretch. A
 document's windows (eight lower-case words each) give a profile: the largest gains, the mean gain and the share of windows
@@ -31,7 +31,7 @@ LONGEST_WORD = 64  # longer words are cut into pieces of this many characters
 LEVEL = 3
 SHORTEST = 4  # bytes of a match; zstandard's own choice for this level, 5, misses short words
 BASE_WINDOWS = 400
-RUNS = (4, 6, 9)  # bytes: short words with a space, words and their parts, passages of several words
+RUNS = (4, 8)  # bytes: short words with a space, and words and passages of several
 STANDS_OUT = 7.0  # standard deviations above what ordinary documents lead one to expect
 MOST_STRETCHES = 1000
 HELD = 200_000  # runs that a task counts before it hands them on
