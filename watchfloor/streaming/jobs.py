@@ -1,7 +1,7 @@
 """The continuous jobs.
 
 The file source reads each file once and does not follow one that grows: it takes closed (rotated) segments moved
-into its folder, and its checkpoint replaces offsets and inode tracking. Pass ``available_now=True`` to drain what is
+into its folder. ``tailed_audit_events`` follows files that grow and are rotated. Pass ``available_now=True`` to drain what is
 there and stop.
 """
 
@@ -18,6 +18,7 @@ from watchfloor.operators.predicates import Fields
 from watchfloor.operators.telemetry import parse_audit_lines
 from watchfloor.plans.match import Backend, match_corpus
 from watchfloor.session import configured_folder
+from watchfloor.sources.tail import tail
 from watchfloor.sources.telemetry import events_from_json, with_event_date
 
 FILES_PER_BATCH = 1_000
@@ -32,6 +33,11 @@ def audit_events(spark: SparkSession, folder: str, host: str = "", vm: str = "")
     return parse_audit_lines(segments(spark, folder), host, vm)
 
 
+def tailed_audit_events(spark: SparkSession, folder: str, pattern: str = "*", host: str = "", vm: str = "") -> DataFrame:
+    """Audit files that still grow -> telemetry rows, every line once."""
+    return parse_audit_lines(tail(spark, folder, pattern).select("value"), host, vm)
+
+
 def shipped_events(spark: SparkSession, folder: str) -> DataFrame:
     """JSON-lines segments -> telemetry rows."""
     return with_event_date(events_from_json(segments(spark, folder)))
