@@ -170,6 +170,13 @@ def test_kql_features(one):
     assert {"EventID", "Account", "TimeGenerated"} <= set(one(text.kql_fields(F.col("q")), q=kql))
 
 
+def test_comparisons_end_where_words_do(one):
+    kql = "SigninLogs\n| where Ip in~ ('a') and Port >= 5 and User !has 'x' or Inbox has_any (y)\n| where Containsx between (1 .. 2)"
+    assert one(text.kql_fields(F.col("q")), q=kql) == ["Containsx", "Inbox", "Ip", "Port", "User"]
+    eql = "process where process.pid > 4 and not user.name in (\"a\") and file.path like~ \"b\" and host.inside.x: \"c\" and net.a not in (1)"
+    assert one(text.eql_fields(F.col("q")), q=eql) == ["file.path", "host.inside.x", "net.a", "process.pid", "user.name"]
+
+
 def test_eql_features(one):
     eql = "sequence by host.id\n  process where process.name : \"a\" and user.id != 1"
     assert one(text.eql_fields(F.col("q")), q=eql) == ["process.name", "user.id"]

@@ -157,7 +157,7 @@ def spl_features(v):
     "kql_features",
     """SELECT detection_id, CASE maturity % 3 WHEN 0 THEN 'SecurityEvent' WHEN 1 THEN 'SigninLogs' ELSE 'OwnTable' END
               AS tables, CASE maturity % 3 WHEN 0 THEN 'windows' WHEN 1 THEN 'cloud' ELSE '' END AS platforms,
-              CASE maturity % 3 WHEN 1 THEN 'EventID,Host,Score,Sign,User' ELSE 'EventID,Host,Score,User' END AS fields
+              'EventID,Host,Score,User' AS fields
        FROM detection""",
 )
 def kql_features(v):
