@@ -200,3 +200,15 @@ def test_changed_rules_meet_the_telemetry_there_is(spark):
     assert {(r.rule_id, r.status) for r in first.collect()} == {("r0", "pass"), ("r1", "fail")}
     again, seen = jobs.revalidate_changed(rules("T1190", "T1190", "T2"), seen, Backend(events))
     assert {(r.rule_id, r.status) for r in again.collect()} == {("r1", "pass"), ("r2", "fail")}
+
+
+def test_sketches_of_days_unite(spark):
+    events = spark.range(60_000).selectExpr("date_add(DATE'2024-01-01', CAST(id % 4 AS INT)) AS event_date", "id % 7000 AS user", "IF(id % 2 = 0, NULL, 'x') AS half")
+    daily = telemetry.store_sketches(events, "user", "half")
+    assert daily.count() == 4
+    all_days = telemetry.distinct_values(daily, "user", "half").first()
+    assert abs(all_days.user - 7000) < 0.03 * 7000 and all_days.half == 1 and all_days.n == 60_000
+    two = telemetry.distinct_values(daily, "user", first_day="2024-01-02", last_day="2024-01-03").first()
+    exact = events.filter("event_date BETWEEN DATE'2024-01-02' AND DATE'2024-01-03'").select("user").distinct().count()
+    assert abs(two.user - exact) < 0.03 * exact and two.n == 30_000
+    assert telemetry.distinct_values(daily, "user", by=["event_date"]).count() == 4

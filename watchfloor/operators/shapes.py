@@ -57,6 +57,28 @@ def beacon(events: DataFrame, by: Sequence[Column], value: str) -> DataFrame:
     return pairs.groupBy(*names).agg(F.sum("n").alias("n"), F.count("_v").alias("distinct_values"))
 
 
+def members(events: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value): the set of values per key in rows of their own, which no task ever has to hold as a whole. Nulls are no
+    members."""
+    return events.filter(F.col(value).isNotNull()).select(*by, value).distinct()
+
+
+def beacon_scores(events: DataFrame, by: Sequence[Column], value: str, amount: Column) -> DataFrame:
+    """Count, distinct values, mean amount and score per key and bucket: regular traffic with few values and small amounts
+    scores high. The score is null where the mean is zero or missing, or no value is known."""
+    names = [f"_k{i}" for i in range(len(by))]
+    pairs = events.groupBy(*[c.alias(n) for c, n in zip(by, names)], F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(amount).alias("_sum"), F.count(amount).alias("_known")
+    )
+    sums = pairs.groupBy(*names).agg(
+        F.sum("n").alias("n"), F.count("_v").alias("distinct_values"), F.sum("_sum").alias("_sum"), F.sum("_known").alias("_known")
+    )
+    mean = F.try_divide(F.col("_sum").cast("double"), F.col("_known").cast("double"))
+    per_value = F.try_divide(F.col("n").cast("double"), F.col("distinct_values").cast("double"))
+    scored = sums.withColumn("mean_amount", mean).withColumn("score", per_value * F.try_divide(F.lit(1.0), F.col("mean_amount")))
+    return scored.drop("_sum", "_known")
+
+
 def volume(events: DataFrame, by: Sequence[str], amount: Column) -> DataFrame:
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total"))
 

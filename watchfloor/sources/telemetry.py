@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from watchfloor.functions.audit import event_time
 from watchfloor.operators.matching import since
 from watchfloor.schemas import EVENT_FIELDS
 
+SKETCH_BITS = 14  # 2**14 registers a sketch, 8 KB
 TIME_KEYS = ("timestamp", "@timestamp")
 NUMBER_FIELDS = {"serial": "bigint", "returncode": "int"}
 
@@ -70,3 +73,22 @@ def read_store(spark: SparkSession, path: str, first_day: str | None = None, las
 def store_counts(events: DataFrame) -> DataFrame:
     """Documents per day, the statistics of the store."""
     return events.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_sketches(events: DataFrame, *columns: str) -> DataFrame:
+    """A row per day: events, and of each column a sketch of its distinct values, to be kept beside the store. Sketches of any
+    days unite (``distinct_values``), where exact counts do not add up."""
+    return events.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("n"), *[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS)).alias(c) for c in columns]
+    )
+
+
+def distinct_values(sketches: DataFrame, *columns: str, by: Sequence[str] = (), first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Estimated distinct values of each column over a range of days, per ``by``; about 1 % off (two standard errors: 1.6 %)."""
+    rows = sketches
+    if first_day:
+        rows = rows.filter(F.col("event_date") >= F.to_date(F.lit(first_day)))
+    if last_day:
+        rows = rows.filter(F.col("event_date") <= F.to_date(F.lit(last_day)))
+    united = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns]
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), *united)

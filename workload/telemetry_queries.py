@@ -11,7 +11,7 @@ from watchfloor.operators.matching import since
 from watchfloor.operators.predicates import Fields, predicate
 from watchfloor.operators.telemetry import daily_counts, merge_json, recent_events, snapshot_diff
 from watchfloor.session import lookup, shared_folder, tune
-from watchfloor.sources.telemetry import read_store, store_counts, write_store
+from watchfloor.sources.telemetry import distinct_values, read_store, store_counts, store_sketches, write_store
 from workload.registry import query
 from workload.views import KEY_TECHNIQUES
 
@@ -175,6 +175,40 @@ def beacon_rule(v):
     return out.filter((F.col("n") >= 5) & (F.col("distinct_props") < F.col("n")))
 
 
+@query(
+    "spray_members",
+    """SELECT DISTINCT host, props FROM telemetry WHERE "key" = 'error' AND props IS NOT NULL""",
+)
+def spray_members(v):
+    return shapes.members(v.telemetry.filter(F.col("key") == "error"), ["host"], "props")
+
+
+@query(
+    "beacon_scores",
+    """SELECT uid, day, n, distinct_values, mean_amount, (CAST(n AS DOUBLE) / CAST(distinct_values AS DOUBLE)) * (1.0 / mean_amount) AS score
+       FROM (SELECT uid, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT props) AS distinct_values,
+                    CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_amount
+             FROM telemetry GROUP BY 1, 2) s WHERE n >= 3 ORDER BY score DESC""",
+)
+def beacon_scores(v):
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    out = shapes.beacon_scores(v.telemetry, [F.col("uid"), F.to_date("ts")], "props", cents)
+    return out.withColumnsRenamed({"_k0": "uid", "_k1": "day"}).filter("n >= 3").orderBy(F.desc("score"))
+
+
+@query(
+    "sketched_users",
+    """SELECT count(*) AS n, true AS close, count(DISTINCT CAST(ts AS DATE)) AS days FROM telemetry""",
+)
+def sketched_users(v):
+    """Distinct users over all days from daily sketches, held against the exact count."""
+    daily = store_sketches(v.telemetry.withColumn("event_date", F.to_date("ts")), "uid")
+    exact = v.telemetry.select("uid").distinct().agg(F.count(F.lit(1)))
+    days = daily.agg(F.count(F.lit(1)))
+    total = distinct_values(daily, "uid")
+    return total.select("n", (F.abs(F.col("uid") - exact.scalar()) <= 0.03 * exact.scalar()).alias("close"), days.scalar().alias("days"))
+
+
 @query(
     "volume_rule",
     """SELECT host, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total_cents
