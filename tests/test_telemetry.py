@@ -212,3 +212,18 @@ def test_sketches_of_days_unite(spark):
     exact = events.filter("event_date BETWEEN DATE'2024-01-02' AND DATE'2024-01-03'").select("user").distinct().count()
     assert abs(two.user - exact) < 0.03 * exact and two.n == 30_000
     assert telemetry.distinct_values(daily, "user", by=["event_date"]).count() == 4
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    rows = [(f"line {k:05d}",) for k in range(3000)]
+    spark.createDataFrame(rows, "value string").coalesce(1).write.text(str(tmp_path / "text"))
+    spark.createDataFrame(rows, "value string").coalesce(1).write.parquet(str(tmp_path / "parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for table in (spark.read.text(str(tmp_path / "text")), spark.read.parquet(str(tmp_path / "parquet"))):
+            placed = telemetry.with_position(table)
+            got = [r.value for r in placed.repartition(7).orderBy("position").collect()]
+            assert got == [r[0] for r in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -344,6 +344,14 @@ def latest_samples(
     return hits.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
 
 
+def first_samples(
+    hits: DataFrame, by: Sequence[str] = ("rule_id",), position: str = "position", k: int = SAMPLES_PER_RULE
+) -> DataFrame:
+    """The ``k`` first events per rule in file order (see ``sources.telemetry.with_position``)."""
+    window = W.partitionBy(*by).orderBy(position)
+    return hits.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
+
+
 def query_description(
     techniques: Column, n_keywords: Column, start: str | None = None, n_events: Column | None = None,
     prefix: str = "",

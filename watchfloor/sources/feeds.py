@@ -103,7 +103,7 @@ def read_mapping_csv(spark: SparkSession, path: str) -> DataFrame:
     techniques = F.filter(F.transform(ids, strip), lambda t: F.startswith(F.upper(t), F.lit("T")))
     rows = (
         table.select(F.upper(F.trim(F.col(f"`{cve}`"))).alias("cve_id"), F.posexplode(techniques).alias("i", "technique"),
-                     F.monotonically_increasing_id().alias("row"))
+                     F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("row"))
         .filter(F.startswith("cve_id", F.lit("CVE-")))
         .select("cve_id", F.struct("row", "i").alias("pos"), "technique")
     )

@@ -70,6 +70,18 @@ def read_store(spark: SparkSession, path: str, first_day: str | None = None, las
     return events
 
 
+def with_position(rows: DataFrame, name: str = "position") -> DataFrame:
+    """Rows as read from files (before any other step), with where each stands: file, block and row. Sorting by it gives the
+    order of the files whatever tasks read them, and however rows are dealt later."""
+    hidden = F.col("_metadata")
+    in_file = hidden["row_index"] if _has_row_index(rows) else F.monotonically_increasing_id()  # counts up inside a block
+    return rows.select("*", F.struct(hidden["file_path"].alias("file"), hidden["file_block_start"].alias("block"), in_file.alias("row")).alias(name))
+
+
+def _has_row_index(rows: DataFrame) -> bool:
+    return "row_index" in rows.select("_metadata").schema["_metadata"].dataType.names
+
+
 def store_counts(events: DataFrame) -> DataFrame:
     """Documents per day, the statistics of the store."""
     return events.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))

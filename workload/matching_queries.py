@@ -10,6 +10,7 @@ from watchfloor.operators.layers import free_text_hits
 from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, validate_corpus
 from watchfloor.session import inline_table, tune
+from watchfloor.sources.telemetry import with_position
 from watchfloor.streaming.jobs import revalidate_changed
 from workload.registry import query
 
@@ -77,6 +78,20 @@ def sample_events_topk(v):
     return matching.latest_samples(hits, time="ts").select("rule_id", "rn", "event_id")
 
 
+@query(
+    "sample_events_in_file_order",
+    """SELECT rule_id, rn, event_id FROM (
+         SELECT rule_id, event_id, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY event_id) AS INTEGER) AS rn
+         FROM technique_hit) s WHERE rn <= 3""",
+)
+def sample_events_in_file_order(v):
+    """The table stands in the order of its ids; the samples follow the file, not the ids, and rows are dealt anew first."""
+    placed = with_position(v.table("events")).select("event_id", "position")
+    events = v.telemetry.join(placed, "event_id").repartition(16, F.xxhash64("event_id"))
+    hits = matching.technique_hits(events, v.rule_technique, keep=("event_id", "position"))
+    return matching.first_samples(hits).select("rule_id", "rn", "event_id")
+
+
 @query(
     "multi_backend_union",
     """SELECT 'indexed' AS siem, rule_id, count(*) AS hits FROM technique_hit GROUP BY rule_id
