@@ -331,3 +331,12 @@ def test_a_failing_backend_answers_with_errors(spark):
     backends = {"gone": lambda: Backend(spark.read.parquet("/nowhere/at/all")), "here": Backend(events)}
     got = {r.siem: (r.status, r.hits, r.error) for r in validate_corpus(rules, backends).collect()}
     assert got["here"][:2] == ("pass", 1) and got["gone"][:2] == ("error", 0) and "PATH_NOT_FOUND" in got["gone"][2]
+
+
+def test_a_backend_that_fails_while_it_runs_spoils_no_other(spark):
+    good = events_of(spark, {"technique": "T1059", "message": "run me"})
+    broken = good.withColumn("technique", F.when(F.col("event_id") < 0, "T1").otherwise(F.raise_error(F.lit("unreadable block")).cast("string")))
+    rules = rules_of(spark, ("r1", ["T1059"], ["run"]))
+    out = {r.siem: r for r in validate_corpus(rules, {"broken": Backend(broken), "good": Backend(good)}).collect()}
+    assert out["good"].status == "pass" and out["good"].hits == 1
+    assert out["broken"].status == "error" and out["broken"].hits == 0 and out["broken"].error

@@ -12,7 +12,7 @@ from watchfloor.functions.text import keyword_tokens, leading_tokens
 from watchfloor.operators import matching
 from watchfloor.operators.layers import Broad, Conditions, free_text_hits
 from watchfloor.operators.predicates import Fields
-from watchfloor.session import ready
+from watchfloor.session import ready, rewritten
 
 # What a result says when there is nothing to look for, per kind of backend.
 NOTHING = {
@@ -140,13 +140,14 @@ def validate_corpus(
 ) -> DataFrame:
     """Results of every backend, stacked: one row per rule and backend.
 
-    A backend may be given as a function that opens it. Where opening or compiling fails (a missing path or column), its
-    rules get status ``error`` with the reason, and the other backends answer as usual.
+    A backend may be given as a function that opens it. Each is evaluated and its results written by itself, so where opening,
+    compiling or running fails (a missing path or column, a file that cannot be read), its rules get status ``error`` with the
+    reason, and the other backends answer as usual.
     """
     out = None
     for name, backend in backends.items():
         try:
-            part = match_corpus(rules, backend() if callable(backend) else backend, name, start)
+            part = rewritten(match_corpus(rules, backend() if callable(backend) else backend, name, start), "backend-results")
         except Exception as problem:  # noqa: BLE001 - any failure of one backend is its own result
             part = failed_backend(rules, name, f"{type(problem).__name__}: {str(problem).splitlines()[0] if str(problem) else ''}")
         out = part if out is None else out.unionByName(part)
