@@ -34,7 +34,7 @@ from watchfloor.llm.common import Memory, in_bulk, map_batches
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BULK_BYTES = 8 << 20  # of texts whose words are sorted together
+BULK_BYTES = 4 << 20  # of texts whose words are sorted together
 WORDS_KEPT = 200_000  # words of a generation; two are kept
 PAIRS_KEPT = 500_000
 # Fixed values of the public model format: kinds of model and of piece.
