@@ -91,6 +91,15 @@ def test_phrases_equal_counting_all(spark, rows, width, least, most):
     assert got == brute_phrases(rows, width, least, most=most or 10**9)
 
 
+def test_words_that_are_names_of_languages_stay_in_their_own(spark):
+    texts = {"en": "en de es de de und", "de": "en en es und es de", "es": "es en und de es es", None: "und en de es und"}
+    rows = [(k, "a", lang, 1, text) for k, (lang, text) in enumerate([*texts.items()] * 7)]
+    got = sorted(tuple(r) for r in collocations.phrases(frame(spark, rows), least=7).collect())
+    assert got == brute_phrases(rows, least=7)
+    counted = collocations.frequent_phrases(frame(spark, rows), least=1).filter("words = 1")
+    assert {(r.lang, r.phrase): r.f for r in counted.collect()} == Counter((lang or "und", w) for _, _, lang, _, text in rows for w in text.split())
+
+
 def test_phrases_where_parts_hand_on_early(spark, rows, monkeypatch):
     for name, value in {"CHUNKS_HELD": 5, "PHRASES_HELD": 10, "BUFFER_BYTES": 100, "TABLE_BITS": 10, "SLICE_BITS": 6, "CHUNK_WORDS": 3}.items():
         monkeypatch.setattr(collocations, name, value)

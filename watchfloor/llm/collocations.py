@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,7 +55,8 @@ def words_of(data: bytes, *powers: Powers) -> tuple[np.ndarray, ...]:
     inside[1:-1] = (codes != 32) & (codes != 10)
     edges = np.flatnonzero(np.diff(inside))
     start, end = edges[::2], edges[1::2]
-    line = np.searchsorted(np.flatnonzero(codes == 10), start)
+    before = np.searchsorted(start, np.flatnonzero(codes == 10))
+    line = np.repeat(np.arange(len(before) + 1), np.diff(np.concatenate([[0], before, [len(start)]])))
     return start, end, line, *[p.between(p.sums(codes), start, end) for p in powers]
 
 
@@ -74,7 +77,7 @@ class Counts:
     def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, chunk: np.ndarray, at: np.ndarray) -> None:
         if not len(first):
             return
-        order = np.argsort(first, kind="stable")
+        order = np.argsort(first)
         first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
         if np.any((first[1:] == first[:-1]) & (second[1:] != second[:-1])):
             order = np.lexsort((second, first))
@@ -160,21 +163,25 @@ class Grams:
     """The words of a batch of chunks, and for each length the phrases that begin at a word in the chunk's own part."""
 
     def __init__(self, batch, overlap: int, powers: tuple[Powers, Powers]):
-        langs, chunks = batch.column("lang").to_pylist(), batch.column("chunk").to_pylist()
-        start, end, line, *hashes = words_of(b"\n".join(chunks), *powers)
-        self.hashes = []
-        for p, words in zip(powers, hashes, strict=True):
-            salt = {lang: hash_of(lang, p) for lang in set(langs)}
-            self.hashes.append([finish(words ^ np.array([salt[x] for x in langs], np.uint64)[line])])
-        self.n, size = batch.column("n").to_numpy()[line], np.bincount(line, minlength=len(chunks))
-        own = size - overlap * np.array([c.endswith(b" ") for c in chunks], np.int64)
-        place = np.arange(len(start)) - (np.cumsum(size) - size)[line]
+        nothing, feed = (pa.scalar(b, pa.large_binary()) for b in (b"", b"\n"))
+        lines = pc.binary_join_element_wise(batch.column("chunk").cast(pa.large_binary()), nothing, feed)
+        ends = np.frombuffer(lines.buffers()[1], np.int64)[1 : len(lines) + 1] if len(lines) else np.zeros(0, np.int64)
+        data = lines.buffers()[2] if len(lines) else b""
+        langs, self.powers, self.codes = batch.column("lang").dictionary_encode(), powers, np.frombuffer(data, np.uint8)
+        self.start, self.end, line, hashes = words_of(data, powers[0])
+        number = langs.indices.to_numpy()[line]
+        # Not symmetric: the word "en" of the language "de" is no word "de" of the language "en".
+        self.salts = [np.array([hash_of(lang, p) for lang in langs.dictionary.to_pylist()], np.uint64) for p in powers]
+        self.number, self.hashes = number, [joined(self.salts[0][number], hashes)]
+        self.n, size = batch.column("n").to_numpy()[line], np.bincount(line, minlength=len(lines))
+        own = size - overlap * (self.codes[ends - 2] == 32)
+        place = np.arange(len(line)) - (np.cumsum(size) - size)[line]
         self.left, self.own = size[line] - place, place < own[line]
         self.chunk, self.place = batch.column("id").to_numpy()[line], place.astype(np.int32)
 
-    def phrase_hashes(self, words: int, which: int = 0) -> np.ndarray:
+    def phrase_hashes(self, words: int) -> np.ndarray:
         """Hash of the phrase of so many words from each word that has them; others' values mean nothing."""
-        known = self.hashes[which]
+        known = self.hashes
         while len(known) < words:
             k, last = len(known), known[-1]
             n, longer = max(0, len(last) - k), np.zeros_like(last)
@@ -182,6 +189,12 @@ class Grams:
             known.append(longer)
         return known[words - 1]
 
+    def second_hashes(self, words: int, at: np.ndarray) -> np.ndarray:
+        """The second hash of the phrases of so many words from the words ``at``."""
+        salt, sums = self.salts[1][self.number[at]], self.powers[1].sums(self.codes)
+        each = (joined(salt, self.powers[1].between(sums, self.start[at + k], self.end[at + k])) for k in range(words))
+        return (reduce(joined, each) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def possible(self, words: int, table: np.ndarray | None) -> np.ndarray:
         """Words of the chunks' own parts at which a phrase of so many words begins that may be frequent: ``table``, of one
         word less, lets both its parts through."""
@@ -224,8 +237,7 @@ def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, ove
         for batch in batches:
             grams = Grams(batch, overlap, powers)
             at = grams.possible(words, table)
-            second = (grams.phrase_hashes(words, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            counts.add(grams.phrase_hashes(words)[at].view(np.int64), second, grams.n[at], grams.chunk[at], grams.place[at])
+            counts.add(grams.phrase_hashes(words)[at].view(np.int64), grams.second_hashes(words, at), grams.n[at], grams.chunk[at], grams.place[at])
             if len(counts) > PHRASES_HELD:
                 columns = counts.settled()
                 if len(columns[0]) > PHRASES_HELD // 2:
