@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from watchfloor.operators import graph, knowledge
-from watchfloor.operators import vulnerabilities as vuln
+from watchfloor.operators import graph, knowledge, united
+from watchfloor.operators import vulnerabilities as vuln, united
 from watchfloor.operators.vulnerabilities import CoveringRules
 from watchfloor.sources import feeds
 from watchfloor.sources.knowledge import load_bundle, procedure_examples
@@ -235,3 +235,18 @@ def test_covering_rules_are_never_multiplied(spark):
     one = rules.of(cves.filter("cve = 'v2'"))
     assert one.count() == 500 and {r.technique_id for r in one.collect()} == {"T1"}
     assert rules.sets().count() == 2
+
+
+def test_sets_of_rules_are_as_long_as_their_members(spark, monkeypatch):
+    """One shuffled row of bits for each CVE and parent takes 4 KB whatever it holds; packed numbers take what they hold."""
+    cves = spark.createDataFrame([(f"v{k}", f"T{k % 7 + j}") for k in range(60) for j in range(k % 4 + 1)], "cve string, technique_id string")
+    pairs = [(f"T{k % 10}", f"r{k * k % 311}") for k in range(900)]
+    bound = spark.createDataFrame(pairs, "technique_id string, rule string")
+    want = {f"v{k}": len({r for t, r in pairs if t in {f"T{k % 7 + j}" for j in range(k % 4 + 1)}}) for k in range(60)}
+    for pairs_held, visits, dense in ((10**6, 10, 64), (40, 7, 64), (40, 7, 2), (10**6, 1000, 0)):
+        for name, value in {"PAIRS": pairs_held, "VISITS": visits, "DENSE": dense}.items():
+            monkeypatch.setattr(united, name, value)
+        rules = CoveringRules(cves, bound, "cve", "rule")
+        assert {r.cve: r.n_rules for r in rules.per_cve().collect()} == want
+    monkeypatch.setattr(united, "PAIRS", 10**6)
+    assert all(len(r[2]) <= 4 * 311 for r in CoveringRules(cves, bound, "cve", "rule").sets().collect())

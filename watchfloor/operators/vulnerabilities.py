@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from watchfloor.functions.ids import FULL_TECHNIQUE, parent_technique
 from watchfloor.functions.labels import residual_risk
-from watchfloor.operators.places import numbered
+from watchfloor.operators import united
 
 # Confidence of a direct mapping and of a weakness mapping that states none.
 DIRECT_CONFIDENCE = 0.90
@@ -128,12 +128,8 @@ class CoveringRules:
         return wanted.join(self.rules, "parent").select(self.cve, "technique_id", self.rule)
 
     def sets(self) -> DataFrame:
-        """(parent, bucket, rules): each parent's rules as bitmaps over dense rule numbers."""
-        numbers = numbered(self.rules.select(self.rule).distinct(), [self.rule])
-        number = F.col("number") + 1  # the first bucket that is full begins at 1
-        bit = (F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
-        bits = self.rules.join(numbers, self.rule).select("parent", *bit)
-        return bits.groupBy("parent", "bucket").agg(F.bitmap_construct_agg("bit").alias("rules"))
+        """(parent, bucket, members): each parent's rules as packed numbers (see ``united``)."""
+        return united.sets(self.rules, "parent", self.rule)
 
     def per_technique(self) -> DataFrame:
         """(cve, technique_id, n_rules)"""
@@ -142,9 +138,8 @@ class CoveringRules:
         return joined.select(self.cve, "technique_id", F.coalesce("n", F.lit(0)).alias("n_rules"))
 
     def per_cve(self) -> DataFrame:
-        """(cve, n_rules): distinct rules that cover any technique of the CVE, counted by uniting its parents' bitmaps."""
+        """(cve, n_rules): distinct rules that cover any technique of the CVE, counted by uniting its parents' sets."""
         parents = self.techniques.select(self.cve, "parent").distinct()
-        joined = parents.join(self.sets(), "parent").groupBy(self.cve, "bucket").agg(F.bitmap_or_agg("rules").alias("rules"))
-        counts = joined.groupBy(self.cve).agg(F.sum(F.bitmap_count("rules")).alias("n"))
-        every = self.techniques.select(self.cve).distinct()
-        return every.join(counts, self.cve, "left").select(self.cve, F.coalesce("n", F.lit(0)).alias("n_rules"))
+        counts = united.counts(parents, self.sets(), self.cve, "parent")
+        none = parents.select(self.cve, F.lit(0).cast("long").alias("n"))  # for what no rule covers
+        return counts.union(none).groupBy(self.cve).agg(F.sum("n").alias("n_rules"))
