@@ -165,11 +165,11 @@ def kql_features(v):
     query_text = F.concat(F.lit("// "), F.col("name"), F.lit("\n"), table,
                           F.lit("\n| where EventID == 1\n| extend Score = 2\n| project Host,\n  User"))
     written = v.detection.select("detection_id", query_text.alias("q"))
-    tables = text.kql_tables(F.col("q"))
-    return written.select(
-        "detection_id", F.array_join(tables, ",").alias("tables"),
-        F.array_join(text.kql_platforms(tables), ",").alias("platforms"),
-        F.array_join(text.kql_fields(F.col("q")), ",").alias("fields"),
+    read = written.select("detection_id", text.kql_tables(F.col("q")).alias("found"), text.kql_fields(F.col("q")).alias("named"))
+    return read.select(
+        "detection_id", F.array_join("found", ",").alias("tables"),
+        F.array_join(text.kql_platforms(F.col("found")), ",").alias("platforms"),
+        F.array_join("named", ",").alias("fields"),
     )
 
 
