@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfloor.functions.text import keyword_tokens
-from watchfloor.operators import keywords, layers, matching
+from watchfloor.operators import keywords, layers, matching, united
 from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, updated_records, validate_corpus
 from watchfloor.session import inline_table
@@ -340,3 +340,17 @@ def test_a_backend_that_fails_while_it_runs_spoils_no_other(spark):
     out = {r.siem: r for r in validate_corpus(rules, {"broken": Backend(broken), "good": Backend(good)}).collect()}
     assert out["good"].status == "pass" and out["good"].hits == 1
     assert out["broken"].status == "error" and out["broken"].hits == 0 and out["broken"].error
+
+
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize(("pairs", "visits", "dense"), [(10**6, 10**6, 64), (9, 3, 64), (9, 3, 2)])
+def test_counts_of_rules_equal_their_hits(spark, monkeypatch, whole, pairs, visits, dense):
+    """Rules and the rows that they hit are counted without being listed."""
+    for name, value in {"PAIRS": pairs, "VISITS": visits, "DENSE": dense}.items():
+        monkeypatch.setattr(united, name, value)
+    texts = [(f"alpha{k % 3} beta gam_{k % 5}ma delta-{k % 4} x" if k % 9 else None,) for k in range(40)] + [("beta",), ("beta",), ("",)]
+    terms = ["alpha1", "alpha", "beta", "gam_2ma", "delta-3", "delta", "none", "", None, "ta-1"]
+    filed = [(f"r{k}" if k else None, terms[(k * j) % len(terms)]) for k in range(12) for j in range(1, 4)]
+    texts, filed = spark.createDataFrame(texts, "text string"), spark.createDataFrame(filed, "rule_id string, keyword string")
+    want = Counter(r.rule_id for r in keywords.rule_hits(texts, filed, [], whole_words=whole).collect())
+    assert want and {r.rule_id: r.hits for r in keywords.rule_counts(texts, filed, whole_words=whole).collect()} == want

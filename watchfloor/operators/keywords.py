@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchfloor.operators import united
 from watchfloor.session import cut_lineage, join_dimension
 
 GRAM = 4
@@ -99,3 +100,12 @@ def rule_hits(
     filed = rule_keyword.filter("keyword <> ''").distinct()
     found = (_word_hits if whole_words else _substring_hits)(rows, filed.select("keyword").distinct(), ["_row", *keep])
     return join_dimension(found, filed, "keyword").dropDuplicates(["_row", "rule_id"]).select("rule_id", *keep)
+
+
+def rule_counts(texts: DataFrame, rule_keyword: DataFrame, text: str = "text", whole_words: bool = False) -> DataFrame:
+    """(rule_id, hits): how many rows ``rule_hits`` has for each rule. Rules and the rows that they hit are never listed: rows are
+    filed under keywords, and the sets of a rule's keywords are united (see ``united``)."""
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    filed = rule_keyword.select("rule_id", "keyword").filter("keyword <> ''").distinct()
+    found = (_word_hits if whole_words else _substring_hits)(rows, filed.select("keyword").distinct(), ["_row"])
+    return united.counts(filed, united.sets(found, "keyword", "_row"), "rule_id", "keyword").withColumnRenamed("n", "hits")

@@ -33,8 +33,7 @@ FIRST_TURN_TOKENS = """
         GROUP BY rule_id""",
 )
 def many_keyword_hits(v):
-    hits = keywords.rule_hits(v.doc, first_turn_tokens(v), ["doc_id"], "haystack")
-    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return keywords.rule_counts(v.doc, first_turn_tokens(v), "haystack")
 
 
 @query(
@@ -49,8 +48,7 @@ def many_keyword_hits(v):
         JOIN ({FIRST_TURN_TOKENS}) r ON r.keyword = f.keyword GROUP BY r.rule_id""",
 )
 def many_keyword_words(v):
-    hits = keywords.rule_hits(v.doc, first_turn_tokens(v), ["doc_id"], "haystack", whole_words=True)
-    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    return keywords.rule_counts(v.doc, first_turn_tokens(v), "haystack", whole_words=True)
 
 
 def customer_rules(v):
