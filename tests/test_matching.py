@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfloor.functions.text import keyword_tokens
-from watchfloor.operators import keywords, layers, matching, united
+from watchfloor.operators import keywords, layers, matching, rule_index, united
 from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, updated_records, validate_corpus
 from watchfloor.session import inline_table
@@ -262,6 +262,47 @@ def test_index_agrees_with_generated_predicates(spark):
         assert sorted(tuple(r) for r in conditions_.counts(events).collect()) == sorted(Counter(w[0] for w in want).items())
 
 
+def test_negating_rules_are_counted_by_the_index(spark):
+    rng = random.Random(5)
+    conditions = ["s and not f", "not f and s", "s and NOT 1 of f*", "s and not all of f*", "t or s and not f and not g", "1 of s* and not all of them", "s and not s"]
+
+    def group():
+        one = rng.choice([{"key": rng.choice("abc")}, {"key": ["a", "b"]}, {"a2|endswith": rng.choice(["1", "11"])}, {"a2|startswith": "2", "key": "c"}])
+        return [one, {"exe": "x"}] if rng.random() < 0.3 else one
+
+    blocks = [
+        json.dumps({**{n: group() for n in ("s", "s2", "t", "f", "f2", "g")}, "condition": conditions[i % len(conditions)]}) for i in range(70)
+    ]
+    rules = rules_of(spark, *[(f"r{i}", [], [], b) for i, b in enumerate([*blocks, *blocks[:9]])], ("r0", [], [], blocks[0])).coalesce(1)
+    events = events_of(spark, *[
+        {"key": rng.choice(["a", "b", "c", None]), "exe": rng.choice(["x", None]), "a2": rng.choice(["1", "11", "21", "211", None])} for _ in range(150)
+    ])
+    conditions_ = layers.Conditions(rules, Fields.of(events.schema))
+    assert conditions_.found.filter("predicate IS NOT NULL OR error IS NOT NULL").isEmpty()
+    want = sorted((r.rule_id, r.event_id) for r in matching.hit_rows(events, matching.compile_rules(rules), ["event_id"]).collect())
+    assert len({w[0] for w in want}) > 40 and len(want) > len(set(want))  # r0 comes twice, and counts twice
+    assert sorted(tuple(r) for r in conditions_.hits(events, ["event_id"]).collect()) == want
+    assert sorted(tuple(r) for r in conditions_.counts(events).collect()) == sorted(Counter(w[0] for w in want).items())
+
+
+def test_selections_that_negate_bar_a_clause():
+    def slots(**entries):
+        return [[{"field": k, "how": "", "value": v}] for k, v in entries.items()]
+
+    block = {"s": {"a": "1"}, "f": [{"b": "2", "c": "3"}, {"d": "4"}], "g": {"e|contains": "5"}}
+    barred = [slots(b="2", c="3"), slots(d="4")]
+    assert rule_index.rule_clauses(block | {"condition": "s and not f"}) == [{"slots": slots(a="1"), "barred": barred}]
+    assert rule_index.rule_clauses(block | {"condition": "s or f"}) == [{"slots": x, "barred": []} for x in (slots(a="1"), *barred)]
+    for condition in ("not f", "s or not f", "s and not g", "s and not (f)", "s and not not f"):
+        assert rule_index.rule_clauses(block | {"condition": condition}) is None
+
+
+def test_rules_of_one_file_are_translated_by_all_tasks(spark):
+    rules = spark.range(100, numPartitions=1).select(F.col("id").alias("rule_id"), F.lit('{"s": {"key": "a"}, "condition": "s"}').alias("detection"))
+    found = rule_index.compiled(rules, Fields.of(rules.withColumn("key", F.lit("")).schema))
+    assert found.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism > 1
+
+
 def test_ten_thousand_rules_take_one_scan(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     rules = spark.range(10_000).select(

@@ -52,8 +52,7 @@ def many_keyword_words(v):
 
 
 def customer_rules(v):
-    """A rule per customer: a user and a kind of event, with an ending of the properties for some. The few that negate stay
-    generated predicates."""
+    """A rule per customer: a user and a kind of event, with an ending of the properties for some. A few negate."""
     key = F.element_at(F.array(*map(F.lit, EVENT_KEYS)), (F.col("c_custkey") % 5 + 1).cast("int"))
     condition = F.expr(
         "CASE WHEN c_custkey % 300 = 3 THEN 's and not f' WHEN c_custkey % 3 = 0 THEN 's' WHEN c_custkey % 3 = 1 THEN 's and f' ELSE 's or f' END"
