@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -232,6 +233,50 @@ def test_token_files_of_nothing_and_cut_off(spark, tmp_path):
         token_files.read_tokens(manifest, folder).collect()
 
 
+# ---------------------------------------------------------------- memory of counting phrases
+
+
+def counted(n):
+    """Twenty parts of ``n`` places in all, some of them of the same phrases, and the phrases with their counts."""
+    rng, counts, sums = np.random.default_rng(3), collocations.Counts(), Counter()
+    for _ in range(20):
+        first = rng.integers(-(1 << 63), 1 << 63, n // 20, np.int64)
+        first[: n // 200] = np.arange(n // 200) // 2
+        second = (np.arange(n // 20) % 2).astype(np.int32)
+        counts.add(first, second, np.full(n // 20, 3, np.int64), first, second)
+        sums.update(zip(first.tolist(), second.tolist(), strict=True))
+    return counts, {k: 3 * v for k, v in sums.items()}
+
+
+def test_adding_up_phrases_holds_no_second_copy():
+    counts, want = counted(400_000)
+    held = sum(c.nbytes for part in counts.parts for c in part)
+    tracemalloc.start()
+    columns = counts.settled()
+    most = tracemalloc.get_traced_memory()[1]  # beside the parts, which were made before and go meanwhile
+    tracemalloc.stop()
+    assert {(f, s): n for f, s, n in zip(*(c.tolist() for c in columns[:3]), strict=True)} == want
+    assert np.all(np.diff(columns[0]) >= 0) and np.array_equal(columns[0], columns[3]) and not len(counts)
+    assert most < 2 * held
+
+
+def test_phrases_are_handed_on_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(collocations, "HANDED_BYTES", 1 << 20)
+    columns = counted(200_000)[0].settled()
+    starts = np.array([k * (1 << 64) // 96 - (1 << 63) for k in range(1, 96)], np.int64)
+    batches = list(collocations.handed_on(columns, starts))
+    rows = [(k, data) for b in batches for k, data in zip(b.column("range").to_pylist(), b.column("phrases").to_pylist(), strict=True)]
+    assert [k for k, _ in rows] == list(range(96))
+    assert max(b.nbytes for b in batches) < (1 << 20) + 2 * max(len(data) for _, data in rows)
+    width, at = sum(c.itemsize for c in columns), 0
+    for _, data in rows:
+        n = len(data) // width
+        assert data == b"".join(c[at : at + n].tobytes() for c in columns)
+        at += n
+    assert at == len(columns[0])
+    assert not list(collocations.handed_on(collocations.Counts().settled(), starts))
+
+
 # ---------------------------------------------------------------- Merkle manifests
 
 

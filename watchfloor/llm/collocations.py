@@ -35,8 +35,10 @@ from watchfloor.llm.common import MIX_1, MIX_2, Powers, finish, map_batches, par
 
 CHUNK_WORDS = 16  # a chunk has about so many words
 CHUNKS_HELD = 200_000  # distinct chunks that a task adds up before it hands them on
-PHRASES_HELD = 3_000_000
-BUFFER_BYTES = 2 << 20
+PHRASES_HELD = 1_500_000  # phrases that a task holds; adding them up takes some 50 bytes for each
+CHUNKS_AT_ONCE = 4096
+BUFFER_BYTES = 1 << 19
+HANDED_BYTES = 4 << 20  # of phrases, handed on together
 RANGES = 8  # ranges of hashes for each shuffle partition; one is added up in memory at a time
 TABLE_BITS = 26
 SLICE_BITS = 14  # bits of the table that are set together
@@ -74,26 +76,44 @@ class Counts:
     def __len__(self) -> int:
         return sum(len(p[0]) for p in self.parts)
 
-    def add(self, first: np.ndarray, second: np.ndarray, n: np.ndarray, chunk: np.ndarray, at: np.ndarray) -> None:
-        if not len(first):
-            return
-        order = np.argsort(first)
-        first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
-        if np.any((first[1:] == first[:-1]) & (second[1:] != second[:-1])):
-            order = np.lexsort((second, first))
-            first, second, n, chunk, at = first[order], second[order], n[order], chunk[order], at[order]
-        edge = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
-        self.parts.append((first[edge], second[edge], np.add.reduceat(n, edge), chunk[edge], at[edge]))
+    def add(self, *columns: np.ndarray) -> None:
+        """What COUNTED names, one value for each place."""
+        if len(columns[0]):
+            self.parts.append(once(list(columns)))
 
     def settled(self) -> tuple[np.ndarray, ...]:
         """All that was counted, each phrase once; nothing is left."""
         parts, self.parts = self.parts, []
         if not parts:
             return tuple(np.zeros(0, f.type.to_pandas_dtype()) for f in COUNTED)
-        if len(parts) > 1:
-            self.add(*map(np.concatenate, zip(*parts, strict=True)))
-            parts, self.parts = self.parts, []
-        return parts[0]
+        if len(parts) == 1:
+            return parts[0]
+        columns = [list(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        for i, column in enumerate(columns):
+            columns[i] = np.concatenate(column)
+            column.clear()
+        return once(columns)
+
+
+def once(columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Each phrase once, in order. Columns are replaced in ``columns`` one by one, so that none is held twice for longer than
+    it takes to make it."""
+
+    def taken(places):
+        for i, column in enumerate(columns):
+            columns[i] = column[places]
+
+    taken(np.argsort(columns[0]))
+    differs = columns[0][1:] != columns[0][:-1]
+    if np.any(~differs & (columns[1][1:] != columns[1][:-1])):
+        taken(np.lexsort((columns[1], columns[0])))
+    differs |= columns[1][1:] != columns[1][:-1]
+    edge = np.flatnonzero(np.concatenate([[True], differs]))
+    total = np.add.reduceat(columns.pop(2), edge)
+    taken(edge)
+    columns.insert(2, total)
+    return tuple(columns)
 
 
 COUNTED = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("n", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
@@ -212,12 +232,25 @@ def hash_of(text: str, powers: Powers) -> np.uint64:
     return powers.between(powers.sums(codes), np.array([0]), np.array([len(codes)]))[0]
 
 
-def many_rows(rows: DataFrame, run, schema: str) -> DataFrame:
+def many_rows(rows: DataFrame, run, schema: str, at_once: int = 16_384) -> DataFrame:
     """``mapInArrow`` over rows that are short."""
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(at_once))
     return rows.mapInArrow(run, schema)
 
 
+def handed_on(columns: tuple[np.ndarray, ...], starts: np.ndarray):
+    """Counted phrases in their order, a row for each range that has some; rows are put together up to HANDED_BYTES."""
+    edges = [0, *np.searchsorted(columns[0], starts).tolist(), len(columns[0])]
+    rows, size = [], 0
+    for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+        if i < j:
+            rows.append((k, b"".join(c[i:j].tobytes() for c in columns)))
+            size += len(rows[-1][1])
+        if size >= HANDED_BYTES or rows and k == len(starts):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "phrases"])
+            rows, size = [], 0
+
+
 def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, overlap: int) -> DataFrame:
     """first, second, n of every phrase of so many words that occurs ``least`` times or more, and a chunk and the word in it at
     which one begins. ``below``: the table of one word less."""
@@ -227,24 +260,21 @@ def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, ove
     ranges = RANGES * partitions(spark)
     starts = np.array([k * (1 << 64) // ranges - (1 << 63) for k in range(1, ranges)], np.int64)
 
-    def handed_on(columns):
-        edges = [0, *np.searchsorted(columns[0], starts).tolist(), len(columns[0])]
-        rows = [(k, b"".join(c[i:j].tobytes() for c in columns)) for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["range", "phrases"])
-
     def count(batches):
         powers, table, counts = (Powers(), Powers(SECOND_BASE)), None if sent.value is None else np.frombuffer(sent.value, np.uint8), Counts()
         for batch in batches:
             grams = Grams(batch, overlap, powers)
             at = grams.possible(words, table)
             counts.add(grams.phrase_hashes(words)[at].view(np.int64), grams.second_hashes(words, at), grams.n[at], grams.chunk[at], grams.place[at])
+            del grams, at
             if len(counts) > PHRASES_HELD:
                 columns = counts.settled()
                 if len(columns[0]) > PHRASES_HELD // 2:
-                    yield handed_on(columns)
+                    yield from handed_on(columns, starts)
                 else:
                     counts.parts.append(columns)
-        yield handed_on(counts.settled())
+                del columns
+        yield from handed_on(counts.settled(), starts)
 
     def add(batches):
         counts, now = Counts(), None
@@ -266,7 +296,7 @@ def frequent(chunks: DataFrame, words: int, below: bytes | None, least: int, ove
                 counts.parts.append(tuple(columns))
         yield enough()
 
-    rows = many_rows(chunks.filter("chunk <> CAST('' AS BINARY)"), count, "range int, phrases binary")
+    rows = many_rows(chunks.filter("chunk <> CAST('' AS BINARY)"), count, "range int, phrases binary", CHUNKS_AT_ONCE)
     rows = rows.repartition(partitions(spark), "range").sortWithinPartitions("range")
     return stored(rows.mapInArrow(add, "first long, second int, n long, chunk long, at int"), "frequent")
 
