@@ -250,3 +250,28 @@ def test_sets_of_rules_are_as_long_as_their_members(spark, monkeypatch):
         assert {r.cve: r.n_rules for r in rules.per_cve().collect()} == want
     monkeypatch.setattr(united, "PAIRS", 10**6)
     assert all(len(r[2]) <= 4 * 311 for r in CoveringRules(cves, bound, "cve", "rule").sets().collect())
+
+
+def test_rows_of_groups_are_dealt_once(spark, monkeypatch):
+    """Neither rows nor sets are shuffled again for each bucket that a group visits, nor for each task that reads the sets."""
+    cves = spark.createDataFrame([(f"v{k}", f"T{k % 7 + j}") for k in range(30) for j in range(3)], "cve string, technique_id string")
+    bound = spark.createDataFrame([(f"T{k % 10}", k % 97) for k in range(400)], "technique_id string, rule long")
+    monkeypatch.setattr(united, "PAIRS", 20)
+    plan = CoveringRules(cves, bound, "cve", "rule").per_cve()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize(("pairs", "visits", "dense", "few"), [(10**6, 10**6, 512, 1000), (50, 5, 512, 1000), (50, 40, 1, 0), (300, 1, 10**6, 0), (2, 300, 64, 4)])
+def test_united_counts_equal_distinct_members(spark, monkeypatch, pairs, visits, dense, few):
+    """Repeated rows count once, one group and one member have more rows than are held, and groups without members are there if asked for."""
+    for name, value in {"PAIRS": pairs, "VISITS": visits, "LEAST": 10, "DENSE": dense, "FEW": few, "SORTED": 30}.items():
+        monkeypatch.setattr(united, name, value)
+    members = [(f"p{k % 12}", k * k % 83 if k % 3 else 7) for k in range(500)] + [("p0", 7)] * 300
+    filed = [(k % 20 if k % 20 else None, f"p{k * k % 17}") for k in range(300)] + [(3, "p0")] * 200 + [(99, "none"), (98, None)]
+    found = united.sets(spark.createDataFrame(members, "part string, member int"), "part", "member")
+    groups = spark.createDataFrame(filed, "name long, part string")
+    want = {g: len({m for p, m in members if (g, p) in set(filed)}) for g, _ in filed}
+    got = [tuple(r) for r in united.counts(groups, found, "name", "part", empty=True).collect()]
+    assert len(got) == len(want) and dict(got) == want and want[99] == want[98] == 0
+    got = [tuple(r) for r in united.counts(groups, found, "name", "part").collect()]
+    assert dict(got) == {g: n for g, n in want.items() if n} and len(got) == len(dict(got))

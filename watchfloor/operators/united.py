@@ -1,13 +1,14 @@
 """How many different members the sets of a group have together, without listing them group by group.
 
-Groups name parts, each part has a set of members, and a group has the members of all its parts. Members are dealt into buckets,
-ranges of about ``PAIRS`` (part, member) pairs, and numbered inside them; a part's set in a bucket is one row of packed numbers. A group
-visits the buckets in which its parts have members. Sets and visits of a bucket meet in one task, or in several of which each holds
-the sets and a share of the visits, and only counts leave it. Disk holds the pairs once, the sets once for each share, and
-the visits; never a group's members.
-
-A task holds the sets of one bucket. Groups whose parts have members in all buckets visit them all, so where no group keeps to a
-range of members the visits grow with the product of groups and buckets.
+Groups name parts, each part has a set of members, and a group has the members of all its parts. Members are dealt into buckets of
+about ``PAIRS`` (part, member) pairs and numbered inside them; a part's set in a bucket is one row of packed numbers. The sets are a table
+in the shared folder, (part, members) bucket by bucket. Groups are dealt by their name; a task takes them ``VISITS`` rows at a time and
+reads the sets past each chunk, a bucket at a time, so counts of buckets are added up where they are made. Disk holds the
+pairs once, the rows of groups once and the sets once, however many buckets a group visits and however many tasks read them.
+
+A task holds the rows of a chunk and the sets of a bucket. Files of sets are opened inside tasks, so the shared folder must be one that
+every executor reaches (local, HDFS or object store paths). Where no group keeps to a range of members, time grows with the members
+that the parts of all groups have, as each group's members are gone through once.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,122 +27,228 @@ from watchfloor.session import rewritten
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])  # executors need no copy of the package
 
 PAIRS = 4_000_000
-VISITS = 500_000  # visits of a share
-DENSE = 64  # a set that has more than one member in so many is kept as bits
+VISITS = 1_000_000  # rows of groups that are held at once
+LEAST = 20_000  # rows of groups that are worth a task
+DENSE = 512  # a set with more than one member in so many of the stretch that it covers is made bits,
+DENSE_BYTES = 64 << 20  # the densest first
+FEW = 1_000  # groups with fewer members in a bucket are counted many at once
+SORTED = 1 << 16  # members sorted at once
 ROWS = 1_000  # rows of a batch that leaves a task
+LOW = (1 << 32) - 1
+
+
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat inside a batch."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        yield from rows.group_by(rows.column_names).aggregate([]).select(rows.column_names).to_batches()
+
+
+def numbered(held: list[pa.RecordBatch], ranked: bool = False) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The different values of two columns, by first appearance, and their distinct pairs: sorted numbers, the first column's above 32 bits.
+    With ``ranked`` the second column's values are sorted, so that neighbours have neighbouring numbers."""
+    left, right = (c.combine_chunks().dictionary_encode(null_encoding="encode") for c in pa.Table.from_batches(held).columns)
+    values, number = right.dictionary, right.indices.to_numpy()
+    if ranked:
+        order = pc.sort_indices(values)
+        rank = np.empty(len(values), np.int32)
+        rank[order.to_numpy()] = np.arange(len(values), dtype=np.int32)
+        values, number = values.take(order), rank[number]
+    keys = left.indices.to_numpy().astype(np.int64) << 32
+    keys |= number
+    keys.sort()
+    return left.dictionary, values, keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+
+
+def packed(parts: pa.Array, keys: np.ndarray, bucket: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(part, bucket, members) of sorted distinct numbers: a part's above 32 bits, its member's below."""
+    number, members = keys >> 32, (keys & LOW).astype(np.int32)
+    edges = [*np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])).tolist(), len(number)]
+    for at in range(0, len(edges) - 1, ROWS):
+        some = edges[at : at + ROWS + 1]
+        sets = [members[a:b].tobytes() for a, b in zip(some, some[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([parts.take(pa.array(number[some[:-1]])), pa.array([bucket] * len(sets), pa.int32()), pa.array(sets, pa.binary())], names)
 
 
 def sets(pairs: DataFrame, part: str, member: str) -> DataFrame:
-    """(part, bucket, members) of distinct pairs without nulls: 32-bit numbers, sorted, that are dense in their bucket."""
-    pairs = rewritten(pairs.select(part, member), "pairs")
+    """(part, bucket, members) of pairs without nulls, which may repeat: 32-bit numbers, sorted, that are dense in their bucket."""
+    pairs = pairs.select(part, member)
     kind = pairs.schema[part].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        held, n, most = [], 0, 2 * PAIRS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > most:  # one member can repeat without bound
+                names, members, keys = numbered(held)
+                held = [pa.RecordBatch.from_arrays([names.take(pa.array(keys >> 32)), members.take(pa.array(keys & LOW))], [part, member])]
+                n = len(keys)
+                most = n + 2 * PAIRS
+        if not n:
             return
-        names, members = (c.combine_chunks().dictionary_encode() for c in pa.Table.from_batches(held).columns)
-        number, member_number = names.indices.to_numpy(), members.indices.to_numpy().astype(np.int32)
-        order = np.argsort((number.astype(np.int64) << 32) | member_number)
-        number, member_number = number[order], member_number[order]
-        edges = [*np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])).tolist(), len(number)]
-        bucket = TaskContext.get().partitionId()
-        for at in range(0, len(edges) - 1, ROWS):
-            some = edges[at : at + ROWS + 1]
-            packed = [member_number[a:b].tobytes() for a, b in zip(some, some[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [names.dictionary.take(pa.array(number[some[:-1]])), pa.array([bucket] * len(packed), pa.int32()), pa.array(packed, pa.binary())], [part, "bucket", "members"]
-            )
+        names, _, keys = numbered(held, ranked=True)
+        held.clear()
+        yield from packed(names, keys, 0, [part, "bucket", "members"])
 
     buckets = max(1, -(-pairs.count() // PAIRS))
-    return rewritten(pairs.repartitionByRange(buckets, member).mapInArrow(pack, f"`{part}` {kind}, bucket int, members binary"), "sets")
+    spread = pairs.repartitionByRange(buckets, member)
+    return rewritten(spread.mapInArrow(pack, f"`{part}` {kind}, bucket int, members binary"), "sets")
 
 
 class Bucket:
     """The sets of a bucket, numbers or bits, and counts of what some of them have together."""
 
-    def __init__(self):
-        self.thin: dict = {}
-        self.marks: np.ndarray | None = None
-        self.dense: dict = {}
-
-    def add(self, part, members: bytes) -> None:
-        self.thin[part] = np.frombuffer(members, np.int32)
-
-    def ready(self) -> None:
-        """All sets were added."""
-        size = 1 + max((int(s[-1]) for s in self.thin.values()), default=-1)
-        self.marks = np.zeros((size + 63) // 64 * 64, bool)
-        for part in [p for p, s in self.thin.items() if len(s) * DENSE > size]:
-            self.marks[self.thin[part]] = True
-            self.dense[part] = np.packbits(self.marks, bitorder="little").view(np.uint64)
-            self.marks[self.thin.pop(part)] = False
-
-    def together(self, parts: list) -> int:
-        if self.marks is None:
-            self.ready()
-        thin, dense, n = [self.thin[p] for p in parts if p in self.thin], [self.dense[p] for p in parts if p in self.dense], 0
+    def __init__(self, rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows)
+        self.parts, members = table.column(0).combine_chunks(), table.column(2).combine_chunks()
+        self.edges = np.frombuffer(members.buffers()[1], np.int32, len(members) + 1, 4 * members.offset).astype(np.int64) // 4
+        self.members = np.frombuffer(members.buffers()[2], np.int32, self.edges[-1])
+        self.sizes = np.diff(self.edges)
+        first, last = self.members[self.edges[:-1]], self.members[self.edges[1:] - 1]
+        self.size = int(last.max()) + 1
+        self.word, words = first >> 6, (last >> 6) - (first >> 6) + 1  # the stretch of 64-bit words that a set covers
+        self.dense = self.sizes * DENSE > words * 64
+        order = np.argsort(words / self.sizes)
+        self.dense[order[np.cumsum(np.where(self.dense, words, 0)[order]) * 8 > DENSE_BYTES]] = False
+        self.bits: dict = {}
+        self.mixed = np.zeros((self.size + 63) // 64, np.uint64)
+        self.stamps = np.zeros(self.size, np.int32)
+
+    def stretch(self, row: int) -> tuple[int, int, np.ndarray]:
+        """Where a set begins and ends, in words, and its bits."""
+        if row not in self.bits:
+            members, low = self.members[self.edges[row] : self.edges[row + 1]], int(self.word[row])
+            marks = np.zeros(((int(members[-1]) >> 6) - low + 1) * 64, bool)
+            marks[members - low * 64] = True
+            bits = np.packbits(marks, bitorder="little").view(np.uint64)
+            self.bits[row] = low, low + len(bits), bits
+        return self.bits[row]
+
+    def together(self, dense: list[int], thin: list[int]) -> int:
+        """Members of some sets; those named as dense are bits."""
+        n, members = 0, None
+        if thin:
+            at = self.edges
+            members = np.concatenate([self.members[at[r] : at[r + 1]] for r in thin])
         if dense:
-            bits = dense[0].copy()
-            for more in dense[1:]:
-                bits |= more
-            n, bits = int(np.bitwise_count(bits).sum()), bits.view(np.uint8)
-            thin = [s[(bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 0] for s in thin]
-        if len(thin) == 1:
-            return n + len(thin[0])
-        for s in thin:
-            n += len(s) - int(np.count_nonzero(self.marks[s]))
-            self.marks[s] = True
-        for s in thin:
-            self.marks[s] = False
+            stretches = [self.stretch(r) for r in dense]
+            low, high = min(s[0] for s in stretches), max(s[1] for s in stretches)
+            for a, b, bits in stretches:
+                some = self.mixed[a:b]
+                np.bitwise_or(some, bits, out=some)
+            n = int(np.bitwise_count(self.mixed[low:high]).sum())
+            if members is not None:
+                members = members[(self.mixed.view(np.uint8)[members >> 3] >> (members & 7).astype(np.uint8)) & 1 == 0]
+            self.mixed[low:high] = 0
+        if members is None or len(thin) == 1:
+            return n + (0 if members is None else len(members))
+        stamp = np.arange(len(members), dtype=np.int32)
+        self.stamps[members] = stamp  # of members that repeat, one keeps its stamp
+        return n + int(np.count_nonzero(self.stamps[members] == stamp))
+
+    def many(self, rows: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Members of the groups numbered in ``wanted``, of those that begin at ``starts``, by sorting them group by group."""
+        ends = np.append(starts[1:], len(rows))
+        most = max(1, (1 << 32) // self.size)
+        n = np.add.reduceat(self.sizes[rows], starts)[wanted]
+        total, out, at = np.cumsum(n), np.zeros(len(wanted), np.int64), 0
+        while at < len(wanted):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SORTED, "right")))
+            some = wanted[at : min(end, at + most)]
+            visits = ends[some] - starts[some]
+            row = rows[np.repeat(starts[some] - np.cumsum(visits) + visits, visits) + np.arange(visits.sum())]
+            sizes = self.sizes[row]
+            members = self.members[np.repeat(self.edges[row] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())].astype(np.uint32)
+            members += np.repeat((np.repeat(np.arange(len(some)), visits) * self.size).astype(np.uint32), sizes)
+            members.sort()
+            members = members[np.concatenate([[True], members[1:] != members[:-1]])]
+            out[at : at + len(some)] = np.bincount(members // np.uint32(self.size), minlength=len(some))
+            at += len(some)
+        return out
+
+    def counts(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Members of each group: its sets are the ``rows`` from its start to the next."""
+        n = np.add.reduceat(self.sizes[rows], starts)
+        visits = np.diff(np.append(starts, len(rows)))
+        bits = np.logical_or.reduceat(self.dense[rows], starts)
+        several = visits > 1
+        few = np.flatnonzero(several & ~bits & (n < FEW))
+        if len(few):
+            n[few] = self.many(rows, starts, few)
+        rest = np.flatnonzero(several & (bits | (n >= FEW)))
+        if len(few):
+            rest = np.setdiff1d(rest, few)
+        is_dense = self.dense
+        for g in rest.tolist():
+            some = rows[starts[g] : starts[g] + visits[g]]
+            which = is_dense[some]
+            n[g] = self.together(some[which].tolist(), some[~which].tolist())
         return n
 
 
-def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of rows (bucket, share, group, part, members): those with members come first in their share, then visits by group."""
-    place = held = None
-    group, parts, out = None, [], []
-
-    def counted():
-        if parts:
-            out.append((group, held.together(parts)))
-            parts.clear()
-
-    for batch in batches:
-        for bucket, share, name, part, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (bucket, share) != place:
-                counted()
-                place, held = (bucket, share), Bucket()
-            if members is not None:
-                held.add(part, members)
-                continue
-            if name != group:
-                counted()
-                group = name
-            parts.append(part)
-        if len(out) >= ROWS:
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], batch.schema.field(2).type), pa.array([n for _, n in out], pa.int64())], ["group", "n"])
-            out.clear()
-        kind = batch.schema.field(2).type
-    counted()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], kind), pa.array([n for _, n in out], pa.int64())], ["group", "n"])
-
-
-def counts(groups: DataFrame, found: DataFrame, group: str, part: str) -> DataFrame:
-    """(group, n): the number of members of each group of ``groups``, distinct (group, part) rows, whose parts have any.
-    ``found`` is what ``sets`` gave."""
+def buckets(files: list[str]) -> Iterator[Bucket]:
+    """The buckets of a table that ``sets`` gave; the rows of a bucket are neighbours in one file."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            held: list = []
+            for batch in pq.ParquetFile(file, buffer_size=1 << 20).iter_batches(batch_size=ROWS):
+                places = batch.column(1).to_numpy()
+                edges = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if held and held[-1].column(1)[0].as_py() != places[a]:
+                        yield Bucket(held)
+                        held = []
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield Bucket(held)
+
+
+def counts(groups: DataFrame, found: DataFrame, group: str, part: str, empty: bool = False) -> DataFrame:
+    """(group, n): the number of members of each group of ``groups``, (group, part) rows that may repeat, whose parts have any;
+    with ``empty`` also of those whose parts have none. ``found`` is what ``sets`` gave."""
     kind = groups.schema[group].dataType
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = groups.select(F.col(group).alias("group"), F.col(part).alias("part"))
-    places = found.select(F.col(part).alias("part"), "bucket", "members")
-    visits = groups.join(places.select("part", "bucket"), "part")
-    sizes = groups.groupBy("part").agg(F.count(F.lit(1)).alias("visits")).join(places.select("part", "bucket"), "part")
-    shares = sizes.groupBy("bucket").agg(F.ceil(F.sum("visits") / VISITS).cast("int").alias("shares"))  # a row for each bucket
-    visits = visits.join(F.broadcast(shares), "bucket").withColumn("share", F.pmod(F.xxhash64("group"), F.col("shares")).cast("int"))
-    copies = places.join(F.broadcast(shares), "bucket").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    rows = copies.select("bucket", "share", F.lit(None).cast(kind).alias("group"), "part", "members")
-    rows = rows.union(visits.select("bucket", "share", "group", "part", F.lit(None).cast("binary").alias("members")))
-    rows = rows.repartition(parts, "bucket", "share").sortWithinPartitions("bucket", "share", F.col("members").isNull(), "group")
-    united = rows.mapInArrow(unite, f"`group` {kind.simpleString()}, n long")
-    return united.groupBy("group").agg(F.sum("n").alias("n")).withColumnRenamed("group", group)
+    files = sorted(found.inputFiles())
+
+    def counted(names: pa.Array, parts: pa.Array, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        name, number, n = keys >> 32, keys & LOW, np.zeros(len(names), np.int64)
+        for bucket in buckets(files):
+            rows = pc.fill_null(pc.index_in(parts, value_set=bucket.parts), -1).to_numpy()[number]
+            here = np.flatnonzero(rows >= 0)
+            if not len(here):
+                continue
+            some = name[here]
+            starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            n[some[starts]] += bucket.counts(rows[here], starts)
+        which = pa.array(np.arange(len(n)) if empty else np.flatnonzero(n))
+        out = pa.RecordBatch.from_arrays([names.take(which), pa.array(n).take(which)], ["group", "n"])
+        yield from (out.slice(at, ROWS) for at in range(0, out.num_rows, ROWS))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group."""
+        held, n, most = [], 0, VISITS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n <= most:
+                continue
+            names, parts, keys = numbered(held)
+            end = int(np.searchsorted(keys, (len(names) - 1) << 32))  # the last group may go on
+            if end:
+                yield from counted(names.slice(0, len(names) - 1), parts, keys[:end])
+            left = keys[end:]
+            held = [pa.RecordBatch.from_arrays([names.take(pa.array(left >> 32)), parts.take(pa.array(left & LOW))], ["group", "part"])]
+            n = len(left)
+            most = n + VISITS
+        if n:
+            yield from counted(*numbered(held))
+
+    visits = groups.count()
+    tasks = max(1, min(2 * groups.sparkSession.sparkContext.defaultParallelism, visits // LEAST), -(-visits // VISITS))
+    dealt = groups.mapInArrow(once, groups.schema).repartition(tasks, "group").sortWithinPartitions("group")
+    return dealt.mapInArrow(unite, f"`group` {kind.simpleString()}, n long").withColumnRenamed("group", group)

@@ -119,8 +119,9 @@ class CoveringRules:
     def __init__(self, cve_techniques: DataFrame, bindings: DataFrame, cve: str, rule: str):
         self.cve, self.rule = cve, rule
         parent = parent_technique(F.col("technique_id")).alias("parent")
-        self.techniques = cve_techniques.select(cve, "technique_id", parent).filter("parent IS NOT NULL").distinct()
-        self.rules = bindings.select(parent, rule).filter(f"parent IS NOT NULL AND `{rule}` IS NOT NULL").distinct()
+        self.cve_parents = cve_techniques.select(cve, "technique_id", parent).filter("parent IS NOT NULL")  # rows may repeat
+        self.parent_rules = bindings.select(parent, rule).filter(f"parent IS NOT NULL AND `{rule}` IS NOT NULL")
+        self.techniques, self.rules = self.cve_parents.distinct(), self.parent_rules.distinct()
 
     def of(self, cves: DataFrame) -> DataFrame:
         """(cve, technique_id, rule) of the given CVEs (a table with their ids), which are few."""
@@ -129,7 +130,7 @@ class CoveringRules:
 
     def sets(self) -> DataFrame:
         """(parent, bucket, members): each parent's rules as packed numbers (see ``united``)."""
-        return united.sets(self.rules, "parent", self.rule)
+        return united.sets(self.parent_rules, "parent", self.rule)
 
     def per_technique(self) -> DataFrame:
         """(cve, technique_id, n_rules)"""
@@ -139,7 +140,5 @@ class CoveringRules:
 
     def per_cve(self) -> DataFrame:
         """(cve, n_rules): distinct rules that cover any technique of the CVE, counted by uniting its parents' sets."""
-        parents = self.techniques.select(self.cve, "parent").distinct()
-        counts = united.counts(parents, self.sets(), self.cve, "parent")
-        none = parents.select(self.cve, F.lit(0).cast("long").alias("n"))  # for what no rule covers
-        return counts.union(none).groupBy(self.cve).agg(F.sum("n").alias("n_rules"))
+        counts = united.counts(self.cve_parents, self.sets(), self.cve, "parent", empty=True)
+        return counts.withColumnRenamed("n", "n_rules")

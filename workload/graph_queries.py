@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from watchfloor.operators import coverage, graph, knowledge
 from watchfloor.operators.vulnerabilities import CoveringRules
+from watchfloor.session import join_dimension
 from workload.registry import query
 
+IDS = 1_000_000  # rows of two short columns that are broadcast rather than shuffling bindings
+
 
 def covering(v):
     ids = v.kb.select("s_suppkey", "technique_id")
-    mapped = v.cve_technique.join(ids, "s_suppkey").select("o_orderkey", "technique_id")
-    bound = v.binding.join(ids, "s_suppkey").select("technique_id", "detection_id")
+    mapped = join_dimension(v.cve_technique, ids, "s_suppkey", max_rows=IDS).select("o_orderkey", "technique_id")
+    bound = join_dimension(v.binding, ids, "s_suppkey", max_rows=IDS).select("technique_id", "detection_id")
     return CoveringRules(mapped, bound, "o_orderkey", "detection_id")
 
 
