@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchfloor.functions.text import keyword_tokens
-from watchfloor.operators import keywords, layers, matching, rule_index, united
+from watchfloor.operators import keywords, layers, matching, rule_index, united, word_sets
 from watchfloor.operators.predicates import Fields
 from watchfloor.plans.match import Backend, match_corpus, updated_records, validate_corpus
 from watchfloor.session import inline_table
@@ -395,3 +395,22 @@ def test_counts_of_rules_equal_their_hits(spark, monkeypatch, whole, pairs, visi
     texts, filed = spark.createDataFrame(texts, "text string"), spark.createDataFrame(filed, "rule_id string, keyword string")
     want = Counter(r.rule_id for r in keywords.rule_hits(texts, filed, [], whole_words=whole).collect())
     assert want and {r.rule_id: r.hits for r in keywords.rule_counts(texts, filed, whole_words=whole).collect()} == want
+
+
+@pytest.mark.parametrize(("words_held", "links", "hits", "pairs"), [(4 * 10**6, 5 * 10**5, 2 * 10**6, 4 * 10**6), (7, 2, 3, 5)])
+def test_texts_meet_words_where_they_are_read(spark, monkeypatch, words_held, links, hits, pairs):
+    """Words of texts and what was found in them are not shuffled to be counted by rule, whatever is held at once."""
+    for name, value in {"WORDS": words_held, "LINKS": links, "HITS": hits}.items():
+        monkeypatch.setattr(word_sets, name, value)
+    monkeypatch.setattr(united, "PAIRS", pairs)
+    texts = [(f"w{k % 7} w{k % 5} foo_bar-w{k % 3} long tail",) for k in range(50)] + [(None,), ("",), ("tail",), ("tail",)]
+    filed = [(k % 9, w) for k, w in enumerate(["w1-w2", "w3", "w1-w2-tail-w0", "tail", "foo_bar", "foo", "none-w1", "--", "W4"] * 5)] + [(None, "w6"), (1, None), (77, "none")]
+    texts, filed = spark.createDataFrame(texts, "text string").repartition(3), spark.createDataFrame(filed, "rule_id int, keyword string")
+    want = Counter(r.rule_id for r in keywords.rule_hits(texts, filed, [], whole_words=True).collect())
+
+    def joined(*_):
+        raise AssertionError("texts are joined")
+
+    monkeypatch.setattr(keywords, "join_dimension", joined)
+    assert {r.rule_id: r.hits for r in keywords.rule_counts(texts, filed, whole_words=True).collect()} == want
+    assert len(want) > 5 and 77 not in want

@@ -8,9 +8,9 @@ with a run that no word has goes at once. What is left, words with the keywords
 Whole words: a keyword is the set of its word parts. Parts meet the distinct words of a text by equality, and a keyword is
 found when as many of its parts as it has were met.
 
-No keyword is ever part of the query text or on the driver, and nothing runs in Python. What is shuffled is each text's
-distinct words at most; words with keywords in them are broadcast while they are few (see ``join_dimension``), and then only
-hits are shuffled. Keywords are compared as they are; lower-case both sides for a search without case. Null texts hit
+No keyword is ever part of the query text or on the driver, and nothing but ``rule_counts`` runs in Python. What is shuffled is each
+text's distinct words at most; words with keywords in them are broadcast while they are few (see ``join_dimension``), and then only
+hits are shuffled. ``rule_counts`` shuffles neither words of texts (but for the vocabulary) nor hits. Keywords are compared as they are; lower-case both sides for a search without case. Null texts hit
 nothing, null, empty and blank keywords are never found, repeated keywords count once. Rows of ``texts`` that are equal are rows of
 their own.
 """
@@ -22,8 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchfloor.operators import united
-from watchfloor.session import cut_lineage, join_dimension
+from watchfloor.operators import united, word_sets
+from watchfloor.session import cut_lineage, join_dimension, rewritten
 
 GRAM = 4
 BLANKS = r"\s+"
@@ -55,14 +55,19 @@ def keyword_words(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     return found if found is not None else vocabulary.select("word", F.col("word").alias("keyword")).limit(0)
 
 
-def _substring_hits(rows: DataFrame, keywords: DataFrame, keep: list[str]) -> DataFrame:
-    """Keywords with blanks are looked for by their longest part, and then as a whole in the texts that have it."""
+def _known(rows: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(word, keyword, spaced): words of the texts that contain a keyword, or the longest part of one with blanks."""
     part = F.get(F.array_sort(words(F.col("keyword")), lambda a, b: F.char_length(b) - F.char_length(a)), 0)
     parts = keywords.select("keyword", part.alias("part"), F.col("keyword").rlike(r"\s").alias("spaced")).filter("part IS NOT NULL")
-    each = rows.select(*keep, F.explode(words(F.col("_text"))).alias("word"))
-    vocabulary = cut_lineage(each.select("word").distinct())
+    vocabulary = cut_lineage(rows.select(F.explode(words(F.col("_text"))).alias("word")).distinct())
     found = keyword_words(vocabulary, parts.select(F.col("part").alias("keyword")).distinct()).withColumnRenamed("keyword", "part")
-    known = cut_lineage(found.join(parts, "part").select("word", "keyword", "spaced"))
+    return cut_lineage(found.join(parts, "part").select("word", "keyword", "spaced"))
+
+
+def _substring_hits(rows: DataFrame, keywords: DataFrame, keep: list[str]) -> DataFrame:
+    """Keywords with blanks are looked for by their longest part, and then as a whole in the texts that have it."""
+    known = _known(rows, keywords)
+    each = rows.select(*keep, F.explode(words(F.col("_text"))).alias("word"))
     hits = join_dimension(each, known.filter("NOT spaced").select("word", "keyword"), "word").select("keyword", *keep)
     spaced = known.filter("spaced").select("word", "keyword")
     if not spaced.isEmpty():
@@ -72,11 +77,20 @@ def _substring_hits(rows: DataFrame, keywords: DataFrame, keep: list[str]) -> Da
     return hits.dropDuplicates(["_row", "keyword"])
 
 
+def _parts(text: Column) -> Column:
+    """Distinct word parts."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+
+def _wanted(keywords: DataFrame) -> DataFrame:
+    """(keyword, word, wanted): the word parts of a keyword, and how many there are."""
+    parts = _parts(F.lower("keyword"))
+    return keywords.select("keyword", F.explode(parts).alias("word"), F.size(parts).alias("wanted"))
+
+
 def _word_hits(rows: DataFrame, keywords: DataFrame, keep: list[str]) -> DataFrame:
-    parts = F.array_distinct(F.regexp_extract_all(F.lower("keyword"), F.lit(WORD), F.lit(0)))
-    wanted = keywords.select("keyword", F.explode(parts).alias("word"), F.size(parts).alias("wanted"))
-    each = rows.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))).alias("word"))
-    met = join_dimension(each, wanted, "word")
+    each = rows.select(*keep, F.explode(_parts(F.col("_text"))).alias("word"))
+    met = join_dimension(each, _wanted(keywords), "word")
     found = met.groupBy("_row", "keyword").agg(F.count(F.lit(1)).alias("met"), F.first("wanted").alias("wanted"), *[F.first(c).alias(c) for c in keep if c != "_row"])
     return found.filter("met = wanted").select("keyword", *keep)
 
@@ -103,9 +117,16 @@ def rule_hits(
 
 
 def rule_counts(texts: DataFrame, rule_keyword: DataFrame, text: str = "text", whole_words: bool = False) -> DataFrame:
-    """(rule_id, hits): how many rows ``rule_hits`` has for each rule. Rules and the rows that they hit are never listed: rows are
-    filed under keywords, and the sets of a rule's keywords are united (see ``united``)."""
-    rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    filed = rule_keyword.select("rule_id", "keyword").filter("keyword <> ''").distinct()
-    found = (_word_hits if whole_words else _substring_hits)(rows, filed.select("keyword").distinct(), ["_row"])
-    return united.counts(filed, united.sets(found, "keyword", "_row"), "rule_id", "keyword").withColumnRenamed("n", "hits")
+    """(rule_id, hits): how many rows ``rule_hits`` has for each rule. Rules and the rows that they hit are never listed: texts are
+    filed under keywords in the tasks that read them (see ``word_sets``), and the sets of a rule's keywords are united (see ``united``)."""
+    rows = texts.select(F.col(text).alias("_text"))
+    filed = rewritten(rule_keyword.select("rule_id", "keyword").filter("keyword <> ''").distinct(), "filed")
+    distinct = filed.select("keyword").distinct()
+    if whole_words:
+        links = _wanted(distinct).withColumn("spaced", F.lit(False))
+        each = rows.select(_parts(F.col("_text")).alias("words"))
+    else:
+        links = _known(rows, distinct).select("keyword", "word", F.lit(1).alias("wanted"), "spaced")
+        spaced = not links.filter("spaced").isEmpty()
+        each = rows.select(words(F.col("_text")).alias("words"), *([F.col("_text").alias("text")] if spaced else []))
+    return united.counts(filed, word_sets.hit_sets(each, links), "rule_id", "keyword").withColumnRenamed("n", "hits")
