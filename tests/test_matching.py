@@ -414,3 +414,23 @@ def test_texts_meet_words_where_they_are_read(spark, monkeypatch, words_held, li
     monkeypatch.setattr(keywords, "join_dimension", joined)
     assert {r.rule_id: r.hits for r in keywords.rule_counts(texts, filed, whole_words=True).collect()} == want
     assert len(want) > 5 and 77 not in want
+
+
+@pytest.mark.parametrize(("words_held", "few"), [(10**6, 10**6), (9, 3)])
+def test_words_that_contain_keywords_are_found_where_texts_are_read(spark, monkeypatch, words_held, few):
+    """Neither a vocabulary nor its runs are shuffled; keywords of any length, with blanks and of several bytes a character."""
+    for name, value in {"WORDS": words_held, "LINKS": few, "HITS": few, "SLICE": few}.items():
+        monkeypatch.setattr(word_sets, name, value)
+    monkeypatch.setattr(united, "PAIRS", words_held)
+    texts = [(f"int\u00e9rnationalisation{k % 3} banana\u20ac{k % 4} run  me\tnow{k % 2}", ) for k in range(30)] + [(None,), ("",), ("  ",), ("anana",), ("anana",)]
+    terms = ["a", "an", "ana", "anana\u20ac1", "nationalisation2", "\u00e9rnational", "\u20ac", "run  me", "run me", "me\tnow1", " ", "", None, "anan", "bananas", "t\u00e9", " run", "nationalisations", "9"]
+    filed = [(f"r{k % 14}" if k % 14 else None, terms[(k * j) % len(terms)]) for k in range(40) for j in (1, 2)]
+    texts, filed = spark.createDataFrame(texts, "text string").repartition(3), spark.createDataFrame(filed, "rule_id string, keyword string")
+    want = Counter(r.rule_id for r in keywords.rule_hits(texts, filed, []).collect())
+
+    def joined(*_):
+        raise AssertionError("words are joined or kept")
+
+    monkeypatch.setattr(keywords, "join_dimension", joined)
+    monkeypatch.setattr(keywords, "cut_lineage", joined)
+    assert len(want) > 5 and {r.rule_id: r.hits for r in keywords.rule_counts(texts, filed).collect()} == want

@@ -10,7 +10,7 @@ found when as many of its parts as it has were met.
 
 No keyword is ever part of the query text or on the driver, and nothing but ``rule_counts`` runs in Python. What is shuffled is each
 text's distinct words at most; words with keywords in them are broadcast while they are few (see ``join_dimension``), and then only
-hits are shuffled. ``rule_counts`` shuffles neither words of texts (but for the vocabulary) nor hits. Keywords are compared as they are; lower-case both sides for a search without case. Null texts hit
+hits are shuffled. ``rule_counts`` shuffles neither words of texts nor hits: its tasks read the keywords past chunks of texts. Keywords are compared as they are; lower-case both sides for a search without case. Null texts hit
 nothing, null, empty and blank keywords are never found, repeated keywords count once. Rows of ``texts`` that are equal are rows of
 their own.
 """
@@ -55,19 +55,19 @@ def keyword_words(vocabulary: DataFrame, keywords: DataFrame) -> DataFrame:
     return found if found is not None else vocabulary.select("word", F.col("word").alias("keyword")).limit(0)
 
 
-def _known(rows: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(word, keyword, spaced): words of the texts that contain a keyword, or the longest part of one with blanks."""
+def _sought(keywords: DataFrame) -> DataFrame:
+    """(keyword, part, spaced): the longest part between blanks of each keyword."""
     part = F.get(F.array_sort(words(F.col("keyword")), lambda a, b: F.char_length(b) - F.char_length(a)), 0)
-    parts = keywords.select("keyword", part.alias("part"), F.col("keyword").rlike(r"\s").alias("spaced")).filter("part IS NOT NULL")
-    vocabulary = cut_lineage(rows.select(F.explode(words(F.col("_text"))).alias("word")).distinct())
-    found = keyword_words(vocabulary, parts.select(F.col("part").alias("keyword")).distinct()).withColumnRenamed("keyword", "part")
-    return cut_lineage(found.join(parts, "part").select("word", "keyword", "spaced"))
+    return keywords.select("keyword", part.alias("part"), F.col("keyword").rlike(r"\s").alias("spaced")).filter("part IS NOT NULL")
 
 
 def _substring_hits(rows: DataFrame, keywords: DataFrame, keep: list[str]) -> DataFrame:
     """Keywords with blanks are looked for by their longest part, and then as a whole in the texts that have it."""
-    known = _known(rows, keywords)
+    parts = _sought(keywords)
     each = rows.select(*keep, F.explode(words(F.col("_text"))).alias("word"))
+    vocabulary = cut_lineage(each.select("word").distinct())
+    found = keyword_words(vocabulary, parts.select(F.col("part").alias("keyword")).distinct()).withColumnRenamed("keyword", "part")
+    known = cut_lineage(found.join(parts, "part").select("word", "keyword", "spaced"))
     hits = join_dimension(each, known.filter("NOT spaced").select("word", "keyword"), "word").select("keyword", *keep)
     spaced = known.filter("spaced").select("word", "keyword")
     if not spaced.isEmpty():
@@ -126,7 +126,7 @@ def rule_counts(texts: DataFrame, rule_keyword: DataFrame, text: str = "text", w
         links = _wanted(distinct).withColumn("spaced", F.lit(False))
         each = rows.select(_parts(F.col("_text")).alias("words"))
     else:
-        links = _known(rows, distinct).select("keyword", "word", F.lit(1).alias("wanted"), "spaced")
+        links = _sought(distinct).select("keyword", F.col("part").alias("word"), F.lit(1).alias("wanted"), "spaced")
         spaced = not links.filter("spaced").isEmpty()
         each = rows.select(words(F.col("_text")).alias("words"), *([F.col("_text").alias("text")] if spaced else []))
-    return united.counts(filed, word_sets.hit_sets(each, links), "rule_id", "keyword").withColumnRenamed("n", "hits")
+    return united.counts(filed, word_sets.hit_sets(each, links, inside=not whole_words), "rule_id", "keyword").withColumnRenamed("n", "hits")

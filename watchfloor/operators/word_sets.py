@@ -1,7 +1,8 @@
 """Which texts have which keywords, as sets of texts per keyword (see ``united``), made where the texts are read.
 
-Links say which words give a keyword away: a keyword is found in a text that has as many of its words as it wants. They are a table in
-the shared folder, read past every chunk of about ``WORDS`` words of texts, so texts, their words and what was found in them are
+Links say which words give a keyword away: a keyword is found in a text that has as many of its words as it wants, or has words that contain
+them. Containing words are looked for among the distinct words of a chunk: keywords of up to ``RUN`` bytes are equal to a run of a word,
+longer ones are filed under their rarest run and compared where it occurs. Links are a table in the shared folder, read past every chunk of about ``WORDS`` words of texts, so texts, their words and what was found in them are
 never shuffled, however many links there are. Texts of a task are numbered as they come and go into buckets of about ``united.PAIRS``
 hits. A task holds a chunk, the links of ``LINKS`` rows and the hits of a bucket.
 """
@@ -21,11 +22,14 @@ from watchfloor.session import rewritten
 
 cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])  # executors need no copy of the package
 
-WORDS = 4_000_000  # words of texts in a chunk
+WORDS = 2_000_000  # words of texts in a chunk
+TEXTS = 1_000  # texts that a chunk takes at once
 TEXT_BYTES = 64 << 20  # characters of texts in a chunk, where they are looked at again
 LINKS = 500_000  # links that are held at once
+RUN = 8  # bytes
+SLICE = 1 << 20  # runs that are looked at, and compared, at once
 HITS = 2_000_000  # hits that are sorted at once
-FOLDERS = 2  # tasks that read texts, for each that can run: fewer than files of texts, as each task ends with a bucket of its own
+TASKS = 2  # tasks that read texts, for each that can run at once: few, as each ends with a bucket of its own
 
 
 def links_of(files: list[str]) -> Iterator[pa.RecordBatch]:
@@ -50,6 +54,91 @@ def links_of(files: list[str]) -> Iterator[pa.RecordBatch]:
                 yield held
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of each stretch, one stretch after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def runs_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Runs of up to eight bytes as numbers."""
+    out = np.zeros(len(places), np.uint64)
+    for k in range(size):
+        out = (out << np.uint64(8)) | data[places + k]
+    return out
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins, with the end of the last, and their bytes."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    return edges, np.frombuffer(texts.buffers()[2] or b"", np.uint8, edges[-1])
+
+
+def slots(runs: np.ndarray, bits: int) -> np.ndarray:
+    return (runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def meeting(data: np.ndarray, edges: np.ndarray, sought: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the texts that are among the sought numbers, sorted, where they begin, and their texts. A few others slip in."""
+    bits = min(24, max(12, len(sought).bit_length() + 4))
+    marks = np.zeros(1 << bits, bool)
+    marks[slots(sought, bits)] = True
+    runs, places = [], []
+    for at in range(int(edges[0]), len(data) - size + 1, SLICE):
+        some = data[at : at + SLICE + size - 1]
+        number = np.zeros(len(some) - size + 1, np.uint64)
+        for k in range(size):
+            number <<= np.uint64(8)
+            number |= some[k : k + len(number)]
+        here = np.flatnonzero(marks[slots(number, bits)])
+        runs.append(number[here])
+        places.append(here + at)
+    if not runs:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs, places = np.concatenate(runs), np.concatenate(places)
+    owner = np.searchsorted(edges, places, "right") - 1
+    good = np.flatnonzero(places + size <= edges[owner + 1])
+    good = good[np.argsort(runs[good], kind="stable")]
+    return runs[good], places[good], owner[good]
+
+
+def containing(words: pa.Array, parts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of words and of the parts that they contain, distinct pairs."""
+    edges, data = bytes_of(words)
+    begins, letters = bytes_of(parts)
+    lengths, begins = np.diff(begins), begins[:-1]
+    for size in range(1, RUN + 1):
+        which = np.flatnonzero(np.minimum(lengths, RUN) == size)
+        if not len(which):
+            continue
+        n = lengths[which] - size + 1
+        part, place = np.repeat(which, n), spread(begins[which], n)
+        sought = runs_at(letters, place, size)
+        runs, places, owner = meeting(data, edges, np.unique(sought), size)
+        first = np.searchsorted(runs, sought, "left")
+        met = np.searchsorted(runs, sought, "right") - first
+        starts = np.cumsum(n) - n
+        rarest = np.flatnonzero(met == np.repeat(np.minimum.reduceat(met, starts), n))
+        rarest = rarest[np.concatenate([[True], part[rarest][1:] != part[rarest][:-1]])]
+        rarest = rarest[met[rarest] > 0]
+        total, at = np.cumsum(met[rarest]), 0
+        while at < len(rarest):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+            some = rarest[at:end]
+            where = spread(first[some], met[some])
+            word, number = owner[where], np.repeat(part[some], met[some])
+            begin = places[where] - np.repeat(place[some] - begins[part[some]], met[some])
+            length = lengths[number]
+            if size == RUN:
+                inside = np.flatnonzero((begin >= edges[word]) & (begin + length <= edges[word + 1]))
+                word, number, begin, length = word[inside], number[inside], begin[inside], length[inside]
+                if len(inside):
+                    same = np.logical_and.reduceat(data[spread(begin, length)] == letters[spread(begins[number], length)], np.cumsum(length) - length)
+                    word, number = word[same], number[same]
+            pairs = np.unique(number << 32 | word)  # a part may be in a word twice
+            yield pairs & united.LOW, pairs >> 32
+            at = end
+
+
 class Chunk:
     """Words of texts that were read one after another."""
 
@@ -70,7 +159,7 @@ class Chunk:
             self.texts.append(texts)
             self.bytes += texts.nbytes
 
-    def hits(self, files: list[str]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def hits(self, files: list[str], inside: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """Keywords, and sorted numbers of those found: the keyword's above 32 bits, the text's below."""
         if not self.size:
             return
@@ -79,8 +168,13 @@ class Chunk:
         vocabulary, word, row = words.dictionary, words.indices.to_numpy(), np.concatenate(self.rows)
         texts = pa.chunked_array(self.texts) if self.texts else None
         for links in links_of(files):
-            at = pc.index_in(links.column("word"), value_set=vocabulary)
-            links, at = links.filter(at.is_valid()), at.drop_null().to_numpy()
+            if inside:
+                met = list(containing(vocabulary, links.column("word")))
+                at, which = (np.concatenate([m[k] for m in met]) if met else np.zeros(0, np.int64) for k in (0, 1))
+                links = links.take(pa.array(which))
+            else:
+                at = pc.index_in(links.column("word"), value_set=vocabulary)
+                links, at = links.filter(at.is_valid()), at.drop_null().to_numpy()
             if not len(at):
                 continue
             keyword = links.column("keyword").dictionary_encode()
@@ -115,11 +209,11 @@ class Chunk:
                 start = end
 
 
-def hit_sets(rows: DataFrame, links: DataFrame) -> DataFrame:
+def hit_sets(rows: DataFrame, links: DataFrame, inside: bool = False) -> DataFrame:
     """(keyword, bucket, members): sets of the texts that have a keyword, as ``united.counts`` takes them.
 
     ``rows`` is (words: its distinct words, text), ``links`` distinct (keyword, word, wanted, spaced): a keyword is found in a text that has
-    ``wanted`` of its words and, if ``spaced``, has it as it is. A column ``text`` is only needed where some are spaced."""
+    ``wanted`` of its words and, if ``spaced``, has it as it is. With ``inside`` one word of the text that contains its word is enough. A column ``text`` is only needed where some are spaced."""
     links = rewritten(links.repartition("keyword").sortWithinPartitions("keyword"), "links")
     files = sorted(links.inputFiles())
 
@@ -128,10 +222,10 @@ def hit_sets(rows: DataFrame, links: DataFrame) -> DataFrame:
 
         def searched():
             nonlocal chunk, base
-            for names, keys in chunk.hits(files):
+            for names, keys in chunk.hits(files, inside):
                 used, number = np.unique(keys >> 32, return_inverse=True)
                 found.append(pa.DictionaryArray.from_arrays(pa.array(number.astype(np.int32)), names.take(pa.array(used))))
-                members.append((keys & united.LOW) + base)
+                members.append(((keys & united.LOW) + base).astype(np.int32))
             base += chunk.n
             chunk = Chunk()
 
@@ -149,7 +243,7 @@ def hit_sets(rows: DataFrame, links: DataFrame) -> DataFrame:
                 yield from united.packed(keyword.dictionary, keys, bucket, ["keyword", "bucket", "members"])
             base, bucket = 0, bucket + 1
 
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             chunk.add(batch.column(0), batch.column(1) if batch.num_columns > 1 else None)
             if chunk.size >= WORDS or chunk.bytes >= TEXT_BYTES or chunk.n >= 1 << 24:
                 searched()
@@ -158,5 +252,5 @@ def hit_sets(rows: DataFrame, links: DataFrame) -> DataFrame:
         searched()
         yield from filed()
 
-    tasks = FOLDERS * rows.sparkSession.sparkContext.defaultParallelism
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
     return rewritten(rows.coalesce(tasks).mapInArrow(find, "keyword string, bucket int, members binary"), "sets")
