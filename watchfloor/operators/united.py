@@ -31,6 +31,8 @@ VISITS = 1_000_000  # rows of groups that are held at once
 LEAST = 20_000  # rows of groups that are worth a task
 DENSE = 512  # a set with more than one member in so many of the stretch that it covers is made bits,
 DENSE_BYTES = 64 << 20  # the densest first
+WIDE = 1_024  # 64-bit words of a bucket, up to which groups are united many at once
+BLOCK = 1 << 19  # words of such groups
 FEW = 1_000  # groups with fewer members in a bucket are counted many at once
 SORTED = 1 << 16  # members sorted at once
 ROWS = 1_000  # rows of a batch that leaves a task
@@ -96,6 +98,11 @@ def sets(pairs: DataFrame, part: str, member: str) -> DataFrame:
     return rewritten(spread.mapInArrow(pack, f"`{part}` {kind}, bucket int, members binary"), "sets")
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of each stretch, one stretch after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Bucket:
     """The sets of a bucket, numbers or bits, and counts of what some of them have together."""
 
@@ -114,6 +121,8 @@ class Bucket:
         self.bits: dict = {}
         self.mixed = np.zeros((self.size + 63) // 64, np.uint64)
         self.stamps = np.zeros(self.size, np.int32)
+        self.whole: np.ndarray | None = None
+        self.narrow = len(self.mixed) <= WIDE and int(self.dense.sum()) * len(self.mixed) * 8 <= DENSE_BYTES
 
     def stretch(self, row: int) -> tuple[int, int, np.ndarray]:
         """Where a set begins and ends, in words, and its bits."""
@@ -157,9 +166,9 @@ class Bucket:
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SORTED, "right")))
             some = wanted[at : min(end, at + most)]
             visits = ends[some] - starts[some]
-            row = rows[np.repeat(starts[some] - np.cumsum(visits) + visits, visits) + np.arange(visits.sum())]
+            row = rows[spread(starts[some], visits)]
             sizes = self.sizes[row]
-            members = self.members[np.repeat(self.edges[row] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())].astype(np.uint32)
+            members = self.members[spread(self.edges[row], sizes)].astype(np.uint32)
             members += np.repeat((np.repeat(np.arange(len(some)), visits) * self.size).astype(np.uint32), sizes)
             members.sort()
             members = members[np.concatenate([[True], members[1:] != members[:-1]])]
@@ -167,6 +176,54 @@ class Bucket:
             at += len(some)
         return out
 
+    def rows_of_bits(self) -> np.ndarray:
+        """The sets made bits, as long as the bucket is wide."""
+        if self.whole is None:
+            dense, wide = np.flatnonzero(self.dense), len(self.mixed)
+            self.whole = np.zeros(len(dense) * wide, np.uint64)
+            members = self.members[spread(self.edges[dense], self.sizes[dense])]
+            words = np.repeat(np.arange(len(dense)) * wide, self.sizes[dense]) + (members >> 6)
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            self.whole[words[first]] = np.bitwise_or.reduceat(np.uint64(1) << (members & 63).astype(np.uint64), first)
+            self.whole = self.whole.reshape(len(dense), wide)
+        return self.whole
+
+    def blocks(self, rows: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Members of the groups numbered in ``wanted``, each of which has sets that are bits, many groups at once."""
+        whole, place = self.rows_of_bits(), np.cumsum(self.dense) - 1
+        ends, out = np.append(starts[1:], len(rows)), np.zeros(len(wanted), np.int64)
+        is_bits = np.append(0, np.cumsum(self.dense[rows]))
+        is_thin = np.append(0, np.cumsum(np.where(self.dense[rows], 0, self.sizes[rows])))
+        n = is_bits[ends[wanted]] - is_bits[starts[wanted]]
+        total = np.cumsum(len(self.mixed) + is_thin[ends[wanted]] - is_thin[starts[wanted]])
+        at = 0
+        while at < len(wanted):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK, "right")))
+            order = at + np.argsort(-n[at:end], kind="stable")  # those with most sets first
+            some, sets_of = wanted[order], n[order]
+            visits = ends[some] - starts[some]
+            row, group = rows[spread(starts[some], visits)], np.repeat(np.arange(len(some)), visits)
+            bits = self.dense[row]
+            thin, first, row = row[~bits], np.cumsum(sets_of) - sets_of, place[row[bits]]
+            mixed = whole[row[first]]
+            for k in range(1, int(sets_of[0])):
+                more = int(np.searchsorted(-sets_of, -k, "left"))  # groups with more than k
+                np.bitwise_or(mixed[:more], whole[row[first[:more] + k]], out=mixed[:more])
+            found = np.bitwise_count(mixed).sum(axis=1, dtype=np.int64)
+            if len(thin):
+                sizes = self.sizes[thin]
+                members = self.members[spread(self.edges[thin], sizes)].astype(np.int64)
+                group = np.repeat(group[~bits], sizes)
+                new = (mixed[group, members >> 6] >> (members & 63).astype(np.uint64)) & np.uint64(1) == 0
+                keys = group[new] * self.size + members[new]
+                keys.sort()
+                if len(keys):
+                    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+                    found += np.bincount(keys // self.size, minlength=len(some))
+            out[order] = found
+            at = end
+        return out
+
     def counts(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Members of each group: its sets are the ``rows`` from its start to the next."""
         n = np.add.reduceat(self.sizes[rows], starts)
@@ -176,11 +233,13 @@ class Bucket:
         few = np.flatnonzero(several & ~bits & (n < FEW))
         if len(few):
             n[few] = self.many(rows, starts, few)
-        rest = np.flatnonzero(several & (bits | (n >= FEW)))
-        if len(few):
-            rest = np.setdiff1d(rest, few)
+        rest = several & (bits | (n >= FEW))
+        rest[few] = False
+        if self.narrow and (blocks := np.flatnonzero(rest & bits)).size:
+            n[blocks] = self.blocks(rows, starts, blocks)
+            rest[blocks] = False
         is_dense = self.dense
-        for g in rest.tolist():
+        for g in np.flatnonzero(rest).tolist():
             some = rows[starts[g] : starts[g] + visits[g]]
             which = is_dense[some]
             n[g] = self.together(some[which].tolist(), some[~which].tolist())

@@ -54,11 +54,6 @@ def links_of(files: list[str]) -> Iterator[pa.RecordBatch]:
                 yield held
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of each stretch, one stretch after another."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-
-
 def runs_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """Runs of up to eight bytes as numbers."""
     out = np.zeros(len(places), np.uint64)
@@ -111,7 +106,7 @@ def containing(words: pa.Array, parts: pa.Array) -> Iterator[tuple[np.ndarray, n
         if not len(which):
             continue
         n = lengths[which] - size + 1
-        part, place = np.repeat(which, n), spread(begins[which], n)
+        part, place = np.repeat(which, n), united.spread(begins[which], n)
         sought = runs_at(letters, place, size)
         runs, places, owner = meeting(data, edges, np.unique(sought), size)
         first = np.searchsorted(runs, sought, "left")
@@ -124,7 +119,7 @@ def containing(words: pa.Array, parts: pa.Array) -> Iterator[tuple[np.ndarray, n
         while at < len(rarest):
             end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
             some = rarest[at:end]
-            where = spread(first[some], met[some])
+            where = united.spread(first[some], met[some])
             word, number = owner[where], np.repeat(part[some], met[some])
             begin = places[where] - np.repeat(place[some] - begins[part[some]], met[some])
             length = lengths[number]
@@ -132,7 +127,7 @@ def containing(words: pa.Array, parts: pa.Array) -> Iterator[tuple[np.ndarray, n
                 inside = np.flatnonzero((begin >= edges[word]) & (begin + length <= edges[word + 1]))
                 word, number, begin, length = word[inside], number[inside], begin[inside], length[inside]
                 if len(inside):
-                    same = np.logical_and.reduceat(data[spread(begin, length)] == letters[spread(begins[number], length)], np.cumsum(length) - length)
+                    same = np.logical_and.reduceat(data[united.spread(begin, length)] == letters[united.spread(begins[number], length)], np.cumsum(length) - length)
                     word, number = word[same], number[same]
             pairs = np.unique(number << 32 | word)  # a part may be in a word twice
             yield pairs & united.LOW, pairs >> 32
